@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontamination, language, media, packing, substrings, token_counts, token_files
+from quadrille.llm import decontamination, language, media, packing, similarity, substrings, token_counts, token_files
 from quadrille.llm.storage import materialize, read_table
 
 
@@ -26,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenized_pieces(read_table(spark, sf_dir, "documents")))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
