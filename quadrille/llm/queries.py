@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontamination, language, media, packing, similarity, substrings, token_counts, token_files
+from quadrille.llm import decontamination, language, media, packing, pii, secret_scan, similarity, substrings, token_counts, token_files
+from quadrille.llm.spans import digests
 from quadrille.llm.storage import materialize, read_table
 
 
@@ -27,7 +28,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.similar_components(read_table(spark, sf_dir, "documents"))
+    return similarity.similar_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +43,20 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("k")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")), pii.KINDS)
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")), secret_scan.KINDS)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(read_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op8_pii, op9_secret_scans, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import words as W
@@ -74,7 +74,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-n * PERCENT // 100) + 1
 
 
-SETS = "doc_id long, sid long, n_shingles int, keys array<long>"
+SETS = "k long, doc_id long, sid long, n_shingles int, keys array<long>"
 
 
 def _identities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ def scan(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, sets, at in shingle_sets(b.column(1), k):
+            for i, j, sets, at in shingle_sets(b.column(2), k):
                 n = np.diff(at)
                 large = np.flatnonzero(n >= LARGE)
                 parts: list[np.ndarray] = [np.empty(0, np.uint64)] * len(n)
@@ -99,10 +99,10 @@ def scan(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 for r in np.flatnonzero((n > 0) & (n <= SMALL)).tolist():
                     parts[r] = np.append(parts[r], W.mix(sets[at[r] : at[r] + prefix[r]]))
                 keys = np.concatenate(parts) if len(parts) else np.empty(0, np.uint64)
-                columns = [b.column(0).slice(i, j - i), pa.array(_identities(sets, at), mask=n == 0), pa.array(n, pa.int32()), lists(W.signed(keys), np.append(0, np.cumsum([len(p) for p in parts])), pa.int64())]
+                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_identities(sets, at), mask=n == 0), pa.array(n, pa.int32()), lists(W.signed(keys), np.append(0, np.cumsum([len(p) for p in parts])), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SETS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
@@ -250,7 +250,7 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
+    """(k, doc_id, n_shingles, component, component_id) of each row; k is a hash of the row's id and text, component of linked sets."""
     scanned = materialize(scan(docs, k), "similarity-scan")
     sets = materialize(scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "similarity-sets")
     hung = sets.select("sid", F.explode(F.array_distinct("keys")).alias("key"))
@@ -277,7 +277,15 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) ->
 
     joined = sets.select("sid", "least").join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = joined.join(smallest, "component").select("sid", "component_id")
-    return scanned.select("doc_id", "sid", "n_shingles").join(of_set, "sid", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
+    of_set = joined.join(smallest, "component").select("sid", "component", "component_id")
+    told = scanned.select("k", "doc_id", "sid", "n_shingles").join(of_set, "sid", "left")
+    return told.select("k", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` but for all of a component save the one of least id; rows without a set stay."""
+    found = similar_components(docs, shingle)
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("first.k", F.lit(True).alias("once"))
+    rest = found.where("component is null").select("k", F.lit(False).alias("once")).distinct()
+    kept = docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(first.unionByName(rest).withColumnRenamed("k", "_k"), "_k")
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_k"))).where("_n = 1 or not once").select(*docs.columns)
