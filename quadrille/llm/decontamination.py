@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,9 +102,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
                 order = np.argsort(row, kind="stable")
                 row, f = row[order], f[order]
                 at = np.searchsorted(row, np.arange(j - i + 1))
-                text = b.column(2).slice(i, j - i)
-                text = pc.if_else(pa.array(np.diff(at) > 0), text, pa.scalar(None, text.type))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(words.counts, pa.int64()), lists(W.signed(f), at, pa.int64()), text.cast(pa.string())], names=["k", "doc_id", "n_words", "found", "text"])
+                text = b.column(2).take(pa.array(np.arange(i, j), mask=np.diff(at) == 0))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(words.counts, pa.int64()), lists(W.signed(f), at, pa.int64()), text], names=["k", "doc_id", "n_words", "found", "text"])
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialize(keyed.mapInArrow(scan, fields), "decontamination-scan")
