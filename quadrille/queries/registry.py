@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quadrille.queries import prose, rulework, sheets
+from quadrille.queries.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+BOOKS = (sheets.BOOK, rulework.BOOK, prose.BOOK)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for b in BOOKS for name, f in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for b in BOOKS for name, sql in b.sql.items()}
