@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of fingerprint and span with their number and least key, so that a common pair leaves a batch as one row."""
+    for b in batches:
+        f, s = (b.column(c).flatten().to_numpy() for c in (1, 2))
+        k = b.column(0).to_numpy()[pc.list_parent_indices(b.column(1)).to_numpy()]
+        order = np.lexsort((k, s, f))
+        f, s, k = f[order], s[order], k[order]
+        new = np.ones(len(f), bool)
+        new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+        at = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(s[at]), pa.array(np.diff(np.append(at, len(f)))), pa.array(k[at])], names=["fingerprint", "span", "n", "first"])
+
+
 class FingerprintIndex:
     """Sorted immutable runs of (fingerprint, span, n, first), all bucketed alike."""
 
@@ -105,9 +119,9 @@ class FingerprintIndex:
 
     def add(self, posted: DataFrame) -> None:
         """A new run of a batch's postings; beyond ``RUNS`` all are compacted."""
-        pairs = posted.select("k", F.explode(F.arrays_zip("fingerprints", "spans")).alias("x")).select("k", F.col("x.fingerprints").alias("fingerprint"), F.col("x.spans").alias("span"))
-        counted = pairs.groupBy("fingerprint", "span").agg(F.count("*").alias("n"), F.min("k").alias("first"))
-        self._write(counted.repartition(self.buckets, "fingerprint"))
+        counted = posted.select("k", "fingerprints", "spans").mapInArrow(_counted, "fingerprint long, span long, n long, first long")
+        placed = counted.repartition(self.buckets, "fingerprint")
+        self._write(placed.groupBy("fingerprint", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
         if len(self.runs) > RUNS:
             self.compact()
 
