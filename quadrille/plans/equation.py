@@ -67,6 +67,11 @@ class Negative:
     of: object
 
 
+@dataclass(frozen=True)
+class Bracket:
+    of: object
+
+
 @dataclass(frozen=True)
 class Binary:
     sign: str
@@ -126,7 +131,7 @@ class _Parser:
             inside = self.sum()
             if not self.next_sign(")"):
                 raise BadEquation("a bracket is left open")
-            return inside
+            return Bracket(inside)
         if self.at == len(self.tokens):
             raise BadEquation("the text ends too early")
         kind, text = self.tokens[self.at]
@@ -151,7 +156,7 @@ def cells_of(tree: object) -> list[Cell]:
     """All cells, repeats kept, from left to right."""
     if isinstance(tree, Cell):
         return [tree]
-    if isinstance(tree, Negative):
+    if isinstance(tree, Negative | Bracket):
         return cells_of(tree.of)
     return cells_of(tree.left) + cells_of(tree.right) if isinstance(tree, Binary) else []
 
@@ -164,6 +169,8 @@ def value(tree: object, cell) -> Column:
         return cell(tree)
     if isinstance(tree, Negative):
         return -value(tree.of, cell)
+    if isinstance(tree, Bracket):
+        return value(tree.of, cell)
     left, right = value(tree.left, cell), value(tree.right, cell)
     if tree.sign == "**":
         size = F.abs(left) if isinstance(tree.left, Cell) else left
