@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import decontamination, language, packing, secret_scan, similarity
 from quadrille.llm.spans import redacted
-from quadrille.llm.storage import materialize, read_table
+from quadrille.llm.storage import fresh, materialize, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter, or no text) go."""
     prototypes = language.learn(language.fold(docs.select("doc_id", "text", "lang")).where("not held_out"))
-    found = language.identify(docs, prototypes, "_language", "_score")
-    return found.where(F.col("_language") != language.UNKNOWN).select(*docs.columns)
+    name = fresh(docs, "_language")
+    found = language.identify(docs, prototypes, name, fresh(docs, "_score"))
+    return found.where(F.col(name) != language.UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("k").alias("_k")).distinct()
-    return docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(hit, "_k", "left_anti").select(*docs.columns)
+    k = fresh(docs, "_k")
+    hit = found.where("contaminated").select(F.col("k").alias(k)).distinct()
+    return docs.withColumn(k, F.xxhash64("doc_id", "text")).join(hit, k, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

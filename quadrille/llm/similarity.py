@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import words as W
 from quadrille.llm.arrow import chunks, lists
 from quadrille.llm.components import components
-from quadrille.llm.storage import materialize
+from quadrille.llm.storage import fresh, materialize
 
 SHINGLE, PERCENT = 5, 80
 SMALL, LARGE = 50, 40  # sets of up to SMALL have prefix keys, of LARGE and more band keys; partners share a kind
@@ -285,7 +285,9 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) ->
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` but for all of a component save the one of least id; rows without a set stay."""
     found = similar_components(docs, shingle)
-    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("first.k", F.lit(True).alias("once"))
-    rest = found.where("component is null").select("k", F.lit(False).alias("once")).distinct()
-    kept = docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(first.unionByName(rest).withColumnRenamed("k", "_k"), "_k")
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_k"))).where("_n = 1 or not once").select(*docs.columns)
+    k, once, n = fresh(docs, "_k"), fresh(docs, "_once"), fresh(docs, "_n")
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "k")).alias("first")).select(F.col("first.k").alias(k), F.lit(True).alias(once))
+    rest = found.where("component is null").select(F.col("k").alias(k), F.lit(False).alias(once)).distinct()
+    kept = docs.withColumn(k, F.xxhash64("doc_id", "text")).join(first.unionByName(rest), k)
+    numbered = kept.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(k)))
+    return numbered.where((F.col(n) == 1) | ~F.col(once)).select(*(F.col(f"`{c}`") for c in docs.columns))
