@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import text as T
-from quadrille.operators import documents
+from quadrille.operators import documents, textwork
 from quadrille.queries.base import Book, table
 from quadrille.sources import inline
 from quadrille.streaming import events as stream
@@ -193,3 +193,9 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from s group by user_id, k""")
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(table(spark, sf_dir, "events"))
+
+
+@BOOK.add()
+def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy packing with overlap; tested on small texts."""
+    return textwork.split_text(_docs(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import a1
 from quadrille.operators import cells as C
-from quadrille.operators import grouped, profile, regions, relations, windows
+from quadrille.operators import grouped, inspector, profile, regions, relations, textwork, windows
 from quadrille.queries.base import EVENTS_SQL, LINE_VALUES, LINES_SQL, ORDER_CELLS_SQL, Book, event_sheet, line_sheet, order_cells, table
 
 BOOK = Book()
@@ -57,9 +57,9 @@ def records_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.drop_empty_rows(rows, ["p_name", "p_brand"])
 
 
-@BOOK.add(f"with {ORDER_CELLS_SQL} select row, col, raw from oc where row in (select row from oc where ctype <> 'empty') and col in (select col from oc where ctype <> 'empty') and col in (3, 4, 5)")
+@BOOK.add(f"with {ORDER_CELLS_SQL} select row, col, raw is null as is_null from oc where row in (select row from oc where ctype <> 'empty') and col in (select col from oc where ctype <> 'empty')")
 def prune_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.prune_blank(order_cells(spark, sf_dir)).where("col in (3, 4, 5)").select("row", "col", "raw")
+    return C.prune_blank(order_cells(spark, sf_dir)).select("row", "col", F.col("raw").isNull().alias("is_null"))
 
 
 @BOOK.add(f"with {ORDER_CELLS_SQL} select row, col, raw from oc where row between 4 and 39 and col between 3 and 5")
@@ -169,23 +169,27 @@ def axis_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MASK_SQL = "m as (select c_custkey // 40 as row, c_custkey % 40 as col from customer where c_nationkey < 10)"
 
 
-def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse grid: customers, forty to a row, of the first ten nations."""
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of all customers, forty to a row; cells are filled for the first ten nations and blank for the others."""
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.lit("grid").alias("sheet"), F.floor(key / 40).alias("row"), (key % 40).cast("long").alias("col"), F.lit("x").alias("raw"))
+    return table(spark, sf_dir, "customer").select(F.lit("grid").alias("sheet"), F.floor(key / 40).alias("row"), (key % 40).cast("long").alias("col"), F.when(F.col("c_nationkey") < 10, F.lit("x")).alias("raw"))
+
+
+def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.filled_mask(_grid(spark, sf_dir))
 
 
 @BOOK.add(f"""with recursive {_MASK_SQL}, r as (select row, col, row as r, col as c from m union select m.row, m.col, r.r, r.c from r join m on abs(m.row - r.row) + abs(m.col - r.col) = 1),
   l as (select row, col, min(r * 40 + c) as label from r group by row, col), b as (select label, min(row) as top, min(col) as left_col, max(row) as bottom, max(col) as right_col, count(*) as non_empty from l group by label)
   select top, left_col, bottom, right_col, non_empty, round(non_empty / ((bottom - top + 1) * (right_col - left_col + 1)), 6) as density from b where non_empty >= 4 and non_empty / ((bottom - top + 1) * (right_col - left_col + 1)) >= 0.12""")
 def regions_4n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(regions.tables(_mask(spark, sf_dir), gap=0).select("top", F.col("left").alias("left_col"), "bottom", F.col("right").alias("right_col"), "non_empty", "density"), "density")
+    return _rounded(regions.tables(_grid(spark, sf_dir), gap=0).select("top", F.col("left").alias("left_col"), "bottom", F.col("right").alias("right_col"), "non_empty", "density"), "density")
 
 
 @BOOK.add(f"""with {_MASK_SQL}, c as (select row, col, lag(col) over (partition by row order by col) as b from m), d as (select row, col, lag(row) over (partition by col order by row) as b from m)
   select row, col from m union select row, col - 1 from c where col - b = 2 union select row - 1, col from d where row - b = 2""")
 def gap_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.bridge_gaps(_mask(spark, sf_dir).select("sheet", "row", "col"), 1).select("row", "col")
+    return regions.bridge_gaps(_mask(spark, sf_dir), 1).select("row", "col")
 
 
 _BOXES_SQL = "b as (select s_suppkey as table_id, s_suppkey * 7 % 90 as top, s_suppkey * 3 % 30 as left_col, s_suppkey * 7 % 90 + 9 as bottom, s_suppkey * 3 % 30 + 4 as right_col from supplier)"
@@ -204,7 +208,7 @@ def bbox_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(f"with {_MASK_SQL}, {_BOXES_SQL} select row, col from m where not exists (select 1 from b where row between top and bottom and col between left_col and right_col)")
 def bbox_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.outside(_mask(spark, sf_dir).select("sheet", "row", "col"), _boxes(spark, sf_dir)).select("row", "col")
+    return regions.outside(_mask(spark, sf_dir), _boxes(spark, sf_dir)).select("row", "col")
 
 
 _PRICED_SQL = "q as (select *, l_quantity as qty, l_extendedprice / l_quantity as price, l_extendedprice as amount, l_extendedprice * l_discount as cut, l_extendedprice - l_extendedprice * l_discount as net from li)"
@@ -249,3 +253,52 @@ def coefficient_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 16384 + 1).alias("col")).distinct()
     return n.withColumn("name", a1.column_name(F.col("col"))).withColumn("back", a1.column_number(F.col("name")).cast("long"))
+
+
+def _table_relations_sql() -> str:
+    columns, parts = ["qty", "amount", "cut", "net"], []
+    for i, a in enumerate(columns, 1):
+        for j, b in enumerate(columns, 1):
+            for t, target in enumerate(columns, 1):
+                if i >= j or t in (i, j):
+                    continue
+                for sign, swap, e in (("+", 0, f"{a} + {b}"), ("-", 0, f"{a} - {b}"), ("-", 1, f"{b} - {a}"), ("*", 0, f"{a} * {b}"), ("/", 0, f"{a} / nullif({b}, 0)"), ("/", 1, f"{b} / nullif({a}, 0)")):
+                    p, q = (j, i) if swap else (i, j)
+                    parts.append(f"select l_returnflag as sheet, {p} as a, '{sign}' as sign, {q} as b, {t} as t, count({e}) as valid, count(*) filter (abs({target} - ({e})) <= greatest(1e-6, abs({e}) * 1e-4)) as support from q group by 1")
+    return f"""with {LINES_SQL}, {_PRICED_SQL}, c as ({' union all '.join(parts)}) select sheet, a, sign, b, t, valid, support, round(least(0.99, support / valid * least(1.0, support / 20)), 4) as confidence from c where valid >= 3 and support / valid >= 0.75"""
+
+
+@BOOK.add(_table_relations_sql())
+def inspector_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations among columns of several tables at once, one for each return flag."""
+    q, p, d = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
+    each = F.array(*(F.struct(F.lit(i).alias("c"), v.alias("num")) for i, v in enumerate((q, p, p * d, p - p * d), 1)))
+    inside = line_sheet(spark, sf_dir).select(F.col("l_returnflag").alias("sheet"), F.lit(1).alias("table_id"), F.col("row").alias("r"), F.explode(each).alias("x")).select("sheet", "table_id", "r", "x.c", "x.num")
+    return inspector.relations(inside).select("sheet", "a", "sign", "b", "t", "valid", "support", "confidence")
+
+
+@BOOK.add(f"with {ORDER_CELLS_SQL}, f as (select row, col, raw, lead(raw) over (partition by row order by col) as value from oc where trim(raw) <> '') select row, regexp_replace(trim(raw), '[:：]$', '') as key, value from f where value is not null and regexp_matches(raw, '[^0-9.,%\\s-]')")
+def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textwork.key_values(order_cells(spark, sf_dir).select("sheet", "row", "col", "raw")).select("row", "key", "value")
+
+
+@BOOK.add(f"with {ORDER_CELLS_SQL}, b as (select row, col, raw, 'n' || row % 25 as sheet from oc), s as (select 'n' || n_nationkey as sheet, n_nationkey * 10 as first, n_nationkey * 10 + 400 as last from nation where n_nationkey % 2 = 0) select b.sheet, row, col, raw from b left join s using (sheet) where first is null or row between first and last")
+def row_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = order_cells(spark, sf_dir).select(F.concat(F.lit("n"), F.col("row") % 25).alias("sheet"), "row", "col", "raw")
+    key = F.col("n_nationkey")
+    slices = table(spark, sf_dir, "nation").where(key % 2 == 0).select(F.concat(F.lit("n"), key).alias("sheet"), (key * 10).alias("first"), (key * 10 + 400).alias("last"))
+    return textwork.row_slices(cells, slices)
+
+
+@BOOK.add()
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, their last letter missing, against the names themselves; tested on small names."""
+    names = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.expr("substring(p_name, 1, length(p_name) - 1)").alias("name"))
+    return textwork.fuzzy_names(names, table(spark, sf_dir, "part").select(F.col("p_name").alias("known")))
+
+
+@BOOK.add()
+def sheet_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First terms of each brand's parts; tested on a small sheet."""
+    cells = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("row"), F.lit(1).alias("col"), F.col("p_name").alias("raw"))
+    return textwork.sheet_keywords(cells).select("sheet", F.concat_ws(" ", "keywords").alias("keywords"))
