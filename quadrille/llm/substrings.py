@@ -6,8 +6,8 @@ runs is its anchor (winnowing), so equal windows have equal anchors.  The window
 one anchor are one stretch of words; its hash is the anchor's span.
 
 A batch of documents becomes an immutable run: (fingerprint, span, n, first), sorted
-and bucketed by fingerprint.  Runs are merge-joined by fingerprint without a shuffle,
-and compacted into one.  Spans that occur twice are equal windows all over.
+and bucketed by fingerprint.  Runs are compacted into one, and a run's buckets are
+merge-joined by fingerprint as they lie.  Spans that occur twice are equal windows all over.
 Where a fingerprint recurs in other surroundings, the windows of each of its spans are
 compared one by one.
 
@@ -126,20 +126,21 @@ class FingerprintIndex:
             self.compact()
 
     def merged(self) -> DataFrame:
-        """All runs as one, by merge joins on the sorted buckets."""
+        """All runs as one; one run is read as it lies."""
         if not self.runs:
             return self.spark.createDataFrame([], "fingerprint long, span long, n long, first long")
         out = self.spark.table(self.runs[0])
+        if len(self.runs) == 1:
+            return out
         for name in self.runs[1:]:
-            other = self.spark.table(name).select("fingerprint", "span", F.col("n").alias("m"), F.col("first").alias("f"))
-            out = out.join(other.hint("merge"), ["fingerprint", "span"], "full").select("fingerprint", "span", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.least("first", "f").alias("first"))
-        return out
+            out = out.unionByName(self.spark.table(name))
+        return out.repartition(self.buckets, "fingerprint").groupBy("fingerprint", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
     def compact(self) -> None:
         old = list(self.runs)
         rows = self.merged()
         self.runs = []
-        self._write(rows.repartition(self.buckets, "fingerprint"))
+        self._write(rows)
         self.drop(old)
 
     def drop(self, names: list[str] | None = None) -> None:
@@ -182,6 +183,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
     index = FingerprintIndex(spark)
     for i in range(batches):
         index.add(posted.where(F.pmod("k", F.lit(batches)) == i))
+    if len(index.runs) > 1:
+        index.compact()
     twice, doubtful = index.repeated()
 
     pairs = posted.select("k", F.explode(F.array_distinct("spans")).alias("span"))
