@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 2048
 UNKNOWN = "und"
 PIECE = 1 << 21  # characters that are counted at once
+CELLS = 1 << 23  # counts (texts x trigrams) that are held at once; texts of many scripts are counted in smaller runs
+BLOCK = 4096  # trigrams whose vectors are held at once
 
 
 @lru_cache(maxsize=1)
@@ -46,13 +48,16 @@ def letter_vector(code: int, d: int) -> np.ndarray:
     return np.random.default_rng([code, d, 7]).integers(0, 2, d, dtype=np.int8) * 2 - 1
 
 
-@lru_cache(maxsize=60_000)
+@lru_cache(maxsize=20_000)
 def gram_vector(a: int, b: int, c: int, d: int) -> np.ndarray:
     return np.roll(letter_vector(a, d), 2) * np.roll(letter_vector(b, d), 1) * letter_vector(c, d)
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigrams (rows of three code points), and (text x trigram) counts; third, whether a text has a letter."""
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Trigrams (rows of three code points), and (text x trigram) counts; third, whether a text has a letter.
+
+    Null if several texts have too many counts together.
+    """
     joined = "".join(f"  {x} " for x in texts)
     codes = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     sizes = np.array([len(x) + 3 for x in texts])
@@ -72,33 +77,40 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = place[key]
     else:
         seen, at = np.unique(key, return_inverse=True)
+    if len(texts) > 1 and len(texts) * len(seen) > CELLS:
+        return None
     grams = np.stack([alphabet[seen // (n * n)], alphabet[seen // n % n], alphabet[seen % n]], 1)
     cell = doc.astype(np.int64) * len(seen) + at
     counts = np.bincount(cell, minlength=len(texts) * len(seen)).reshape(len(texts), len(seen)).astype(np.float32)
     return grams, counts, lettered
 
 
-def bundle(texts: list[str], d: int) -> tuple[np.ndarray, np.ndarray]:
-    """A vector for each text, and whether it has a letter."""
-    grams, counts, lettered = gram_counts(texts)
-    if not len(grams):
-        return np.zeros((len(texts), d), np.float32), lettered
-    basis = np.stack([gram_vector(*g, d) for g in grams.tolist()]).astype(np.float32)
-    return counts @ basis, lettered
+def bundled(counts: np.ndarray, grams: np.ndarray, d: int) -> np.ndarray:
+    """Sums of trigrams' vectors, each as often as counted."""
+    out = np.zeros((len(counts), d), counts.dtype)
+    for k in range(0, len(grams), BLOCK):
+        out += counts[:, k : k + BLOCK] @ np.stack([gram_vector(*g, d) for g in grams[k : k + BLOCK].tolist()]).astype(counts.dtype)
+    return out
 
 
-def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts short enough to count together; where each begins."""
-    first, run, size = 0, [], 0
-    for i, x in enumerate(texts):
+def counted(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, texts, trigrams, counts, lettered) of runs of texts short enough to count together."""
+    first, run, size, work = 0, [], 0, []
+    for i, x in enumerate([*texts, None]):
         x = x or ""
-        if run and (size + len(x) > PIECE or len(run) >= 512):
-            yield first, run
+        if run and (i == len(texts) or size + len(x) > PIECE or len(run) >= 512):
+            work.append((first, run))
             first, run, size = i, [], 0
         run.append(x)
         size += len(x)
-    if run:
-        yield first, run
+        while work:
+            at, some = work.pop()
+            found = gram_counts(some)
+            if found is None:
+                half = len(some) // 2
+                work += [(at, some[:half]), (at + half, some[half:])]
+            else:
+                yield at, len(some), *found
 
 
 def held_out(doc_id: int | None, folds: int = 5) -> bool:
@@ -113,15 +125,12 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray
         total: dict[str, np.ndarray] = {}
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for first, some in grouped(texts):
-                grams, counts, _ = gram_counts(some)
-                if not len(grams):
-                    continue
-                basis = np.stack([gram_vector(*g, dimensions) for g in grams.tolist()]).astype(np.float64)
-                names = langs[first : first + len(some)]
-                for lang in set(names):
-                    rows = [i for i, x in enumerate(names) if x == lang]
-                    total[lang] = total.get(lang, 0) + counts[rows].sum(0, dtype=np.float64) @ basis
+            for first, n, grams, counts, _ in counted(texts):
+                names = langs[first : first + n]
+                kinds = sorted(set(names))
+                sums = np.stack([counts[[i for i, x in enumerate(names) if x == lang]].sum(0, dtype=np.float64) for lang in kinds])
+                for lang, v in zip(kinds, bundled(sums, grams, dimensions), strict=True):
+                    total[lang] = total.get(lang, 0) + v
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions), pa.int32()), pa.array(np.asarray(v, np.float64))], names=["lang", "at", "x"])
 
@@ -142,8 +151,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str =
         for b in batches:
             texts = b.column(at).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for first, some in grouped(texts) if names else ():
-                vectors, lettered = bundle(some, d)
+            for first, _, grams, counts, lettered in counted(texts) if names else ():
+                vectors = bundled(counts, grams, d)
                 cosine = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
                 best = cosine.argmax(1)
                 for i in np.flatnonzero(lettered):
