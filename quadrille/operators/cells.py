@@ -45,7 +45,7 @@ def trim(cells: DataFrame) -> DataFrame:
     """Cells within the bounds of those that aren't blank, moved to begin at row 1 and column 1."""
     filled = F.when(~is_blank(F.col("raw")), True)
     bounds = cells.groupBy("sheet").agg(*(f(F.when(filled, F.col(c))).alias(f"{n}_{c}") for c in ("row", "col") for f, n in ((F.min, "min"), (F.max, "max"))))
-    inside = cells.join(F.broadcast(bounds), "sheet").where("row between min_row and max_row and col between min_col and max_col")
+    inside = cells.join(bounds, "sheet").where("row between min_row and max_row and col between min_col and max_col")
     return inside.select("sheet", (F.col("row") - F.col("min_row") + 1).alias("row"), (F.col("col") - F.col("min_col") + 1).alias("col"), "raw")
 
 
@@ -84,7 +84,7 @@ def crop(cells: DataFrame, top: int, left: int, bottom: int, right: int) -> Data
     """Cells between 1-based places among the rows and columns that exist, numbered densely; ends are clamped."""
     rows = cells.select("sheet", "row").distinct().withColumn("r", F.row_number().over(Window.partitionBy("sheet").orderBy("row")))
     cols = cells.select("sheet", "col").distinct().withColumn("c", F.row_number().over(Window.partitionBy("sheet").orderBy("col")))
-    return cells.join(rows.where(F.col("r").between(top, bottom)), ["sheet", "row"]).join(F.broadcast(cols.where(F.col("c").between(left, right))), ["sheet", "col"]).select("sheet", "row", "col", "raw")
+    return cells.join(rows.where(F.col("r").between(top, bottom)), ["sheet", "row"]).join(cols.where(F.col("c").between(left, right)), ["sheet", "col"]).select("sheet", "row", "col", "raw")
 
 
 def overwrite(cells: DataFrame, new: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def delete_lines(cells: DataFrame, axis: str, at: int, n: int) -> DataFrame:
 def append_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """Put cells (sheet, row from 1, col, raw) below the last used row of their sheet."""
     last = cells.where("raw is not null").groupBy("sheet").agg(F.max("row").alias("last"))
-    moved = rows.join(F.broadcast(last), "sheet", "left").withColumn("row", F.col("row") + F.coalesce("last", F.lit(0))).drop("last")
+    moved = rows.join(last, "sheet", "left").withColumn("row", F.col("row") + F.coalesce("last", F.lit(0))).drop("last")
     return cells.unionByName(moved)
 
 

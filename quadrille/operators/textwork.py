@@ -138,7 +138,7 @@ def row_slices(cells: DataFrame, slices: DataFrame, strict: bool = False) -> Dat
 
     ``strict``: slices that begin below the sheet fail instead of keeping nothing.
     """
-    joined = cells.join(F.broadcast(slices), "sheet", "left")
+    joined = cells.join(slices, "sheet", "left")
     if strict:
         height = cells.groupBy("sheet").agg(F.max("row").alias("h"))
         wrong = slices.join(height, "sheet", "left").where("h is null or first > h or first > last").limit(1).collect()
