@@ -29,9 +29,8 @@ PATH_WORDS = ("home", "users", "documents", "desktop", "downloads", "tmp", "temp
 
 
 def line_break(text: Column) -> Column:
-    """How the first 500 characters part paragraphs: crlf2, lf2, crlf or lf; none if they hold no break."""
-    head = F.substring(text, 1, 500)
-    n = lambda p: F.regexp_count(head, F.lit(p))
+    """How the text parts paragraphs: crlf2, lf2, crlf or lf; none if it holds no break."""
+    n = lambda p: F.regexp_count(text, F.lit(p))
     return F.when(n("\r\n\r\n") > 0, "crlf2").when(n("\n\n") > 0, "lf2").when(n("\r\n") * 2 > n("\n"), "crlf").when(n("\n") > 0, "lf").otherwise("none")
 
 
@@ -79,10 +78,9 @@ def heading_text(line: Column) -> Column:
 
 
 def pattern_scores(text: Column) -> dict[str, Column]:
-    """How much the first 3000 characters look like code, a log, messages or a structured document (0 to 1)."""
-    head = F.substring(text, 1, 3000)
-    has = lambda p, w: F.when(head.rlike(f"(?m){p}"), w).otherwise(0.0)
-    some = lambda p, n, w: F.when(F.regexp_count(head, F.lit(f"(?m){p}")) >= n, w).otherwise(0.0)
+    """How much the text looks like code, a log, messages or a structured document (0 to 1)."""
+    has = lambda p, w: F.when(text.rlike(f"(?m){p}"), w).otherwise(0.0)
+    some = lambda p, n, w: F.when(F.regexp_count(text, F.lit(f"(?m){p}")) >= n, w).otherwise(0.0)
     return {
         "code": F.least(F.lit(1.0), has(DEFINITION, 0.4) + some(r"[{};]\s*$", 3, 0.3) + has(r"^\s*(import |from |#include|using )", 0.3)),
         "log": F.least(F.lit(1.0), some(TIMESTAMP, 3, 0.5) + some(LEVEL, 3, 0.4) + has(r"Exception|Traceback", 0.1)),

@@ -31,6 +31,15 @@ def test_log_and_code_segments(spark):
     assert documents.code_segments(docs(spark, "import x\ndef f():\n  pass\nclass A:\n  y = 1"), least=0).count() == 3
 
 
+def test_breaks_and_patterns_late_in_long_texts(spark):
+    code = "\nimport x\ndef f():\n  a;\n  b;\n  c;\n"
+    log = "\n2024-01-01 10:00:00 ERROR a" * 3
+    texts = ("x" * 600 + "\n\ny", "x" * 600 + "\r\ny", "x" * 600 + "\r\n\r\ny", "x" * 600 + "\ny", "x" * 600, None)
+    assert [r[0] for r in docs(spark, *texts).orderBy("doc_id").select(T.line_break(F.col("text"))).collect()] == ["lf2", "crlf", "crlf2", "lf", "none", "none"]
+    texts = ("x " * 2000 + code, "x " * 2000 + log, "x " * 2000 + "\n# One\n# Two\n1. a\n2. b\n3. c", "x " * 2000)
+    assert [r[0] for r in docs(spark, *texts).orderBy("doc_id").select(T.document_pattern(F.col("text"))).collect()] == ["code", "log", "structured", "plain"]
+
+
 def test_merge_by_length_against_a_loop(spark):
     text = "\n".join("x" * n for n in (5, 6, 30, 1, 1, 12, 9, 8))
     sizes, chunk, used, expected = [5, 6, 30, 1, 1, 12, 9, 8], 0, 0, []
