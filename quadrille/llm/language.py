@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 2048
@@ -26,6 +26,9 @@ UNKNOWN = "und"
 PIECE = 1 << 21  # characters that are counted at once
 CELLS = 1 << 23  # counts (texts x trigrams) that are held at once; texts of many scripts are counted in smaller runs
 BLOCK = 4096  # trigrams whose vectors are held at once
+RARE = 0.01  # share of training texts of a language and length that a floor is set without
+PART = 0.33  # of the cosine that the others reach, the floor
+ENOUGH = 100  # training texts that a floor is set from, at least
 
 
 @lru_cache(maxsize=1)
@@ -166,3 +169,31 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str =
 def fold(docs: DataFrame, folds: int = 5) -> DataFrame:
     """Add ``held_out``."""
     return docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0)
+
+
+def _length(text: str = "text") -> Column:
+    """Texts of equal number are of like length (within a factor of two)."""
+    return F.length(F.bin(F.length(F.col(text).cast("string")).cast("long")))
+
+
+def floors(scored: DataFrame, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """(lang, low, high, floor): a part of the cosine that all but few training texts of a language and length reach.
+
+    From rows of ``identify`` with (doc_id, text, lang), but for held-out ones.  Lengths from low
+    to below high have a floor: that of their own texts, or where these are under ``ENOUGH``,
+    that of the next shorter ones.  Texts shorter than all of these have none.
+    """
+    rows = fold(scored.select("doc_id", "text", "lang", F.col(f"`{lang_col}`").alias("found"), F.col(f"`{score_col}`").alias("cosine")))
+    rows = rows.where((F.col("found") != UNKNOWN) & F.col("lang").isNotNull() & ~F.col("held_out"))
+    found = rows.groupBy(F.col("found").alias("lang"), _length().alias("low")).agg(F.count("*").alias("n"), (F.percentile_approx("cosine", RARE) * PART).alias("floor"))
+    return found.where(F.col("n") >= ENOUGH).select("lang", "low", F.expr("lead(low, 1, 64) over (partition by lang order by low)").alias("high"), "floor")
+
+
+def judged(scored: DataFrame, lang_col: str = "lang_pred", score_col: str = "score", verdict: str = "verdict") -> DataFrame:
+    """Add the verdict to rows of ``identify``: no letter, below floor, or kept."""
+    at = floors(scored, lang_col, score_col).alias("at")
+    rows = scored.alias("rows")
+    lang, score = F.col(f"rows.`{lang_col}`"), F.col(f"rows.`{score_col}`")
+    joined = rows.join(F.broadcast(at), (lang == F.col("at.lang")) & (_length("rows.text") >= F.col("at.low")) & (_length("rows.text") < F.col("at.high")), "left")
+    told = F.when(lang == UNKNOWN, "no letter").when(score < F.col("at.floor"), "below floor").otherwise("kept")
+    return joined.select(*(F.col(f"rows.`{c}`") for c in scored.columns), told.alias(verdict))

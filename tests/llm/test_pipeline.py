@@ -37,3 +37,18 @@ def test_empty_and_null_documents(spark, sf):
         for name, stage in p.STAGES:
             docs = materialize(stage(spark, docs, sf), f"test-{name}")
         assert docs.count() == 0
+
+
+def test_language_stage_rejects_by_score(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    words = "the of and to in that was his with which this from there were would their people after".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(80, 160))), "en") for i in range(600)]
+    odd = {1001: "$%&# " * 120 + "x", 1002: " ".join("".join(r.choice("абвгдежзиклмнопрст") for _ in range(5)) for _ in range(100)), 1003: "1234 " * 100}
+    rows += [(i, x, None) for i, x in odd.items()] + [(1004, odd[1002][::-1], "en"), (1005, "Go.", None), (1006, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in p.identify_language(spark, docs, "").collect()}
+    assert kept == {*range(600), 1005, 1006}
