@@ -1,24 +1,26 @@
-"""Exact Jaccard join of word-shingle sets with signature trees.
-
-Sets hang in many small trees.  The branch keys that route a set into trees are, for
-small sets, the least shingle hashes that a partner must share one of (an exact
-prefix); for larger ones min-wise hashes in bands: at similarity 0.8 the chance that two
-sets meet in no tree is (1 - 0.8**ROWS)**BANDS, 1e-11, and it falls steeply above that.
-
-In a tree, nodes hold the OR of their sets' token bitmaps and their range of sizes.
-Each set is first compared with its tree's head.  Trees that still hold unlinked parts
-are traversed against themselves from the top, where a pair of nodes goes if no sets
-below them can overlap enough, or if both are linked already.  Every pair that is
-left is decided on the whole sets.
-
-Defined results: equal sets are one set; null and empty texts have no set, no links and
-n_shingles 0; a text with fewer words than a shingle is one shingle; a null doc_id takes the
-least id of what it is linked with; an empty table gives an empty result.
+"""Exact Jaccard join of word-shingle sets with a forest of signature trees.
+
+Shingles have one order for all: those of a table of frequent ones last, by frequency, then by hash.  Two sets
+of enough similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of either, whatever their sizes,
+so the sets that share such a shingle hang in one tree, named after the least of them; a link can't be lost.
+
+In a tree, nodes hold the OR of their sets' token bitmaps and their range of sizes, and the tree is traversed
+against itself from the top: a pair of nodes goes if no sets below them can overlap enough.  The first traversal has
+small bitmaps only and marks sets that may have a partner (pairs of nodes whose sets are all marked go too).
+The second has the whole sets of those that are left; it decides each pair that no bound rules out on the
+whole sets, and leaves out pairs of nodes whose sets are all linked already, so a group of copies costs about one comparison
+for each.  A tree whose sets don't fit a task is cut in blocks: each block by itself first, then pairs of blocks that
+are not yet linked throughout.
+
+Defined results: equal sets are one set; null and empty texts have no set, no links and n_shingles 0; a text with
+fewer words than a shingle is one shingle; very long texts are read whole; repeated rows are rows of one set; ties of
+ids are one group's; a null doc_id takes the least id of what it is linked with; other columns, whatever their names, are
+passed by; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,12 @@ from quadrille.llm.components import components
 from quadrille.llm.storage import fresh, materialize
 
 SHINGLE, PERCENT = 5, 80
-SMALL, LARGE = 50, 40  # sets of up to SMALL have prefix keys, of LARGE and more band keys; partners share a kind
-BANDS, ROWS = 48, 4
-BITMAP = 64  # 64-bit words of a token bitmap
+FREQUENT = 1 << 18  # most shingles in the table of frequent ones; it orders, so results don't rest on it
 FANOUT = 16
-BLOCK = 8192  # sets of a tree that one task holds; trees of more are traversed by pairs of blocks
+BLOCK = 1 << 21  # shingles of a tree that one task holds; a tree of more is cut in blocks
+TREE_BYTES = 1 << 26  # bitmaps of a tree
 SIEVE = 23  # 2**23 bits of the table that saves rereading sets without a partner
+PAIRS = 256  # pairs of nodes that are opened at once
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -51,30 +53,74 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int,
         yield i, j, np.concatenate(sets) if sets else h, np.append(0, np.cumsum([len(s) for s in sets]))
 
 
-def _scrambles() -> np.ndarray:
-    return np.random.default_rng(48_004).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+def frequent_shingles(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that recur within runs of texts, and the binary logarithm of how often: ``most`` at most.
 
+    All documents are counted; a shingle that a run holds once isn't, so that what is counted stays small.
+    """
 
-def band_keys(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of keys for each set; the sets aren't empty."""
-    low = (sets >> np.uint64(32)).astype(np.uint32)
-    odd, flip = _scrambles()
-    out = np.empty((len(at) - 1, BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(at) - 1, band + 1, np.uint64)
-        for r in range(band * ROWS, band * ROWS + ROWS):
-            x = low ^ flip[r]
-            x *= odd[r]
-            key = W.mix(key + np.minimum.reduceat(x, at[:-1]))
-        out[:, band] = key
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, sets, _ in shingle_sets(b.column(0), k):
+                token, n = np.unique(sets, return_counts=True)
+                again = n > 1
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(token[again])), pa.array(n[again])], names=["token", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+    counted = materialize(counted, "similarity-frequent")
+    levels = {r["level"]: r["count"] for r in counted.groupBy("level").count().collect()}
+    least, total = 1 + max(levels, default=0), 0
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > most:
+            break
+        least = level
+    rows = counted.where(F.col("level") >= least).toPandas()
+    token = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], rows["level"].to_numpy(np.uint8)[order]
+
+
+def levels_of(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for shingles outside the table."""
+    known, level = frequent
+    if not len(known):
+        return np.zeros(len(tokens), np.uint8)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, level[at], 0)
+
+
+def prefix_size(n: int) -> int:
+    return n - -(-n * PERCENT // 100) + 1
 
 
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    return n - -(-n * PERCENT // 100) + 1
+def prefix(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order."""
+    size = prefix_size(len(tokens))
+    rare = tokens[level == 0][:size]
+    return rare if len(rare) == size else tokens[np.lexsort((tokens, level))[:size]]
+
+
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of this size."""
+    return 1 << max(6, (4 * n - 1).bit_length())
+
+
+def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+    """A bit for each token, in 64-bit words."""
+    bits = np.zeros(width, bool)
+    bits[(tokens >> np.uint64(7)) & np.uint64(width - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def resized(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap folded or repeated to a number of words; what it says of tokens stays true."""
+    if len(bits) > words:
+        return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+    return np.tile(bits, words // len(bits))
 
 
-SETS = "k long, doc_id long, sid long, n_shingles int, keys array<long>"
+SETS = "k long, doc_id long, sid long, n_shingles int, keys array<long>, bits binary"
 
 
 def _identities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -82,24 +128,20 @@ def _identities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return W.signed(W.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
 
 
-def scan(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Of each row the set's identity, size and branch keys."""
+def scan(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int = SHINGLE) -> DataFrame:
+    """Of each row the set's identity, size, first shingles and bitmap."""
+    table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, sets, at in shingle_sets(b.column(2), k):
                 n = np.diff(at)
-                large = np.flatnonzero(n >= LARGE)
-                parts: list[np.ndarray] = [np.empty(0, np.uint64)] * len(n)
-                if len(large):
-                    picked = np.concatenate([sets[at[r] : at[r + 1]] for r in large.tolist()])
-                    for r, keys in zip(large.tolist(), band_keys(picked, np.append(0, np.cumsum(n[large]))), strict=True):
-                        parts[r] = keys
-                prefix = prefix_size(n)
-                for r in np.flatnonzero((n > 0) & (n <= SMALL)).tolist():
-                    parts[r] = np.append(parts[r], W.mix(sets[at[r] : at[r] + prefix[r]]))
-                keys = np.concatenate(parts) if len(parts) else np.empty(0, np.uint64)
-                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_identities(sets, at), mask=n == 0), pa.array(n, pa.int32()), lists(W.signed(keys), np.append(0, np.cumsum([len(p) for p in parts])), pa.int64())]
+                level = levels_of(sets, table.value)
+                keys, bits = [np.empty(0, np.uint64)], []
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    keys.append(prefix(sets[x:y], level[x:y]) if y > x else sets[:0])
+                    bits.append(bitmap(sets[x:y], width_of(y - x)).tobytes() if y > x else None)
+                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_identities(sets, at), mask=n == 0), pa.array(n, pa.int32()), lists(W.signed(np.concatenate(keys)), np.append(0, np.cumsum([len(p) for p in keys[1:]])), pa.int64()), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SETS.split(", ")])
 
     return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
@@ -133,147 +175,241 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFram
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def overlap_enough(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2), b.column(3)
-            ok = [overlap_enough(p.values.to_numpy(), q.values.to_numpy()) for p, q in zip(x, y, strict=True)]
-            kept = b.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
-
-    with_a = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
-    close = (F.size("x") * PERCENT <= F.size("y") * 100) & (F.size("y") * PERCENT <= F.size("x") * 100)
-    return with_b.where(close).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """(sid, n, bits): a bitmap with a bit for each token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, n = np.zeros((b.num_rows, BITMAP), np.uint64), []
-            for r, tokens in enumerate(b.column(1)):
-                t = tokens.values.to_numpy().view(np.uint64)
-                n.append(len(t))
-                place = (t >> np.uint64(7)) % np.uint64(BITMAP * 64)
-                np.bitwise_or.at(rows[r], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["sid", "n", "bits"])
-
-    return sets.select("sid", "tokens").mapInArrow(run, "sid long, n int, bits binary")
+def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b that share so many are linked."""
+    return 100 * shared >= PERCENT * (a + b - shared)
 
 
 class SignatureTree:
-    """Levels of nodes over sets that are in order; each node has FANOUT children below it."""
+    """Levels of nodes over sets that are in order; each node has up to FANOUT children below it."""
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, part: np.ndarray) -> None:
-        spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)  # tokens that share a bit with another
-        self.levels = [(bits, n, n, spare, part, part)]
+    def __init__(self, bits: np.ndarray, n: np.ndarray) -> None:
+        spare = n - np.minimum(n, np.bitwise_count(bits).sum(1, dtype=np.int64))  # at most so many tokens share a bit with another
+        self.levels = [(bits, n, n, spare)]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, spare, first, last = self.levels[-1]
+            bits, low, high, spare = self.levels[-1]
             at = np.arange(0, len(bits), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at)))
+
+    def up(self, values: np.ndarray, combine: np.ufunc) -> list[np.ndarray]:
+        """What ``combine`` makes of the sets' values, by node of each level."""
+        out = [values]
+        for level in self.levels[1:]:
+            out.append(combine.reduceat(out[-1], np.arange(0, len(out[-1]), FANOUT)))
+        return out
 
     def possible(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether sets below nodes i and j may be linked and aren't yet."""
-        bits, low, high, spare, first, last = self.levels[level]
-        sized = (high[i] * 100 >= low[j] * PERCENT) & (high[j] * 100 >= low[i] * PERCENT)
-        apart = np.minimum(first[i], first[j]) != np.maximum(last[i], last[j])
-        ok = sized & apart
+        """Whether sets below nodes i and j may overlap enough."""
+        bits, low, high, spare = self.levels[level]
+        ok = (high[i] * 100 >= low[j] * PERCENT) & (high[j] * 100 >= low[i] * PERCENT)
         at = np.flatnonzero(ok)
-        for k in range(0, len(at), 1 << 15):
-            some = at[k : k + (1 << 15)]
+        step = max(1, (1 << 21) // bits.shape[1])
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
             p, q = i[some], j[some]
             most = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64) + np.minimum(spare[p], spare[q])
             most = np.minimum(most, np.minimum(high[p], high[q]))
             ok[some] = most * (100 + PERCENT) >= PERCENT * (low[p] + low[q])
         return ok
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of sets that no bound rules out, from the top down, some at a time."""
+    def heads(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By level, pairs of the first set of each node and the first sets of its other children, if they may overlap enough."""
+        size, step = len(self.levels[0][0]), 1
+        while step < size:
+            other = np.arange(0, size, step)
+            other = other[other % (step * FANOUT) > 0]
+            first = other - other % (step * FANOUT)
+            ok = self.possible(0, first, other)
+            yield first[ok], other[ok]
+            step *= FANOUT
+
+    def traverse(self, closed: Callable[[int, np.ndarray, np.ndarray], np.ndarray], visit: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """Visits pairs of sets that no bound rules out, from the top down, without nodes that are closed by then."""
         work = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        step = np.arange(FANOUT)
         while work:
             level, i, j = work.pop()
-            if len(i) > 4096 and level:
-                work += [(level, i[k : k + 4096], j[k : k + 4096]) for k in range(0, len(i), 4096)]
+            if len(i) > PAIRS and level:
+                work += [(level, i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
                 continue
+            ok = ~closed(level, i, j)
+            i, j = i[ok], j[ok]
             ok = self.possible(level, i, j)
             i, j = i[ok], j[ok]
+            if not len(i):
+                continue
             if not level:
-                yield i, j
-            elif len(i):
-                step = np.arange(FANOUT)
-                p = np.repeat(i[:, None] * FANOUT + step, FANOUT, axis=1).ravel()
-                q = np.tile(j[:, None] * FANOUT + step, (1, FANOUT)).ravel()
-                size = len(self.levels[level - 1][0])
-                fits = (p < size) & (q < size) & ((p < q) | ((p == q) & (level > 1)))
-                work.append((level - 1, p[fits], q[fits]))
-
-
-def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, sid, component, n, bits) in order of the first three; a tree for each such group."""
+                apart = i != j
+                visit(i[apart], j[apart])
+                continue
+            p = np.repeat(i[:, None] * FANOUT + step, FANOUT, axis=1).ravel()
+            q = np.tile(j[:, None] * FANOUT + step, (1, FANOUT)).ravel()
+            size = len(self.levels[level - 1][0])
+            fits = (p < size) & (q < size) & ((p < q) | ((p == q) & (level > 1)))
+            work.append((level - 1, p[fits], q[fits]))
+
+
+def marked(bits: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Which sets may have a partner among the others, judged by bitmaps."""
+    words = min(max(len(b) for b in bits), 1 << max(0, (TREE_BYTES // 8 // len(bits)).bit_length() - 1))
+    tree = SignatureTree(np.stack([resized(b, words) for b in bits]), n)
+    mark = np.zeros(len(n), bool)
+    for p, q in tree.heads():
+        mark[p] = mark[q] = True
+    whole = tree.up(mark, np.logical_and)
+
+    def visit(p: np.ndarray, q: np.ndarray) -> None:
+        mark[p] = mark[q] = True
+        whole[:] = tree.up(mark, np.logical_and)
+
+    tree.traverse(lambda level, i, j: whole[level][i] & whole[level][j], visit)
+    return mark
+
+
+class Linker:
+    """Links the sets of one tree; sets of equal label are linked already, sets of equal block aren't compared."""
+
+    def __init__(self, sets: list[np.ndarray], label: np.ndarray, block: np.ndarray | None = None) -> None:
+        self.sets, self.n, self.block = sets, np.array([len(s) for s in sets], np.int64), block
+        width = 1 << max(6, (16 * int(np.median(self.n)) - 1).bit_length())
+        width = min(width, 1 << max(6, (TREE_BYTES * 8 // len(sets)).bit_length() - 1))
+        self.tree = SignatureTree(np.stack([bitmap(s, width) for s in sets]), self.n)
+        self.label, self.links = np.unique(label, return_inverse=True)[1], []
+        self._lift()
+
+    def _lift(self) -> None:
+        self.low, self.high = self.tree.up(self.label, np.minimum), self.tree.up(self.label, np.maximum)
+
+    def shared(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many tokens the pairs of sets share; pairs of equal p stand together."""
+        out, at = np.empty(len(p), np.int64), np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        for a, z in zip(at.tolist(), np.append(at[1:], len(p)).tolist(), strict=True):
+            mine, others = self.sets[p[a]], [self.sets[x] for x in q[a:z].tolist()]
+            every = np.concatenate(others)
+            same = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            out[a:z] = np.add.reduceat(same, np.append(0, np.cumsum([len(o) for o in others])[:-1]), dtype=np.int64)
+        return out
+
+    def decide(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Links those of the pairs that are similar, but for pairs that are linked by then."""
+        if self.block is not None:
+            ok = self.block[p] != self.block[q]
+            p, q = p[ok], q[ok]
+        each = 1
+        while True:
+            ok = self.label[p] != self.label[q]
+            p, q = p[ok], q[ok]
+            if not len(p):
+                return
+            a, b = np.minimum(self.label[p], self.label[q]), np.maximum(self.label[p], self.label[q])
+            order = np.lexsort((q, p, b, a))
+            new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+            rank = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+            some = np.zeros(len(p), bool)
+            some[order[rank < each]] = True
+            x, y = p[some], q[some]
+            by = np.argsort(x, kind="stable")
+            x, y = x[by], y[by]
+            good = similar(self.shared(x, y), self.n[x], self.n[y])
+            for u, v in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                if self.label[u] != self.label[v]:
+                    self.links.append((u, v))
+                    self.label[self.label == max(self.label[u], self.label[v])] = min(self.label[u], self.label[v])
+            if good.any():
+                self._lift()
+            p, q, each = p[~some], q[~some], each * 4
+
+    def run(self) -> list[tuple[int, int]]:
+        for p, q in self.tree.heads():
+            self.decide(p, q)
+        self.tree.traverse(lambda level, i, j: np.minimum(self.low[level][i], self.low[level][j]) == np.maximum(self.high[level][i], self.high[level][j]) if level else self.label[i] == self.label[j], self.decide)
+        return self.links
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows that agree in the first columns, which are sorted."""
     held: list[pa.RecordBatch] = []
-
-    def tree() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        block, sid, part = (rows.column(c).to_numpy() for c in (3, 4, 5))
-        n = rows.column(6).to_numpy().astype(np.int64)
-        bits = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP)
-        order = np.lexsort((sid, n, part))
-        block, sid, part, n, bits = block[order], sid[order], part[order], n[order], bits[order]
-        across = held[0].column(1)[0].as_py() != held[0].column(2)[0].as_py()
-        for p, q in SignatureTree(bits, n, part).pairs():
-            ok = block[p] != block[q] if across else np.ones(len(p), bool)
-            a, b = sid[p[ok]], sid[q[ok]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
     for b in batches:
-        keys = np.stack([b.column(c).to_numpy() for c in range(3)], 1)
-        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for x, y in zip(np.append(0, cut).tolist(), np.append(cut, len(keys)).tolist(), strict=True):
-            if y == x:
-                continue
-            if held and tuple(keys[x]) != tuple(c[0].as_py() for c in held[0].columns[:3]):
-                yield from tree()
+        if not b.num_rows:
+            continue
+        values = np.stack([b.column(c).to_numpy() for c in range(keys)], 1)
+        cut = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+        for x, y in zip(np.append(0, cut).tolist(), np.append(cut, len(values)).tolist(), strict=True):
+            if held and [c[0].as_py() for c in held[0].columns[:keys]] != values[x].tolist():
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(b.slice(x, y - x))
     if held:
-        yield from tree()
+        yield pa.Table.from_batches(held)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, sid, n, bits): (tree, sid) of those that may have a partner in the tree."""
+    for rows in _groups(batches, 1):
+        if len(rows) < 2:
+            continue
+        rows = rows.take(np.argsort(rows.column(2).to_numpy(), kind="stable"))
+        bits = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column(3)]
+        kept = rows.select([0, 1]).filter(pa.array(marked(bits, rows.column(2).to_numpy().astype(np.int64)))).combine_chunks()
+        yield from kept.to_batches()
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, i, j, block, sid, label, tokens): links (a, b)."""
+    for rows in _groups(batches, 3):
+        if len(rows) < 2:
+            continue
+        sets = [x.values.to_numpy().view(np.uint64) for c in rows.column(6).chunks for x in c]
+        order = np.array(sorted(range(len(sets)), key=lambda r: (sets[r][0], len(sets[r]))))
+        block, sid, label = (rows.column(c).to_numpy()[order] for c in (3, 4, 5))
+        across = rows.column(1)[0].as_py() != rows.column(2)[0].as_py()
+        links = Linker([sets[r] for r in order.tolist()], label, block if across else None).run()
+        p, q = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[p], sid[q])), pa.array(np.maximum(sid[p], sid[q]))], names=["a", "b"])
+
+
+def forest(sets: DataFrame) -> DataFrame:
+    """(tree, sid): sets that share one of their first shingles hang in the tree of the least of them."""
+    hung = sets.select("sid", F.explode("keys").alias("key"))
+    trees = hung.groupBy("key").agg(F.min("sid").alias("tree"), F.max("sid").alias("last")).where("tree < last")
+    return hung.join(trees, "key").select("tree", "sid").distinct()
+
+
+def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
+    """Links within groups (tree, i, j) of rows (tree, i, j, block, sid, label)."""
+    ready = placed.join(whole, "sid").select("tree", "i", "j", "block", "sid", "label", "tokens")
+    return ready.repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j").mapInArrow(_link, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(k, doc_id, n_shingles, component, component_id) of each row; k is a hash of the row's id and text, component of linked sets."""
-    scanned = materialize(scan(docs, k), "similarity-scan")
-    sets = materialize(scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "similarity-sets")
-    hung = sets.select("sid", F.explode(F.array_distinct("keys")).alias("key"))
-    trees = hung.groupBy("key").agg(F.min("sid").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(hung.join(trees, "key"), "similarity-members")
-    with_partner = members.select("sid").distinct()
-    whole = materialize(whole_sets(docs, with_partner, k), "similarity-whole")
-
-    first = members.where("sid != head").select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct()
-    first = materialize(first, "similarity-heads")
-    links = materialize(verified(first, whole), "similarity-links")
+    scanned = materialize(scan(docs, frequent_shingles(docs, k), k), "similarity-scan")
+    sets = scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    sets = materialize(sets, "similarity-sets")
+    hung = materialize(forest(sets), "similarity-forest").join(sets.select("sid", "n", "bits"), "sid")
+    sizes = hung.groupBy("tree").agg(F.sum("n").alias("total"))
+    hung = hung.join(sizes, "tree")
+    small = hung.where(F.col("total") <= block).select("tree", "sid", "n", "bits").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
+    left = materialize(small.unionByName(hung.where(F.col("total") > block).select("tree", "sid")), "similarity-left")
+
+    whole = materialize(whole_sets(docs, left.select("sid").distinct(), k), "similarity-whole")
+    held = left.join(whole.select("sid", F.size("tokens").cast("long").alias("n")), "sid")
+    counts = held.groupBy("tree").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    placed = materialize(left.join(counts, "tree").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")), "similarity-placed")
+    alone = placed.select("tree", F.col("block").alias("i"), F.col("block").alias("j"), "block", "sid", F.col("sid").alias("label"))
+    links = materialize(_linked(alone, whole), "similarity-links")
     parts = components(links)
 
-    placed = members.where("n > 2").join(parts.withColumnRenamed("id", "sid"), "sid", "left").select("key", "sid", "n", "head", F.coalesce("component", "sid").alias("component"))
-    placed = materialize(placed, "similarity-placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("key")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    left = placed.where("sid != head").join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "component")
-    ready = left.join(bitmaps(whole), "sid").select("key", "i", "j", "block", "sid", "component", "n", "bits")
-    open_pairs = ready.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_traverse, "a long, b long").distinct()
-    later = materialize(verified(open_pairs.join(first, ["a", "b"], "left_anti"), whole), "similarity-links")
-    parts = components(links.unionByName(later))
+    several = placed.where("blocks > 1")
+    if not several.isEmpty():
+        known = several.join(parts.withColumnRenamed("id", "sid"), "sid", "left").select("tree", "block", "sid", F.coalesce("component", "sid").alias("label"))
+        known = materialize(known, "similarity-blocks")
+        range_of = known.groupBy("tree", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        p, q = (range_of.select("tree", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
+        mixed = p.join(q, "tree").where("i < j").where(F.least("low_i", "low_j") != F.greatest("high_i", "high_j"))
+        sides = mixed.select("tree", "i", "j", F.explode(F.array("i", "j")).alias("block"))
+        later = _linked(sides.join(known, ["tree", "block"]).select("tree", "i", "j", "block", "sid", "label"), whole)
+        parts = components(links.unionByName(materialize(later, "similarity-links")))
 
     joined = sets.select("sid", "least").join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -113,7 +113,7 @@ def test_similarity_against_brute_force(spark, odd):
         if d is not None:
             least[root(i)] = min(least.get(root(i), d), d)
     expected = sorted((d, len(s), least.get(root(i), -1) if s else d) for i, (d, s) in enumerate(zip(ids(docs), sets, strict=True)))
-    for block in (similarity.BLOCK, 5):
+    for block in (similarity.BLOCK, 200):
         found = similarity.similar_components(frame(spark, docs), block=block).collect()
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in found) == expected
     kept = similarity.one_of_each(frame(spark, docs))
@@ -122,21 +122,44 @@ def test_similarity_against_brute_force(spark, odd):
     assert similarity.similar_components(frame(spark, docs).limit(0)).count() == 0
 
 
-def test_tree_rules_out_no_similar_pair():
+def test_trees_find_every_link_among_large_sets():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    base = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (30, 200, 700) for _ in range(6)]
-    sets = [np.unique(np.append(b[rng.random(len(b)) > 0.06], rng.integers(0, 1 << 62, 4).astype(np.uint64))) for b in base for _ in range(8)]
-    sets.sort(key=len)
-    bits = np.zeros((len(sets), similarity.BITMAP), np.uint64)
-    for r, t in enumerate(sets):
-        place = (t >> np.uint64(7)) % np.uint64(similarity.BITMAP * 64)
-        np.bitwise_or.at(bits[r], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    tree = similarity.SignatureTree(bits, np.array([len(s) for s in sets]), np.arange(len(sets)))
-    found = {(int(i), int(j)) for p, q in tree.pairs() for i, j in zip(p, q, strict=True)}
-    right = {(i, j) for j in range(len(sets)) for i in range(j) if similarity.overlap_enough(sets[i], sets[j])}
-    assert right and right <= found and len(found) < len(sets) * (len(sets) - 1) // 6
+    base = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (1, 30, 200, 700) for _ in range(5)]
+    sets = [np.unique(np.append(b[rng.random(len(b)) > x], rng.integers(0, 1 << 62, 4).astype(np.uint64))) for b in base for x in rng.choice([0.02, 0.06, 0.11, 0.2], 9)]
+    sets.sort(key=lambda s: s[0])
+    n = np.array([len(s) for s in sets])
+    right = {(i, j) for j in range(len(sets)) for i in range(j) if similarity.similar(len(np.intersect1d(sets[i], sets[j])), n[i], n[j])}
+    mark = similarity.marked([similarity.bitmap(s, similarity.width_of(len(s))) for s in sets], n)
+    assert right and all(mark[i] and mark[j] for i, j in right) and not mark.all()
+    tree = similarity.SignatureTree(np.stack([similarity.bitmap(s, 4096) for s in sets]), n)
+    seen = set()
+    tree.traverse(lambda level, i, j: np.zeros(len(i), bool), lambda i, j: seen.update(zip(i.tolist(), j.tolist(), strict=True)))
+    assert right <= seen and len(seen) < len(sets) * (len(sets) - 1) // 6
+
+    def parts(links):
+        label = list(range(len(sets)))
+        for i, j in links:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k, y in enumerate(label) if y == x) for x in label}
+
+    links = similarity.Linker(sets, np.arange(len(sets))).run()
+    assert parts(links) == parts(right) and set(links) <= right | {(j, i) for i, j in right} and len(links) < len(right)
+    block = rng.integers(0, 3, len(sets))
+    assert parts(similarity.Linker(sets, np.arange(len(sets)), block).run()) == parts((i, j) for i, j in right if block[i] != block[j])
+
+
+def test_frequent_shingles_order_prefixes_and_stay_bounded(spark):
+    docs = frame(spark, [(i, f"one two three four five six seven {i} {i * i}") for i in range(50)])
+    token, level = similarity.frequent_shingles(docs)
+    assert len(token) == 3 and set(level.tolist()) == {5} and len(similarity.frequent_shingles(docs, most=2)[0]) == 0
+    sets = sorted(range(1, 101))
+    import numpy as np
+
+    tokens = np.array(sets, np.uint64)
+    order = similarity.prefix(tokens, np.where(tokens < 90, 3, 0))
+    assert similarity.prefix_size(100) == 21 and order.tolist() == list(range(90, 101)) + list(range(1, 11))
 
 
 def test_components_of_a_long_path(spark):
