@@ -34,6 +34,7 @@ from quadrille.llm.storage import fresh, materialize
 
 SHINGLE, PERCENT = 5, 80
 FREQUENT = 1 << 18  # most shingles in the table of frequent ones; it orders, so results don't rest on it
+HOT = 10  # shingles of this level and more have their sets' least id found by partial sums
 FANOUT = 16
 BLOCK = 1 << 21  # shingles of a tree that one task holds; a tree of more is cut in blocks
 TREE_BYTES = 1 << 26  # bitmaps of a tree
@@ -120,7 +121,7 @@ def resized(bits: np.ndarray, words: int) -> np.ndarray:
     return np.tile(bits, words // len(bits))
 
 
-SETS = "k long, doc_id long, sid long, n_shingles int, keys array<long>, bits binary"
+SETS = "k long, doc_id long, sid long, n_shingles int, keys array<long>, hot array<long>, bits binary"
 
 
 def _identities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -128,6 +129,10 @@ def _identities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return W.signed(W.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
 
 
+def _listed(parts: list[np.ndarray]) -> pa.ListArray:
+    return lists(W.signed(np.concatenate([np.empty(0, np.uint64), *parts])), np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64)), pa.int64())
+
+
 def scan(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int = SHINGLE) -> DataFrame:
     """Of each row the set's identity, size, first shingles and bitmap."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -137,11 +142,14 @@ def scan(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int = SHIN
             for i, j, sets, at in shingle_sets(b.column(2), k):
                 n = np.diff(at)
                 level = levels_of(sets, table.value)
-                keys, bits = [np.empty(0, np.uint64)], []
+                keys, hot, bits = [], [], []
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    keys.append(prefix(sets[x:y], level[x:y]) if y > x else sets[:0])
+                    first = prefix(sets[x:y], level[x:y]) if y > x else sets[:0]
+                    often = levels_of(first, table.value) >= HOT
+                    keys.append(first[~often])
+                    hot.append(first[often])
                     bits.append(bitmap(sets[x:y], width_of(y - x)).tobytes() if y > x else None)
-                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_identities(sets, at), mask=n == 0), pa.array(n, pa.int32()), lists(W.signed(np.concatenate(keys)), np.append(0, np.cumsum([len(p) for p in keys[1:]])), pa.int64()), pa.array(bits, pa.binary())]
+                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_identities(sets, at), mask=n == 0), pa.array(n, pa.int32()), _listed(keys), _listed(hot), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SETS.split(", ")])
 
     return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
@@ -167,9 +175,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFram
                 ok = (table.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool) & (np.diff(at) > 0)
                 rows = np.flatnonzero(ok)
                 rows = rows[np.unique(sid[rows], return_index=True)[1]]
-                parts = [sets[at[r] : at[r + 1]] for r in rows.tolist()]
-                tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), lists(W.signed(tokens), np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64)), pa.int64())], names=["sid", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), _listed([sets[at[r] : at[r + 1]] for r in rows.tolist()])], names=["sid", "tokens"])
 
     found = docs.select("text").mapInArrow(run, "sid long, tokens array<long>")
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
@@ -369,10 +375,18 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(sets: DataFrame) -> DataFrame:
-    """(tree, sid): sets that share one of their first shingles hang in the tree of the least of them."""
-    hung = sets.select("sid", F.explode("keys").alias("key"))
-    trees = hung.groupBy("key").agg(F.min("sid").alias("tree"), F.max("sid").alias("last")).where("tree < last")
-    return hung.join(trees, "key").select("tree", "sid").distinct()
+    """(tree, sid): sets that share one of their first shingles hang in the tree of the least of them.
+
+    The rows of a shingle are shuffled once, but for hot shingles: they are as few as their table, so their trees are
+    found by partial sums and broadcast.
+    """
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("sid").alias("tree"), F.max("sid").alias("last")).where("tree < last").select("key", "tree")
+
+    rare = sets.select("sid", F.explode("keys").alias("key")).repartition("key")
+    hot = sets.select("sid", F.explode("hot").alias("key"))
+    return rare.join(least(rare), "key").select("tree", "sid").unionByName(hot.join(F.broadcast(least(hot)), "key").select("tree", "sid")).distinct()
 
 
 def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
@@ -384,7 +398,7 @@ def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(k, doc_id, n_shingles, component, component_id) of each row; k is a hash of the row's id and text, component of linked sets."""
     scanned = materialize(scan(docs, frequent_shingles(docs, k), k), "similarity-scan")
-    sets = scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    sets = scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("hot").alias("hot"), F.first("bits").alias("bits"))
     sets = materialize(sets, "similarity-sets")
     hung = materialize(forest(sets), "similarity-forest").join(sets.select("sid", "n", "bits"), "sid")
     sizes = hung.groupBy("tree").agg(F.sum("n").alias("total"))
