@@ -121,6 +121,10 @@ def resized(bits: np.ndarray, words: int) -> np.ndarray:
     return np.tile(bits, words // len(bits))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 SETS = "k long, doc_id long, sid long, n_shingles int, keys array<long>, hot array<long>, bits binary"
 
 
@@ -152,32 +156,30 @@ def scan(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int = SHIN
                 columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_identities(sets, at), mask=n == 0), pa.array(n, pa.int32()), _listed(keys), _listed(hot), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SETS.split(", ")])
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return _keyed(docs).mapInArrow(run, SETS)
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bit for each leading part of an id: a table of fixed size, at most 2**SIEVE / 64 rows to the driver."""
-    rows = ids.select(F.expr(f"shiftrightunsigned(sid, {64 - SIEVE + 6})").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sid, {64 - SIEVE}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bit for each leading part of a key: a table of fixed size, at most 2**SIEVE / 64 rows to the driver."""
+    rows = keys.select(F.expr(f"shiftrightunsigned(k, {64 - SIEVE + 6})").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {64 - SIEVE}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
     table = np.zeros(1 << SIEVE - 6, np.int64)
     table[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return table.view(np.uint64)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(sid, tokens) of the wanted sets, each once."""
+    """(sid, tokens) of the wanted sets (sid, k), each once: of equal sets one row's text is read again."""
     table = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, sets, at in shingle_sets(b.column(0), k):
-                sid = _identities(sets, at)
-                place = sid.view(np.uint64) >> np.uint64(64 - SIEVE)
-                ok = (table.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool) & (np.diff(at) > 0)
-                rows = np.flatnonzero(ok)
-                rows = rows[np.unique(sid[rows], return_index=True)[1]]
+            place = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE)
+            ok = table.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)
+            for _, _, sets, at in shingle_sets(b.column(1).take(pa.array(np.flatnonzero(ok))), k):
+                sid, rows = _identities(sets, at), np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), _listed([sets[at[r] : at[r + 1]] for r in rows.tolist()])], names=["sid", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "sid long, tokens array<long>")
+    found = _keyed(docs).select("k", "text").mapInArrow(run, "sid long, tokens array<long>")
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -386,7 +388,7 @@ def forest(sets: DataFrame) -> DataFrame:
 
     rare = sets.select("sid", F.explode("keys").alias("key")).repartition("key")
     hot = sets.select("sid", F.explode("hot").alias("key"))
-    return rare.join(least(rare), "key").select("tree", "sid").unionByName(hot.join(F.broadcast(least(hot)), "key").select("tree", "sid")).distinct()
+    return rare.join(least(rare).hint("merge"), "key").select("tree", "sid").unionByName(hot.join(F.broadcast(least(hot)), "key").select("tree", "sid")).distinct()
 
 
 def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
@@ -398,15 +400,16 @@ def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(k, doc_id, n_shingles, component, component_id) of each row; k is a hash of the row's id and text, component of linked sets."""
     scanned = materialize(scan(docs, frequent_shingles(docs, k), k), "similarity-scan")
-    sets = scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("hot").alias("hot"), F.first("bits").alias("bits"))
-    sets = materialize(sets, "similarity-sets")
-    hung = materialize(forest(sets), "similarity-forest").join(sets.select("sid", "n", "bits"), "sid")
-    sizes = hung.groupBy("tree").agg(F.sum("n").alias("total"))
-    hung = hung.join(sizes, "tree")
-    small = hung.where(F.col("total") <= block).select("tree", "sid", "n", "bits").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
-    left = materialize(small.unionByName(hung.where(F.col("total") > block).select("tree", "sid")), "similarity-left")
-
-    whole = materialize(whole_sets(docs, left.select("sid").distinct(), k), "similarity-whole")
+    picked = {"least": F.min("doc_id"), "k": F.first("k"), "n": F.first("n_shingles"), "keys": F.first("keys"), "hot": F.first("hot"), "bits": F.first("bits")}
+    sets = materialize(scanned.where("sid is not null").groupBy("sid").agg(*(c.alias(name) for name, c in picked.items())), "similarity-sets")
+    hung = materialize(forest(sets).join(sets.select("sid", "n").hint("merge"), "sid"), "similarity-forest")
+    hung = hung.join(hung.groupBy("tree").agg(F.sum("n").alias("total")), "tree")
+    fit = F.col("total") <= block
+    small = hung.where(fit).join(sets.select("sid", "bits").hint("merge"), "sid").select("tree", "sid", "n", "bits").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
+    left = materialize(small.unionByName(hung.where(~fit).select("tree", "sid")), "similarity-left")
+
+    wanted = left.select("sid").distinct().join(sets.select("sid", "k"), "sid")
+    whole = materialize(whole_sets(docs, wanted, k), "similarity-whole")
     held = left.join(whole.select("sid", F.size("tokens").cast("long").alias("n")), "sid")
     counts = held.groupBy("tree").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     placed = materialize(left.join(counts, "tree").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")), "similarity-placed")
