@@ -20,6 +20,7 @@ passed by; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -377,18 +378,23 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(sets: DataFrame) -> DataFrame:
-    """(tree, sid): sets that share one of their first shingles hang in the tree of the least of them.
+    """(tree, sid, n): sets that share one of their first shingles and a range of sizes hang in the tree of the least of them.
 
-    The rows of a shingle are shuffled once, but for hot shingles: they are as few as their table, so their trees are
-    found by partial sums and broadcast.
+    A set is in the range of its size and in the next, so that sets close enough to be linked share one.  The rows of a
+    shingle are shuffled once, but for hot shingles: their trees are as few as their table, found by partial sums and broadcast.
     """
+    size = F.floor(F.log(F.col("n")) / F.lit(1.000001 * math.log(100 / PERCENT))).cast("int")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        return rows.select("sid", "n", "key", F.explode(F.array(size, size + 1)).alias("size"))
 
     def least(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.min("sid").alias("tree"), F.max("sid").alias("last")).where("tree < last").select("key", "tree")
+        return rows.groupBy("key", "size").agg(F.min("sid").alias("tree"), F.max("sid").alias("last")).where("tree < last").select("key", "size", "tree")
 
-    rare = sets.select("sid", F.explode("keys").alias("key")).repartition("key")
-    hot = sets.select("sid", F.explode("hot").alias("key"))
-    return rare.join(least(rare).hint("merge"), "key").select("tree", "sid").unionByName(hot.join(F.broadcast(least(hot)), "key").select("tree", "sid")).distinct()
+    rare = ranged(sets.select("sid", "n", F.explode("keys").alias("key")).repartition("key"))
+    hot = ranged(sets.select("sid", "n", F.explode("hot").alias("key")))
+    both = rare.join(least(rare).hint("merge"), ["key", "size"]).unionByName(hot.join(F.broadcast(least(hot)), ["key", "size"]))
+    return both.select("tree", "sid", "n").distinct()
 
 
 def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
@@ -402,7 +408,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) ->
     scanned = materialize(scan(docs, frequent_shingles(docs, k), k), "similarity-scan")
     picked = {"least": F.min("doc_id"), "k": F.first("k"), "n": F.first("n_shingles"), "keys": F.first("keys"), "hot": F.first("hot"), "bits": F.first("bits")}
     sets = materialize(scanned.where("sid is not null").groupBy("sid").agg(*(c.alias(name) for name, c in picked.items())), "similarity-sets")
-    hung = materialize(forest(sets).join(sets.select("sid", "n").hint("merge"), "sid"), "similarity-forest")
+    hung = materialize(forest(sets), "similarity-forest")
     hung = hung.join(hung.groupBy("tree").agg(F.sum("n").alias("total")), "tree")
     fit = F.col("total") <= block
     small = hung.where(fit).join(sets.select("sid", "bits").hint("merge"), "sid").select("tree", "sid", "n", "bits").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
