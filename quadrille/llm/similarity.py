@@ -385,16 +385,19 @@ def forest(sets: DataFrame) -> DataFrame:
     """
     size = F.floor(F.log(F.col("n")) / F.lit(1.000001 * math.log(100 / PERCENT))).cast("int")
 
+    def least(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min("sid").alias("tree"), F.max("sid").alias("last")).where("tree < last").drop("last")
+
     def ranged(rows: DataFrame) -> DataFrame:
         return rows.select("sid", "n", "key", F.explode(F.array(size, size + 1)).alias("size"))
 
-    def least(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key", "size").agg(F.min("sid").alias("tree"), F.max("sid").alias("last")).where("tree < last").select("key", "size", "tree")
-
-    rare = ranged(sets.select("sid", "n", F.explode("keys").alias("key")).repartition("key"))
+    rare = sets.select("sid", "n", F.explode("keys").alias("key")).repartition("key")
+    rare = ranged(rare.join(least(rare, "key").select("key").hint("merge"), "key"))
+    alike = Window.partitionBy("key", "size")  # rows of a key lie together already
+    rare = rare.withColumn("tree", F.min("sid").over(alike)).withColumn("last", F.max("sid").over(alike)).where("tree < last")
     hot = ranged(sets.select("sid", "n", F.explode("hot").alias("key")))
-    both = rare.join(least(rare).hint("merge"), ["key", "size"]).unionByName(hot.join(F.broadcast(least(hot)), ["key", "size"]))
-    return both.select("tree", "sid", "n").distinct()
+    hot = hot.join(F.broadcast(least(hot, "key", "size")), ["key", "size"])
+    return rare.select("tree", "sid", "n").unionByName(hot.select("tree", "sid", "n")).distinct()
 
 
 def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
