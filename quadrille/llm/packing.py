@@ -5,11 +5,13 @@ lengths: a gene is a bin (the lengths in it) and how many such bins there are.
 Crossover injects whole well-filled bins of one parent, drops the other's bins
 that hold documents which are placed already, and best-fits the displaced.
 Islands share out the documents evenly, whatever their lengths; between epochs the
-best bins of each island go to the next one as genes.  Pieces of full length
-need no company and are sequences as they are.
+best bins of each island go to the next one as genes.  At the end every island gives up its
+emptiest bins, and what was in them is packed again in islands of their own, so that many islands
+waste no more than one.  Pieces of full length need no company and are sequences as they are.
 
 Defined results: a null text is empty, and its only id is the end id; repeated rows
-are packed one by one; an empty table gives no pieces.
+are packed one by one; pieces of equal length are dealt in order of doc_id and piece; very long texts are cut;
+other columns, whatever their names, are passed by; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -31,8 +34,9 @@ from quadrille.llm.storage import materialize
 from quadrille.llm.tokens import encoder, tokenizer_path, with_end
 
 CAPACITY = 1024
-ISLAND_DOCUMENTS = 100_000
-POPULATION, GENERATIONS, EPOCHS, ELITES = 6, 24, 2, 64
+ISLAND_DOCUMENTS = 4_000
+POPULATION, GENERATIONS, EPOCHS, ELITES = 6, 24, 3, 64
+GIVEN_UP = 20  # one in so many of an island's bins, the emptiest ones, is packed again with those of other islands
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 
@@ -131,6 +135,31 @@ def _keep(bins: list[tuple[tuple[int, ...], int]], left: Counter) -> Bins:
     return kept
 
 
+def exchange(out: Counter, kept: Bins, capacity: int, most: int = 16) -> tuple[Counter, Bins]:
+    """Fill the emptiest bins better with displaced documents: one or two of a bin go out for one or two that take more room."""
+    out, done = Counter(out), Counter()
+    emptiest = set(nsmallest(most, kept, key=sum))
+    for lengths, n in kept.items():
+        room = capacity - sum(lengths) if lengths in emptiest else 0
+        while room and n and out:
+            sizes = sorted(out)[-most:]
+            new = {(d,): d for d in sizes} | {(d, e): d + e for i, d in enumerate(sizes) for e in sizes[: i + 1] if (d != e or out[d] > 1)}
+            old = {(x,): x for x in lengths} | {(lengths[i], lengths[j]): lengths[i] + lengths[j] for i in range(len(lengths)) for j in range(i)}
+            gain, d, x = max(((b - a, d, x) for d, b in new.items() for x, a in old.items() if 0 < b - a <= room), default=(0, (), ()))
+            if not gain:
+                break
+            lengths_new = tuple(sorted((Counter(lengths) - Counter(x) + Counter(d)).elements(), reverse=True))
+            if n > 1:
+                done[lengths] += n - 1
+                n = 1
+            out.subtract(d)
+            out.update(x)
+            out = +out
+            lengths, room = lengths_new, room - gain
+        done[lengths] += n
+    return out, done
+
+
 def crossover(a: Bins, b: Bins, documents: Counter, rng: np.random.Generator, capacity: int) -> Bins:
     """Whole well-filled bins of ``b`` go into ``a``."""
     fills = sorted((capacity - sum(x) for x in b))
@@ -140,7 +169,7 @@ def crossover(a: Bins, b: Bins, documents: Counter, rng: np.random.Generator, ca
     child = _keep(chosen, left)
     own = sorted(a.items(), key=lambda x: (capacity - sum(x[0]), rng.random()))
     child.update(_keep(own, left))
-    return best_fit(+left, child, capacity)
+    return best_fit(*exchange(+left, child, capacity), capacity)
 
 
 def mutate(a: Bins, rng: np.random.Generator, capacity: int) -> Bins:
@@ -155,7 +184,7 @@ def mutate(a: Bins, rng: np.random.Generator, capacity: int) -> Bins:
                 out[x] += n
         else:
             kept[lengths] = n
-    return best_fit(out, kept, capacity)
+    return best_fit(*exchange(out, kept, capacity), capacity)
 
 
 def fitness(a: Bins, capacity: int) -> tuple[int, float]:
@@ -210,8 +239,6 @@ def islands(histogram: DataFrame, n_islands: int, capacity: int = CAPACITY, epoc
     genes = documents
     for epoch in range(epochs):
         found = materialize(genes.groupBy("island").applyInPandas(run, GENES), f"packing-epoch{epoch}")
-        if n_islands == 1:
-            break
         filled = F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
         ranked = found.withColumn("rank", F.expr("row_number() over (partition by island order by aggregate(lengths, 0, (a, x) -> a + x) desc, n desc, lengths)"))
         elite = ranked.where((F.col("rank") <= ELITES) & (filled > capacity // 2)).select(((F.col("island") + 1) % n_islands).alias("island"), F.lit("elite").alias("kind"), "lengths", "n")
@@ -223,10 +250,11 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 def _place(key: tuple, pieces: pd.DataFrame, bins: pd.DataFrame) -> pd.DataFrame:
-    """Give each piece of an island a slot of its length; bins are numbered within the island."""
+    """Give the pieces of an island the slots of their length; those beyond the slots get none.  Bins are numbered within the island."""
     names = [f.split()[0] for f in PACKED.split(", ")]
-    if not len(pieces):
-        return pd.DataFrame({x: [] for x in names})
+    pieces = pieces.sort_values(["length", "doc_id", "piece", "ids_crc32", "spread"], kind="stable")
+    if not len(bins):
+        return pieces.assign(sequence_id=None, offset=None)[names]
     lengths = [np.asarray(x, np.int64) for x in bins["lengths"]]
     times = bins["n"].to_numpy(np.int64)
     kind = np.repeat(np.arange(len(lengths)), times)
@@ -236,22 +264,48 @@ def _place(key: tuple, pieces: pd.DataFrame, bins: pd.DataFrame) -> pd.DataFrame
     before = np.concatenate([np.cumsum(x) - x for x in lengths])
     at = ranges(first[kind], sizes[kind])
     slots = pd.DataFrame({"length": flat[at], "bin": np.repeat(np.arange(len(kind)), sizes[kind]), "offset": before[at]}).sort_values("length", kind="stable")
-    pieces = pieces.sort_values(["length", "doc_id", "piece", "ids_crc32", "spread"], kind="stable")
-    if not np.array_equal(slots["length"].to_numpy(), pieces["length"].to_numpy()):
-        raise ValueError(f"island {key[0]}: the bins do not hold its pieces")
-    return pieces.assign(sequence_id=(key[0] << 40) + slots["bin"].to_numpy(), offset=slots["offset"].to_numpy())[names]
+    for side in (slots, pieces):
+        side["nth"] = side.groupby("length").cumcount()
+    both = pieces.merge(slots, on=["length", "nth"], how="left")
+    if int(both["bin"].notna().sum()) != len(slots):
+        raise ValueError(f"island {key[0]}: the bins hold more than its pieces")
+    return both.assign(sequence_id=((key[0] << 40) + both["bin"].astype("Int64")), offset=both["offset"].astype("Int64"))[names]
+
+
+def _placed(pieces: DataFrame, bins: DataFrame) -> DataFrame:
+    """Pieces by island in their bins; ``island`` stays for those without."""
+    found = pieces.groupBy("island").cogroup(bins.groupBy("island")).applyInPandas(_with_island, f"{PACKED}, island long")
+    return materialize(found, "packing-placed")
+
+
+def _with_island(key: tuple, pieces: pd.DataFrame, bins: pd.DataFrame) -> pd.DataFrame:
+    return _place(key, pieces, bins).assign(island=key[0])
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, island_documents: int = ISLAND_DOCUMENTS, **how: int) -> DataFrame:
     """Add sequence_id and offset to the pieces of ``tokenized_pieces``, each packed once."""
+    names = [f.split()[0] for f in PACKED.split(", ")]
     pieces = materialize(pieces, "packing-pieces")
     alone = pieces.where(F.col("length") == capacity).select(*(c.split()[0] for c in PIECES.split(", ")[:-1]), (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     some = pieces.where(F.col("length") < capacity)
     n_islands = max(1, -(-some.count() // island_documents))
     dealt = some.withColumn("island", F.pmod(F.xxhash64("spread"), F.lit(n_islands)))
     bins = islands(dealt.groupBy("island", "length").agg(F.count("*").alias("n")), n_islands, capacity, **how)
-    packed = dealt.groupBy("island").cogroup(bins.groupBy("island")).applyInPandas(_place, PACKED)
-    return packed.unionByName(alone)
+
+    room = F.lit(capacity) - F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
+    emptiest = Window.partitionBy("island").orderBy(F.desc("room"), "lengths").rowsBetween(Window.unboundedPreceding, 0)
+    judged = bins.withColumn("room", room).withColumn("above", F.sum("n").over(emptiest)).withColumn("all", F.sum("n").over(Window.partitionBy("island")))
+    given = (F.col("room") > 0) & ((F.col("above") - F.col("n")) * GIVEN_UP < F.col("all"))
+    judged = materialize(judged.withColumn("given", given), "packing-bins")
+    first = _placed(dealt, judged.where("not given").select("island", "lengths", "n"))
+
+    loose = first.where("sequence_id is null")
+    n_pools = max(1, -(-loose.count() // island_documents))
+    pool = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n_pools))
+    loose = loose.select(*names[:5], F.lit(0).cast("long").alias("spread"), pool.alias("island"))
+    again = islands(loose.groupBy("island", "length").agg(F.count("*").alias("n")), n_pools, capacity, **how)
+    second = _placed(loose.withColumn("island", F.col("island") + n_islands), again.withColumn("island", F.col("island") + n_islands))
+    return first.where("sequence_id is not null").select(*names).unionByName(second.select(*names)).unionByName(alone)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str | None = None, end: int = 2) -> DataFrame:

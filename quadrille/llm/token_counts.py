@@ -3,7 +3,8 @@
 One row for each length that occurs; running sums from either end answer totals,
 quantiles and what is left after truncation for every context limit.
 
-Defined results: a null text is empty; the end id counts; an empty table has an
+Defined results: a null text is empty; the end id counts; repeated rows count each; very long texts are encoded
+whole; documents of one length are one row; other columns, whatever their names, are passed by; an empty table has an
 empty histogram.
 """
 
@@ -16,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.storage import materialize
 from quadrille.llm.tokens import encoder, tokenizer_path
 
 BLOCK = 1024  # lengths whose running sums one task makes
 
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs); each task sends its counts, not its documents."""
+    """(n_tokens, n_docs), written once; each task sends its counts, not its documents."""
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +33,8 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
             length, n = np.unique(sizes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(n, pa.int64())], names=["n_tokens", "n_docs"])
 
-    return docs.select("text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    counted = docs.select("text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return materialize(counted, "token-lengths")
 
 
 def limits(histogram: DataFrame) -> DataFrame:

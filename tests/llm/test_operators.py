@@ -272,6 +272,33 @@ def test_packing_is_whole(spark, odd):
     assert packing.pack(packing.tokenized_pieces(frame(spark, docs).limit(0))).count() == 0
 
 
+def test_evolution_beats_best_fit_on_triples():
+    """Lengths that fill bins exactly by threes, where best-fit decreasing does not find them."""
+    import numpy as np
+
+    saved = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        items = []
+        for _ in range(20):
+            a = int(rng.integers(260, 500))
+            b = int(rng.integers((1024 - a) // 2 - 80, (1024 - a) // 2 + 80))
+            items += [a, b, 1024 - a - b]
+        documents = Counter(items)
+        plain = packing.best_fit(documents, Counter(), 1024)
+        found = packing.evolve(documents, [], rng, 1024, population=12, generations=100)
+        assert Counter(x for b, n in found.items() for x in b for _ in range(n)) == documents and max(sum(b) for b in found) <= 1024
+        assert sum(found.values()) <= sum(plain.values())
+        saved += sum(plain.values()) - sum(found.values())
+    assert saved > 0
+
+
+def test_migration_brings_genes_to_the_next_island(spark):
+    rows = [(i, n, 1) for i in range(3) for n in (700, 324, 600, 424, 500, 300, 224)]
+    bins = packing.islands(spark.createDataFrame(rows, "island long, length long, n long"), 3, population=4, generations=4).collect()
+    assert {r["island"] for r in bins} == {0, 1, 2} and sum(r["n"] for r in bins) == 9
+
+
 def test_token_files_round_trip(spark, odd):
     got = [r for r in token_files.round_trip(frame(spark, odd)).collect()]
     expected = Counter((d, len(x), crc(x)) for d, x in zip(ids(odd), reference_ids([t for _, t in odd]), strict=True))
