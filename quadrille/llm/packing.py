@@ -36,6 +36,7 @@ from quadrille.llm.tokens import encoder, tokenizer_path, with_end
 CAPACITY = 1024
 ISLAND_DOCUMENTS = 4_000
 POPULATION, GENERATIONS, EPOCHS, ELITES = 6, 24, 3, 64
+SPREAD = 4096  # most tasks that share out the islands
 GIVEN_UP = 20  # one in so many of an island's bins, the emptiest ones, is packed again with those of other islands
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
@@ -238,7 +239,7 @@ def islands(histogram: DataFrame, n_islands: int, capacity: int = CAPACITY, epoc
 
     genes = documents
     for epoch in range(epochs):
-        found = materialize(genes.groupBy("island").applyInPandas(run, GENES), f"packing-epoch{epoch}")
+        found = materialize(genes.repartition(min(n_islands, SPREAD), "island").groupBy("island").applyInPandas(run, GENES), f"packing-epoch{epoch}")
         filled = F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
         ranked = found.withColumn("rank", F.expr("row_number() over (partition by island order by aggregate(lengths, 0, (a, x) -> a + x) desc, n desc, lengths)"))
         elite = ranked.where((F.col("rank") <= ELITES) & (filled > capacity // 2)).select(((F.col("island") + 1) % n_islands).alias("island"), F.lit("elite").alias("kind"), "lengths", "n")
