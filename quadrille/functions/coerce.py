@@ -50,7 +50,8 @@ def region_is_data(raw: Column) -> Column:
     return F.coalesce(number(F.regexp_replace(commas_removed(raw), "^±", "")).isNotNull(), F.lit(False))
 
 
-DATES = (r"^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}", r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}$", r"^[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日")
+#: Whole texts that are dates or times.
+DATES = (r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$", r"^[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}$", r"^[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日$")
 TIME = r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$"
 
 

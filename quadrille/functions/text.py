@@ -7,31 +7,61 @@ from pyspark.sql import functions as F
 
 #: Patterns of lines.  They read alike in Java and RE2.
 FENCE = r"^\s*(```|~~~)"
-ATX = r"^#{1,6}\s+\S"
-SETEXT = r"^(=+|-+)\s*$"
-NUMBERED = r"^[0-9]+(\.[0-9]+)*[.)]?\s+\S"
-CHAPTER = r"^第[一二三四五六七八九十百0-9]+[章節条條]"
-ROMAN = r"^[IVXLC]+[.)]\s+\S"
-LETTERED = r"^[A-Z][.)]\s+\S"
-BRACKETED = r"^[(（][0-9一二三四五六七八九十]+[)）]\s*\S"
 TIMESTAMP = r"^\[?[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}[ T][0-9]{2}:[0-9]{2}"
-LEVEL = r"\b(DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b"
 DEFINITION = r"^\s*(def |class |function |public |private |func |fn )"
-SENDER = r"^(From|To|Subject|Cc|寄件者|收件者):"
-CONTACT = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})|(\+?[0-9][0-9 ()-]{6,}[0-9])"
-CONFIG = r"^\s*[A-Za-z_][A-Za-z0-9_.-]*\s*[=:]\s*\S"
-TABLE = r"^\s*\|.*\|\s*$|\t.*\t"
-MARKDOWN = r"^(#{1,6}\s|\s*[-*+]\s+\S|\s*>\s|```)"
-WORD = r"[A-Za-z0-9_À-ɏ一-鿿]{2,}"
-PART_CODE = r"\b[A-Z]{1,5}-?[0-9]{2,}[A-Z0-9-]*\b"
-MEASURE = r"\b[0-9]+(\.[0-9]+)?\s?(mm|cm|kg|g|ml|l|pcs|%)"
-PATH_WORDS = ("home", "users", "documents", "desktop", "downloads", "tmp", "temp", "var", "usr", "data", "files", "folder")
+SENDER = r"^(From:|To:|<.*>|\[.*\]:|.*\s+[0-9]{2}:[0-9]{2})"
+CONTACT = r"^\[.+?\].+"
+CONFIG = r"^[\p{L}\p{N}_]+\s*[=:]|^\[.+\]$"
+TABLE_ROW = r"^\|.*\|.*$"
+TABLE_RULE = r"^\|[\s\-|:]+\|$"
+MARKDOWN = r"^#{1,6}\s+|^[*-]\s+|^[0-9]+\.\s+"
+WORD = r"[A-Za-z0-9_\-\u4e00-\u9fff]{2,}"
+PART_CODE = r"\b[A-Z]{1,4}[0-9]{3,}[A-Z0-9\-]*(?:\s+[A-Z]{1,3}[0-9]{2,})?(?:\s*\([A-Z0-9\-]+\))?"
+MEASURE = r"(?i)(?:±\s*)?[0-9]+(?:\.[0-9]+)?\s*(?:mm|cm|m|g|kg|度|%|mpa|kpa|μm|um|mil)\b|±\s*[0-9]+(?:\.[0-9]+)?"
+
+#: Forms of headings in the order they are tried, with the groups of their marker and text.
+HEADINGS = (
+    ("markdown", r"^(#{1,6})\s+(.+)$"),
+    ("cn_chapter", r"^(第[一二三四五六七八九十百千0-9]+[章節條款項])\s*(.*)$"),
+    ("cn_numeral", r"^([一二三四五六七八九十百千]+)[、．.)]\s*(.*)$"),
+    ("decimal", r"^([0-9]+(?:\.[0-9]+)+)\s*(.*)$"),
+    ("decimal_simple", r"^([0-9]+)[、.)．]\s*(.*)$"),
+    ("bracket_num", r"^(\[[0-9]+(?:[.-][0-9]+)*\])\s*(.*)$"),
+    ("bracket_num_fw", r"^(【[0-9]+(?:[.-][0-9]+)*】)\s*(.*)$"),
+    ("hyphen", r"^([0-9]+(?:-[0-9]+)+)\s*(.*)$"),
+    ("roman", r"^([IVXLCDMivxlcdm]+)[.)]\s*(.*)$"),
+    ("alpha", r"^([A-Za-z])[.)]\s*(.*)$"),
+)
+SETEXT = r"^(={3,}|-{3,})$"
+CODE = r"^(```|~~~)|^(//|/\*|\*|#[^\s])|^#$|\b(def|class|return|import|from|const|let|var|public|private|if|for|while|switch|case)\b|[{};]|->|=>"
+
+#: Names of folders that are no tags.
+PATH_WORDS = (
+    "c:", "d:", "e:", "f:", "g:", "h:", "program files", "program files (x86)", "programdata", "users", "user", "documents", "desktop", "downloads",
+    "appdata", "local", "roaming", "temp", "tmp", "windows", "system32", "syswow64", "winnt", "usr", "var", "etc", "opt", "home", "root", "bin", "sbin",
+    "lib", "lib64", "dev", "proc", "sys", "mnt", "media", "node_modules", ".git", ".vscode", ".idea", "__pycache__", "venv", "env", "virtualenv", ".venv",
+    "system", "system64", "drivers", "common", "shared", "public", "private", "storage", "log", "logs", "cache", "backup", "documentmanager", "domain",
+    "test", "tests", "test_", "tmp_", ".svn", "docxparser", "contextparser", "source", "ml_home",
+)
+COLLECTIONS = ("test", "test_update_flow", "test_duplicate_path_flow", "test_batch", "test_collection_basic", "test_basic")
+
+#: Words of sheets that say nothing, companies' words, and labels whose neighbour is a value.
+STOPWORDS = (
+    "table", "sheet", "blank", "col", "unknown", "empty", "empty_sheet", "表格", "進度", "工作表", "空白", "明安", "adg", "adgroup", "domain", "launchtech",
+    "審核", "保存期限", "平均", "標準", "公差", "半成品", "成品", "毛胚", "σ", "sigma", "index", "columns", "shape", "original_table", "table_block", "range", "block_shape",
+)
+COMPANY = r"(?i)(有限公司|股份有限公司|co\.?\s*,?\s*ltd|corp\.?|inc\.?|group|sporting\s+goods|adg|adgroup|明安)"
+LABELS = ("規格", "品名", "型號", "料號", "零件號", "產品名稱", "產品", "名稱", "圖號", "版本")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def line_break(text: Column) -> Column:
-    """How the text parts paragraphs: crlf2, lf2, crlf or lf; none if it holds no break."""
+    """How the text parts paragraphs: crlf2, lf2, crlf or lf; lf2 for texts under ten characters."""
     n = lambda p: F.regexp_count(text, F.lit(p))
-    return F.when(n("\r\n\r\n") > 0, "crlf2").when(n("\n\n") > 0, "lf2").when(n("\r\n") * 2 > n("\n"), "crlf").when(n("\n") > 0, "lf").otherwise("none")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) < 10, "lf2").when(n("\r\n\r\n") > 0, "crlf2").when(n("\n\n") > 0, "lf2").when(n("\r\n") > n("\n") * 2, "crlf").otherwise("lf")
 
 
 def parts(text: Column, separator: str) -> Column:
@@ -40,60 +70,77 @@ def parts(text: Column, separator: str) -> Column:
     return F.when(F.size(found) == 0, F.array(text)).otherwise(found)
 
 
-def contact_like(line: Column) -> Column:
-    return line.rlike(CONTACT)
+def table_like(line: Column) -> Column:
+    """A table's rule, or two bars and more with two filled columns."""
+    t = stripped(line)
+    bars = F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))
+    filled = F.size(F.filter(F.split(t, r"\|"), lambda x: stripped(x) != ""))
+    return t.rlike(r"^\|?[\s:]*-{3,}[\s:|-]*\|[\s:|-]*$") | ((bars >= 2) & (filled >= 2))
 
 
-def config_like(line: Column) -> Column:
-    return line.rlike(CONFIG)
+def heading_form(line: Column) -> Column:
+    """The first form that the line has; bracketed numbers must begin it."""
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(HEADINGS):
+        kind = F.when((line if name.startswith("bracket") else stripped(line)).rlike(pattern), name).otherwise(kind)
+    return F.when(stripped(line).rlike(SETEXT), None).otherwise(kind)
 
 
-def table_like(line: Column) -> Column:
-    return line.rlike(TABLE)
+def heading_kind(line: Column, following: Column) -> Column:
+    """The form of a heading, or setext if the next line rules it off; tables and code are none."""
+    form = heading_form(line)
+    ruled = F.coalesce(stripped(following).rlike(SETEXT), F.lit(False)) & (stripped(line) != "") & ~stripped(line).rlike(SETEXT)
+    kind = F.coalesce(form, F.when(ruled, "setext"))
+    unsure = kind.isin("cn_chapter", "bracket_num", "bracket_num_fw", "setext")
+    return F.when(table_like(line) | (unsure & stripped(line).rlike(CODE)), None).otherwise(kind)
 
 
-def markdown_like(line: Column) -> Column:
-    return line.rlike(MARKDOWN)
+def _marker(kind: Column, line: Column, group: int) -> Column:
+    found = F.lit(None).cast("string")
+    for name, pattern in HEADINGS:
+        found = F.when(kind == name, F.regexp_extract(line if name.startswith("bracket") else stripped(line), pattern, group)).otherwise(found)
+    return found
 
 
-def heading_kind(line: Column, following: Column) -> Column:
-    """The first heading form that fits; long lines and lines that end a sentence are none."""
-    short = (F.length(F.trim(line)) <= 80) & ~F.trim(line).rlike(r"[.;,。；，]$")
-    setext = F.coalesce(following.rlike(SETEXT), F.lit(False)) & (F.trim(line) != "") & ~line.rlike(SETEXT)
-    forms = (("atx", line.rlike(ATX)), ("setext", setext), ("chapter", line.rlike(CHAPTER)), ("numbered", line.rlike(NUMBERED)), ("roman", line.rlike(ROMAN)), ("lettered", line.rlike(LETTERED)), ("bracketed", line.rlike(BRACKETED)))
-    kind = F.lit(None).cast("string")
-    for name, ok in reversed(forms):
-        kind = F.when(ok & (F.lit(True) if name in ("atx", "setext") else short), name).otherwise(kind)
-    return F.when(table_like(line), None).otherwise(kind)
+def heading_level(kind: Column, line: Column, following: Column) -> Column:
+    marker = _marker(kind, line, 1)
+    of_chapter = F.element_at(F.create_map(*(F.lit(x) for pair in (("章", 1), ("節", 2), ("條", 3), ("款", 4), ("項", 5)) for x in pair)), marker.substr(F.length(marker), F.lit(1)))
+    counted = lambda sign: F.regexp_count(marker, F.lit(sign)) + 1
+    return F.when(kind == "markdown", F.length(marker)).when(kind == "cn_chapter", of_chapter).when(kind == "decimal", counted(r"\.")).when(kind == "hyphen", counted("-")).when(kind == "setext", F.when(stripped(following).startswith("="), 1).otherwise(2)).otherwise(1)
 
 
-def heading_level(kind: Column, line: Column, following: Column) -> Column:
-    depth = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
-    dots = F.regexp_count(F.regexp_extract(line, r"^([0-9]+(\.[0-9]+)*)", 1), F.lit(r"\.")) + 1
-    return F.when(kind == "atx", depth).when(kind == "setext", F.when(following.startswith("="), 1).otherwise(2)).when(kind == "chapter", 1).when(kind == "numbered", F.least(dots, F.lit(6))).when(kind == "roman", 1).when(kind == "lettered", 2).otherwise(3)
+def heading_text(kind: Column, line: Column) -> Column:
+    return stripped(F.when(kind == "setext", line).otherwise(_marker(kind, line, 2)))
 
 
-def heading_text(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(line), r"^#{1,6}\s+", ""), r"\s+#+$", ""))
+#: What makes a text look like code, a log, letters or a structured document.
+KEYWORDS = ("def ", "class ", "function ", "import ", "return ", "const ", "let ", "var ", "public ", "private ")
+LEVELS = ("INFO", "ERROR", "WARNING", "WARN", "DEBUG", "TRACE", "FATAL")
+MAIL = ("from:", "to:", "subject:", "date:", "cc:", "bcc:")
 
 
 def pattern_scores(text: Column) -> dict[str, Column]:
-    """How much the text looks like code, a log, messages or a structured document (0 to 1)."""
-    has = lambda p, w: F.when(text.rlike(f"(?m){p}"), w).otherwise(0.0)
-    some = lambda p, n, w: F.when(F.regexp_count(text, F.lit(f"(?m){p}")) >= n, w).otherwise(0.0)
+    """How much the whole text looks like code, a log, communication or a structured document (0 to 1)."""
+    text = F.coalesce(text, F.lit(""))
+    has = lambda p, w: F.when(text.rlike(f"(?md){p}"), w).otherwise(0.0)
+    held = lambda words, t: sum((t.contains(w).cast("int") for w in words), F.lit(0))
+    any_of = lambda words, w: F.when(held(words, text) > 0, w).otherwise(0.0)
+    lines = F.split(text, "\n")
+    repeats = F.when((F.size(lines) > 5) & (F.size(F.array_distinct(lines)) < F.size(lines) * 0.7), 0.2).otherwise(0.0)
+    mail = held(MAIL, F.lower(text))
     return {
-        "code": F.least(F.lit(1.0), has(DEFINITION, 0.4) + some(r"[{};]\s*$", 3, 0.3) + has(r"^\s*(import |from |#include|using )", 0.3)),
-        "log": F.least(F.lit(1.0), some(TIMESTAMP, 3, 0.5) + some(LEVEL, 3, 0.4) + has(r"Exception|Traceback", 0.1)),
-        "messages": F.least(F.lit(1.0), some(SENDER, 2, 0.6) + has(r"^Subject:", 0.2) + has(r"^(Hi|Hello|Dear|您好)", 0.2)),
-        "structured": F.least(F.lit(1.0), some(ATX, 2, 0.5) + some(NUMBERED, 3, 0.4) + has(CHAPTER, 0.4)),
+        "code": F.least(F.lit(1.0), F.least(held(KEYWORDS, text) * 0.2, F.lit(0.6)) + has(r"\{[^}]*\}|\[[^\]]*\]|\([^)]*\)", 0.2) + has(r"^\s*#|^\s*//|^\s*/\*", 0.2)),
+        "log": F.least(F.lit(1.0), has(r"[0-9]{4}-[0-9]{2}-[0-9]{2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}", 0.4) + any_of(LEVELS, 0.4) + repeats),
+        "communication": F.least(F.lit(1.0), F.when(mail >= 2, 0.6).when(mail == 1, 0.4).otherwise(0.0) + has(r"[\p{L}\p{N}_.-]@[\p{L}\p{N}_.-]", 0.3) + has(r"^\[.*\]:|^<.*>:|^.*\s+[0-9]{2}:[0-9]{2}", 0.3) + any_of(("Re:", "RE:", "Fwd:"), 0.2)),
+        "structured_doc": F.least(F.lit(1.0), has(r"^#+\s+", 0.4) + has(r"^\s*[-*+]\s+|^\s*[0-9]+\.\s+", 0.2) + has("`", 0.2) + has(r"\n\s*\n\s*\n", 0.2)),
     }
 
 
 def document_pattern(text: Column) -> Column:
-    """code, log, messages or structured where the score passes 0.7, in that order; else plain."""
+    """code, log, communication or structured_doc where the score passes 0.7, in that order; else plain_text."""
     s = pattern_scores(text)
-    kind = F.lit("plain")
-    for name in reversed(("code", "log", "messages", "structured")):
+    kind = F.lit("plain_text")
+    for name in reversed(("code", "log", "communication", "structured_doc")):
         kind = F.when(s[name] > 0.7, name).otherwise(kind)
     return kind
 
@@ -102,13 +149,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def tags_kept(tags: Column) -> Column:
-    """Tags but for single letters, path words, mostly digits, versions and temporary names."""
-    def fine(t: Column) -> Column:
+def tags_kept(tags: Column, collections: tuple[str, ...] = COLLECTIONS) -> Column:
+    """Tags but for single letters, folders' names, mostly digits, versions, temporary files and collections."""
+    def fine(tag: Column) -> Column:
+        t = stripped(F.lower(tag))
         digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
-        return (F.length(t) >= 2) & ~F.lower(t).isin(*PATH_WORDS) & (digits <= 0.8 * F.length(t)) & ~t.rlike(r"^v?[0-9]+(\.[0-9]+)+$") & ~F.lower(t).rlike(r"(\.tmp|\.bak|~)$")
+        return (F.length(t) >= 2) & ~t.isin(*PATH_WORDS, *collections) & ~F.regexp_replace(t, "[ _-]", "").isin(*PATH_WORDS) & (digits <= 0.8 * F.length(t)) & ~t.rlike(r"^v?[0-9]+(\.[0-9]+)*$") & ~t.rlike(r"^~\$|\.(tmp|bak|old|swp)$")
+
+    return F.filter(tags, lambda t: F.coalesce(fine(t), F.lit(False)))
+
 
-    return F.filter(tags, fine)
+def noise(token: Column) -> Column:
+    """Tokens of a sheet that say nothing: short, numbers, marks, stop words, companies, formulas and table marks."""
+    s = stripped(token)
+    low = F.lower(s)
+    return (
+        (F.length(s) < 2) | low.rlike(r"^#sheet:|^## table") | (s.startswith("[") & low.rlike("blank|original_table|table_block")) | s.rlike("^[=|]")
+        | low.rlike(r"^col_[0-9]+$") | s.rlike(r"^[0-9]{1,2}$") | s.rlike(r"^[0-9\s.,:;|+-]+$") | low.isin(*STOPWORDS) | s.rlike(COMPANY)
+    )
 
 
 def looks_corrupt(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,14 +24,24 @@ def paragraphs(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
 
 
 def structure(docs: DataFrame) -> DataFrame:
-    """Shares of kinds of lines, and the way to split that they suggest."""
-    line = F.col("line")
-    per = lines(docs).where(F.trim("line") != "").groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.avg(F.length("line")).alias("mean_length"),
-        F.avg(T.contact_like(line).cast("int")).alias("contacts"), F.avg(T.config_like(line).cast("int")).alias("config"),
-        F.avg(T.table_like(line).cast("int")).alias("table"), F.avg(T.markdown_like(line).cast("int")).alias("markdown"))
-    way = F.when(F.col("contacts") > 0.7, "contact_list").when(F.col("config") > 0.5, "line").when(F.col("table") > 0.3, "table").when(F.col("markdown") > 0.1, "heading").when((F.col("mean_length") < 50) & (F.col("n_lines") > 10), "line").otherwise("paragraph")
-    return per.withColumn("strategy", way)
+    """(doc_id, n_lines, mean_length, kind, strategy): how the lines that aren't blank look, and the way to split that this suggests."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines_of = F.filter(F.transform(F.split(text, "\n"), T.stripped), lambda x: x != "")
+    d = docs.select("doc_id", text.alias("text"), lines_of.alias("ls"))
+    n = F.size("ls")
+    share = lambda p: F.size(F.filter("ls", lambda x: x.rlike(p))) / F.greatest(n, F.lit(1))
+    rows, rules = share(T.TABLE_ROW), share(T.TABLE_RULE)
+    marked = F.col("text").rlike(r"(?md)^#{1,6}\s+|^[*-]\s+|^[0-9]+\.\s+") & ((share(T.MARKDOWN) > 0.1) | F.col("text").contains("\n\n"))
+    length = F.aggregate(F.transform("ls", F.length), F.lit(0), lambda a, x: a + x) / F.greatest(n, F.lit(1))
+    gaps = F.regexp_count("text", F.lit("\n\n"))
+    kinds = [
+        (n == 0, None, "paragraph"), (share(T.CONTACT) > 0.7, "contacts", "line"), (share(T.CONFIG) > 0.5, "config", "line"), ((rules > 0) & (rows > 0.3), "table", "paragraph"),
+        (marked & (rows > 0.2), "mixed", "paragraph"), (marked, "structured", "semantic"), ((length < 50) & (n > 10), "short_items", "line"), (gaps > 2, "paragraphs", "paragraph"),
+    ]
+    kind, strategy = F.lit("general"), F.lit("paragraph")
+    for ok, k, s in reversed(kinds):
+        kind, strategy = F.when(ok, F.lit(k)).otherwise(kind), F.when(ok, F.lit(s)).otherwise(strategy)
+    return d.select("doc_id", n.alias("n_lines"), length.alias("mean_length"), kind.alias("kind"), strategy.alias("strategy"))
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -39,7 +50,7 @@ def headings(docs: DataFrame) -> DataFrame:
     fenced = F.sum(F.col("line").rlike(T.FENCE).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
     all_lines = lines(docs).withColumn("fenced", fenced | F.col("line").rlike(T.FENCE)).withColumn("next", F.lead("line").over(order))
     kind = T.heading_kind(F.col("line"), F.col("next"))
-    return all_lines.withColumn("kind", kind).where("kind is not null and not fenced").select("doc_id", "line_no", "kind", T.heading_level(F.col("kind"), F.col("line"), F.col("next")).alias("level"), T.heading_text(F.col("line")).alias("heading"))
+    return all_lines.withColumn("kind", kind).where("kind is not null and not fenced").select("doc_id", "line_no", "kind", T.heading_level(F.col("kind"), F.col("line"), F.col("next")).alias("level"), T.heading_text(F.col("kind"), F.col("line")).alias("heading"))
 
 
 def heading_path(docs: DataFrame, levels: int = 6) -> DataFrame:
@@ -79,7 +90,7 @@ def structured_segments(docs: DataFrame, least: int = 50) -> DataFrame:
     return _segments(lines(docs).join(at, ["doc_id", "line_no"], "left").withColumn("boundary", F.coalesce("boundary", F.lit(False))), least)
 
 
-def sender_segments(turns: DataFrame, key: str, order: str, sender: str, text: str) -> DataFrame:
+def turn_segments(turns: DataFrame, key: str, order: str, sender: str, text: str) -> DataFrame:
     """Runs of turns of one sender, joined."""
     w = Window.partitionBy(key).orderBy(order)
     change = F.coalesce((F.col(sender) != F.lag(sender).over(w)), F.lit(True)).cast("int")
@@ -88,6 +99,31 @@ def sender_segments(turns: DataFrame, key: str, order: str, sender: str, text: s
     return numbered.groupBy(key, "segment").agg(F.first(sender).alias(sender), F.count("*").alias("n_turns"), joined.alias("content"))
 
 
+SEGMENT = "doc_id long, segment int, sender string, content string"
+
+
+def sender_segments(docs: DataFrame, most: int = 2000, least: int = 10) -> DataFrame:
+    """(doc_id, segment, sender, content): lines from one sender's mark to the next one's, cut where they pass ``most`` characters."""
+    def cut(text: str | None) -> list[tuple[str | None, str]]:
+        out, held, who = [], [], None
+        for line in filter(None, (x.strip() for x in (text or "").split("\n"))):
+            found = re.search(T.SENDER, line)
+            new = found[0] != who if found else bool(held) and sum(map(len, held)) + len(held) + len(line) > most
+            if new:
+                out.append((who, "\n".join(held)))
+                held = []
+            held.append(line)
+            who = found[0] if found else who
+        return [x for x in [*out, (who, "\n".join(held))] if len(x[1]) >= max(least, 1)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, i, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, x in enumerate(cut(t))]
+            yield pd.DataFrame(rows, columns=["doc_id", "segment", "sender", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, SEGMENT)
+
+
 def merge_fixed(parts: DataFrame, size: int, key: str = "doc_id", order: str = "order", text: str = "paragraph") -> DataFrame:
     """Join each ``size`` successive parts."""
     group = F.floor(F.col(order) / size).alias("chunk")
@@ -133,7 +169,7 @@ def merge_by_hierarchy(segments: DataFrame, limit: int) -> DataFrame:
     return segments.groupBy("doc_id").applyInPandas(one, "doc_id long, chunk int, first_order int, level int, content string")
 
 
-def keywords(docs: DataFrame, limit: int = 20) -> DataFrame:
+def keywords(docs: DataFrame, limit: int = 10) -> DataFrame:
     """(doc_id, keywords): the first words of two letters and more, each once whatever its case, as first written."""
     found = docs.select("doc_id", F.posexplode_outer(T.words(F.coalesce("text", F.lit("")))).alias("at", "word"))
     once = found.groupBy("doc_id", F.lower("word").alias("low")).agg(F.min(F.struct("at", "word")).alias("first"))
@@ -142,15 +178,19 @@ def keywords(docs: DataFrame, limit: int = 20) -> DataFrame:
     return ranked.where(F.col("place") <= limit).groupBy("doc_id").agg(F.transform(ordered, lambda x: x["word"]).alias("keywords"))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(T.words(F.lower(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-
+def distinctive_terms(cells: DataFrame, rows: int, k: int = 15) -> DataFrame:
+    """(sheet, chunk, place, term, n) for chunks of ``rows`` rows of (sheet, row, col, raw): values that are rare in the whole sheet.
 
-def distinctive_terms(docs: DataFrame, k: int = 10) -> DataFrame:
-    """Rare terms of each text (twice at most, or four times from four letters on), rarest and longest first."""
-    rare = term_counts(docs).where((F.col("n") <= 2) | ((F.col("n") <= 4) & (F.length("term") >= 4)))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", F.desc(F.length("term")), "term"))
-    return rare.withColumn("place", place).where(F.col("place") <= k)
+    Rare is twice at most, or four times from four letters on; rarest and longest first, then as they stand.  A sheet of
+    one chunk has none.
+    """
+    values = cells.select("sheet", "row", "col", F.floor((F.col("row") - 1) / rows).alias("chunk"), T.stripped(F.col("raw")).alias("term")).where("term is not null").where(~T.noise(F.col("term")))
+    counts = values.groupBy("sheet", "term").agg(F.count("*").alias("n")).where((F.col("n") <= 2) | ((F.col("n") <= 4) & (F.length("term") >= 4)))
+    several = cells.groupBy("sheet").agg(F.max("row").alias("h")).where(F.col("h") > rows).select("sheet")
+    rare = values.join(counts, ["sheet", "term"]).join(several, "sheet", "left_semi")
+    once = rare.groupBy("sheet", "chunk", F.lower("term").alias("low")).agg(F.min(F.struct("row", "col", "term", "n")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("sheet", "chunk").orderBy("f.n", F.desc(F.length("f.term")), "f.row", "f.col"))
+    return once.withColumn("place", place).where(F.col("place") <= k).select("sheet", "chunk", "place", "f.term", "f.n")
 
 
 def decoded(files: DataFrame, codecs: tuple[str, ...] = ("utf-8-sig", "utf-8", "cp950", "big5", "latin-1")) -> DataFrame:

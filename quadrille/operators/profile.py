@@ -42,9 +42,9 @@ def examples(typed: DataFrame, k: int = 3) -> DataFrame:
     return typed.where("ctype != 'empty'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("col", "place", "row", "raw")
 
 
-def anomalies(typed: DataFrame, least: float = 0.8) -> DataFrame:
-    """Filled cells that are of another type than their (well established) column."""
-    profile = axis_profile(typed).where((F.col("confidence") >= least) & ~F.col("data_type").isin("mixed", "empty"))
+def anomalies(typed: DataFrame, least: float = 0.85) -> DataFrame:
+    """Filled cells that are of another type than their column: any number or date column, others from a share of ``least`` on."""
+    profile = axis_profile(typed).where(F.col("data_type").isin("number", "datetime") | ((F.col("confidence") >= least) & ~F.col("data_type").isin("mixed", "empty")))
     fits = (F.col("ctype") == F.col("data_type")) | ((F.col("data_type") == "number") & F.col("ctype").isin(*NUMERIC)) | ((F.col("data_type") == "datetime") & F.col("ctype").isin(*DATES))
     return typed.where("ctype != 'empty'").join(F.broadcast(profile.select("col", "data_type")), "col").where(~fits).select("row", "col", "raw", "ctype", "data_type")
 

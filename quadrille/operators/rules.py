@@ -11,8 +11,8 @@ BOOK = (
     "map<string, struct<start_loc_row_name:string, window_count:int, passed_rules:array<struct<rule:string, description:string, equation:string, equation_sides:array<string>, "
     "valid_windows:int, total_windows:int, consistency_rate:string>>>>"
 )
-#: Words that stand for an equation nobody wrote.
-PLACEHOLDERS = ("todo", "tbd", "n/a", "placeholder", "unknown", "none", "null")
+#: Words within an equation that stand for a side nobody wrote.
+PLACEHOLDERS = ("左邊", "右邊", "left", "right")
 
 
 def from_book(json: DataFrame, column: str = "json", row_key: str | None = None, least: float | None = None) -> DataFrame:
@@ -52,15 +52,28 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("equation_key", status.alias("status"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), "sample_a", "sample_b")
 
 
-def quality(rules: DataFrame, height: int, width: int) -> DataFrame:
-    """(equation, issue): no sides, a placeholder, or a cell outside the window."""
-    key = E.normalized(F.col("equation"))
-    at = F.instr(key, "=")
-    no_sides = (at <= 1) | (at == F.length(key)) | key.isNull()
-    holder = F.lower(F.trim(F.coalesce("equation", F.lit("")))).isin(*PLACEHOLDERS)
-    outside = F.exists(E.operands(F.col("equation")), lambda x: (x["r"] < 0) | (x["r"] >= height) | (x["c"] < 0) | (x["c"] >= width))
-    issues = F.array_compact(F.array(F.when(no_sides, "null_sides"), F.when(holder, "placeholder"), F.when(F.coalesce(outside, F.lit(False)), "index_out_of_range")))
-    return rules.select("equation", F.explode(issues).alias("issue"))
+def quality(rules: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """(equation, issue, window_id, row, col): sides that aren't two texts, a placeholder, or a cell outside a supporting window.
+
+    ``rules`` has equation, and where known equation_sides (array of text) and windows (array of window ids that support it);
+    ``shapes`` has window_id, height and width.
+    """
+    for name, kind in (("equation_sides", "array<string>"), ("windows", "array<long>")):
+        rules = rules if name in rules.columns else rules.withColumn(name, F.lit(None).cast(kind))
+    equation, side = F.coalesce("equation", F.lit("")), F.col("equation_sides")
+    two = F.coalesce((F.size(side) == 2) & F.forall(side, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(False))
+    holder = F.lit(False)
+    for word in PLACEHOLDERS:
+        holder = holder | F.lower(equation).contains(word)
+    none = (F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
+    found = rules.select("equation", F.explode(F.array_compact(F.array(F.when(~two, "equation_sides_null"), F.when(holder, "placeholder_tokens")))).alias("issue"), *none)
+    if shapes is None:
+        return found
+    text = F.when(two, F.concat_ws("=", side[0], side[1])).otherwise(equation)
+    written = rules.select("equation", text.alias("_text"), F.explode("windows").alias("window_id")).join(shapes, "window_id")
+    placed = written.select("equation", "window_id", "height", "width", F.explode(F.array_distinct(E.operands(F.col("_text")))).alias("x"))
+    outside = placed.where((F.col("x.r") < 0) | (F.col("x.c") < 0) | (F.col("x.r") >= F.col("height")) | (F.col("x.c") >= F.col("width")))
+    return found.unionByName(outside.select("equation", F.lit("index_out_of_range").alias("issue"), "window_id", F.col("x.r").alias("row"), F.col("x.c").alias("col")))
 
 
 def support(windows: DataFrame, equation: str, width: int) -> DataFrame:

@@ -107,24 +107,27 @@ def rtf_cleaned(text: Column) -> Column:
 
 
 def fuzzy_names(names: DataFrame, known: DataFrame, least: float = 0.3) -> DataFrame:
-    """(name, match, score): the known name of greatest cosine of weighted letter pairs, if over ``least``.
+    """(name, match, score): the known name of greatest cosine of weighted words, if over ``least``; of equals the first.
 
-    Pairs shared by names are met by an equi-join; pairs in more than a tenth of the known names weigh little but count.
+    Words are two letters and more, weighted by how rare they are in both lists (ln((n + 1) / (df + 1)) + 1); names meet by words that
+    both hold.  Each list counts each of its names once.
     """
-    def grams(df: DataFrame, c: str) -> DataFrame:
-        low = F.lower(F.trim(F.col(c)))
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
-        return df.select(F.col(c)).distinct().select(c, F.explode(pairs).alias("g")).groupBy(c, "g").agg(F.count("*").alias("tf"))
-
-    a, b = grams(names, "name"), grams(known, "known")
-    n = F.broadcast(known.select("known").distinct().agg(F.count("*").alias("n")))
-    weight = b.groupBy("g").agg(F.count("*").alias("df")).crossJoin(n).select("g", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))
-    wa = a.join(weight, "g", "left").select("name", "g", (F.col("tf") * F.coalesce("w", F.lit(1.0))).alias("x"))
-    wb = b.join(weight, "g").select("known", "g", (F.col("tf") * F.col("w")).alias("y"))
-    na, nb = wa.groupBy("name").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx")), wb.groupBy("known").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
-    dots = wa.join(wb, "g").groupBy("name", "known").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(na, "name").join(nb, "known").withColumn("score", F.col("dot") / F.col("nx") / F.col("ny")).where(F.col("score") > least)
-    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "known"))
+    def words(df: DataFrame, c: str) -> DataFrame:
+        found = F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+        return df.select(F.col(c)).where(F.col(c).isNotNull()).distinct().select(c, F.explode(found).alias("g")).groupBy(c, "g").agg(F.count("*").alias("tf"))
+
+    def weighted(df: DataFrame, c: str) -> DataFrame:
+        w = df.join(weight, "g").withColumn("w", F.col("tf") * F.col("idf"))
+        norm = w.groupBy(c).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return w.join(norm, c).select(c, "g", (F.col("w") / F.col("norm")).alias("w"))
+
+    a, b = words(names, "name"), words(known, "known")
+    n = F.broadcast(names.select("name").distinct().agg(F.count("name").alias("a")).crossJoin(known.select("known").distinct().agg(F.count("known").alias("b"))))
+    both = a.select("g").unionByName(b.select("g")).groupBy("g").agg(F.count("*").alias("df"))
+    weight = both.crossJoin(n).select("g", (F.log((F.col("a") + F.col("b") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    wa, wb = weighted(a, "name"), weighted(b, "known").withColumnRenamed("w", "v")
+    scored = wa.join(wb, "g").groupBy("name", "known").agg(F.sum(F.col("w") * F.col("v")).alias("score")).where(F.col("score") > least)
+    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc(F.round("score", 9)), "known"))
     return scored.withColumn("_r", best).where("_r = 1").select("name", F.col("known").alias("match"), "score")
 
 
@@ -148,21 +151,30 @@ def row_slices(cells: DataFrame, slices: DataFrame, strict: bool = False) -> Dat
 
 
 def key_values(cells: DataFrame) -> DataFrame:
-    """(sheet, row, key, value): texts with the next filled cell of their row."""
-    order = Window.partitionBy("sheet", "row").orderBy("col")
-    filled = cells.where(F.trim("raw") != "")
-    return filled.withColumn("value", F.lead("raw").over(order)).where(F.col("value").isNotNull() & F.col("raw").rlike("[^0-9.,%\\s-]")).select("sheet", "row", F.regexp_replace(F.trim("raw"), "[:：]$", "").alias("key"), "value")
-
-
-def noise_free(terms: Column) -> Column:
-    """Terms but for numbers, single letters, dates and marks."""
-    return F.filter(terms, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^[0-9.,%:/\s-]+$") & ~t.rlike(r"^[^\w]+$"))
-
-
-def sheet_keywords(cells: DataFrame, limit: int = 30) -> DataFrame:
-    """(sheet, keywords): part codes, measures and words of each sheet, first seen first, each once whatever its case."""
-    found = F.concat(F.regexp_extract_all("raw", F.lit(T.PART_CODE), F.lit(0)), F.regexp_extract_all("raw", F.lit(T.MEASURE), F.lit(0)), noise_free(T.words(F.col("raw"))))
-    each = cells.where("raw is not null").select("sheet", "row", "col", F.posexplode(found).alias("at", "term"))
-    once = each.groupBy("sheet", F.lower("term").alias("low")).agg(F.min(F.struct("row", "col", "at", "term")).alias("first"))
+    """(sheet, row, col, key, value): values of the known labels, after a colon in the cell or in the next cells of the row that say something."""
+    labels = "|".join(T.LABELS)
+    raw = T.stripped(F.col("raw"))
+    inline = F.regexp_extract(raw, rf"^({labels})\s*[:：]\s*(.+)$", 1)
+    said = T.stripped(F.regexp_extract(raw, rf"^({labels})\s*[:：]\s*(.+)$", 2))
+    later = Window.partitionBy("sheet", "row").orderBy("col").rowsBetween(1, Window.unboundedFollowing)
+    good = F.when((raw != "") & ~T.noise(raw), raw)
+    each = cells.select("sheet", "row", "col", raw.alias("raw"), inline.alias("inline"), said.alias("said"), F.first(good, ignorenulls=True).over(later).alias("next"))
+    label = T.stripped(F.regexp_replace("raw", "[：:]+$", ""))
+    own = (F.col("inline") != "") & (F.col("said") != "")
+    key, value = F.when(own, F.col("inline")).when(label.isin(*T.LABELS), label), F.when(own, F.col("said")).otherwise(F.col("next"))
+    return each.select("sheet", "row", "col", key.alias("key"), value.alias("value")).where("key is not null and value is not null").where(~T.noise(F.col("value")))
+
+
+def sheet_keywords(cells: DataFrame, limit: int = 50) -> DataFrame:
+    """(sheet, keywords): labels' values, then part codes and measures, then values with two letters or more, each once whatever its case."""
+    raw = T.stripped(F.col("raw"))
+    at = lambda rank, i, term: [F.lit(rank).alias("rank"), "row", "col", i, term]
+
+    valued = key_values(cells).select("sheet", *at(1, F.lit(0).alias("i"), F.col("value").alias("term")))
+    codes = F.concat(F.regexp_extract_all(raw, F.lit(T.PART_CODE), F.lit(0)), F.regexp_extract_all(raw, F.lit(T.MEASURE), F.lit(0)))
+    measured = cells.where("raw is not null").where(~T.noise(raw)).select("sheet", "row", "col", F.posexplode(codes).alias("i", "term")).select("sheet", *at(2, "i", "term"))
+    named = cells.where(raw.rlike(r"[\u4e00-\u9fff]|[A-Za-z]{2,}")).select("sheet", *at(3, F.lit(0).alias("i"), raw.alias("term")))
+    every = valued.unionByName(measured).unionByName(named).withColumn("term", T.stripped(F.col("term"))).where(~T.noise(F.col("term")))
+    once = every.groupBy("sheet", F.lower("term").alias("low")).agg(F.min(F.struct("rank", "row", "col", "i", "term")).alias("first"))
     ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("sheet").orderBy("first"))).where(F.col("place") <= limit)
     return ranked.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list("first")), lambda x: x["term"]).alias("keywords"))

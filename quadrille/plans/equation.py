@@ -23,7 +23,7 @@ class BadEquation(ValueError):
 
 
 #: Steps of the normal form: (pattern, what replaces it).  Java and Python read both alike but for the dollar sign.
-STEPS = ((r"＝", "="), (r"`", ""), (r"\$\s+\(", "$("), (r"(?<!\$)\(\s*([0-9]+)\s*,\s*([0-9]+)\s*\)", "$(<1>,<2>)"), (r"\$([0-9]+)", "$(<1>,0)"), (r"\s+", ""))
+STEPS = ((r"＝", "="), (r"`", ""), (r"\$\s+\(", "$("), (r"(?<!\$)\(\s*(-?[0-9]+)\s*,\s*(-?[0-9]+)\s*\)", "$(<1>,<2>)"), (r"\$([0-9]+)", "$(<1>,0)"), (r"\s+", ""))
 
 
 def normalize(text: str) -> str:

@@ -131,7 +131,7 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WRITTEN_SQL = """e as (select l_linestatus, case l_returnflag when 'A' then '`$ (' || l_linenumber || ', 0) + (1,0) ＝ $' || l_linenumber || '`' when 'N' then '$' || l_linenumber || ' - $(2,' || l_linenumber || ') = (0, ' || l_linenumber || ')' else 'todo' || l_linenumber end as equation from lineitem),
-  g as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(equation, '＝', '=', 'g'), '`', '', 'g'), '\\$\\s+\\(', '$(', 'g'), '(^|[^$])\\(\\s*([0-9]+)\\s*,\\s*([0-9]+)\\s*\\)', '\\1$(\\2,\\3)', 'g'), '\\$([0-9]+)', '$(\\1,0)', 'g'), '\\s+', '', 'g') as key from e)"""
+  g as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(equation, '＝', '=', 'g'), '`', '', 'g'), '\\$\\s+\\(', '$(', 'g'), '(^|[^$])\\(\\s*(-?[0-9]+)\\s*,\\s*(-?[0-9]+)\\s*\\)', '\\1$(\\2,\\3)', 'g'), '\\$([0-9]+)', '$(\\1,0)', 'g'), '\\s+', '', 'g') as key from e)"""
 
 
 @BOOK.add(f"with {_WRITTEN_SQL} select equation, key as equation_key, count(*) as n from g group by all")
@@ -152,10 +152,19 @@ def rule_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.compare(written.where("l_linestatus = 'O' and k not like '%1%'"), written.where("l_linestatus = 'F' and k not like '%3%'"))
 
 
-@BOOK.add(f"""with {_WRITTEN_SQL}, d as (select distinct equation, key from g), x as (select equation, unnest(regexp_extract_all(key, '\\$\\(([0-9]+),([0-9]+)\\)', 1)) as r, unnest(regexp_extract_all(key, '\\$\\(([0-9]+),([0-9]+)\\)', 2)) as c from d)
-  select equation, 'null_sides' as issue from d where position('=' in key) <= 1 union all select distinct equation, 'index_out_of_range' from x where cast(r as int) >= 4 or cast(c as int) >= 4""")
+@BOOK.add("""with t as (select n_nationkey as n, case n_nationkey % 4 when 0 then '左邊 = $(0,1)' when 1 then 'Left = right' else '$(0,' || n_nationkey % 7 || ') + $2 = $(1,0)' end as equation, n_nationkey % 3 = 0 as sided from nation),
+  s as (select n_nationkey as id, n_nationkey % 3 + 1 as h, n_nationkey % 5 + 1 as w from nation), c as (select distinct n, equation, unnest(case when sided then [0, 1] else [0, 2, 1] end) as r, unnest(case when sided then [3, 0] else [n % 7, 0, 0] end) as c from t where sided or n % 4 > 1),
+  z as (select n, equation, 0 as r, 1 as c from t where not sided and n % 4 = 0)
+  select equation, 'equation_sides_null' as issue, null::bigint as window_id, null::int as row, null::int as col from t where not sided union all select equation, 'placeholder_tokens', null, null, null from t where n % 4 < 2
+  union all select equation, 'index_out_of_range', id::bigint, r, c from (select * from c union all select * from z) x join s on s.id in (x.n, (x.n + 1) % 25) where r >= h or c >= w""")
 def rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality(_written(spark, sf_dir).select("equation").distinct(), 4, 4)
+    """A rule for each nation, with sides for one in three, supported by two windows of other shapes."""
+    n = F.col("n_nationkey")
+    equation = F.when(n % 4 == 0, "左邊 = $(0,1)").when(n % 4 == 1, "Left = right").otherwise(F.concat(F.lit("$(0,"), n % 7, F.lit(") + $2 = $(1,0)")))
+    sided = F.when(n % 3 == 0, F.array(F.lit("$(0,3)"), F.lit("$(1,0)")))
+    written = table(spark, sf_dir, "nation").select(equation.alias("equation"), sided.alias("equation_sides"), F.array(n.cast("long"), ((n + 1) % 25).cast("long")).alias("windows"))
+    shapes = table(spark, sf_dir, "nation").select(n.cast("long").alias("window_id"), (n % 3 + 1).alias("height"), (n % 5 + 1).alias("width"))
+    return rules.quality(written, shapes)
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:

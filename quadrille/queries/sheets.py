@@ -277,9 +277,20 @@ def inspector_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspector.relations(inside).select("sheet", "a", "sign", "b", "t", "valid", "support", "confidence")
 
 
-@BOOK.add(f"with {ORDER_CELLS_SQL}, f as (select row, col, raw, lead(raw) over (partition by row order by col) as value from oc where trim(raw) <> '') select row, regexp_replace(trim(raw), '[:：]$', '') as key, value from f where value is not null and regexp_matches(raw, '[^0-9.,%\\s-]')")
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a sheet of labels and values, some in one cell."""
+    key = F.col("p_partkey")
+    cells = [F.when(key % 3 == 0, F.concat(F.lit("品名： "), F.col("p_name"))).otherwise(F.lit("品名:")), F.when(key % 5 == 0, F.lit("12")).otherwise(F.col("p_name")), F.lit("規格"), F.when(key % 7 == 0, F.lit("標準")).otherwise(F.col("p_type")), F.col("p_brand")]
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet"), key.alias("row"), F.posexplode(F.array(*cells)).alias("col", "raw")).withColumn("col", F.col("col") + 1)
+
+
+_LABELLED_SQL = """lb as (select p_brand as sheet, p_partkey as row, unnest([1, 2, 3, 4, 5]) as col, unnest([case when p_partkey % 3 = 0 then '品名： ' || p_name else '品名:' end, case when p_partkey % 5 = 0 then '12' else p_name end, '規格', case when p_partkey % 7 = 0 then '標準' else p_type end, p_brand]) as raw from part),
+  kv as (select p_brand as sheet, p_partkey as row, 1 as col, '品名' as key, case when p_partkey % 3 = 0 or p_partkey % 5 <> 0 then p_name else '規格' end as value from part union all select p_brand, p_partkey, 3, '規格', case when p_partkey % 7 = 0 then p_brand else p_type end from part)"""
+
+
+@BOOK.add(f"with {_LABELLED_SQL} select * from kv")
 def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textwork.key_values(order_cells(spark, sf_dir).select("sheet", "row", "col", "raw")).select("row", "key", "value")
+    return textwork.key_values(_labelled(spark, sf_dir))
 
 
 @BOOK.add(f"with {ORDER_CELLS_SQL}, b as (select row, col, raw, 'n' || row % 25 as sheet from oc), s as (select 'n' || n_nationkey as sheet, n_nationkey * 10 as first, n_nationkey * 10 + 400 as last from nation where n_nationkey % 2 = 0) select b.sheet, row, col, raw from b left join s using (sheet) where first is null or row between first and last")
@@ -290,15 +301,21 @@ def row_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textwork.row_slices(cells, slices)
 
 
-@BOOK.add()
+@BOOK.add(r"""with a as (select distinct substring(p_name, 1, length(p_name) - 1) as x from part where p_partkey % 50 = 0), b as (select distinct p_name as x from part),
+  w as (select 0 as side, x, unnest(regexp_extract_all(lower(x), '[\p{L}\p{N}_]{2,}')) as g from a union all select 1, x, unnest(regexp_extract_all(lower(x), '[\p{L}\p{N}_]{2,}')) from b),
+  f as (select side, x, g, count(*) as tf from w group by all), i as (select g, ln(((select count(*) from a) + (select count(*) from b) + 1) / (count(*) + 1)) + 1 as idf from f group by g),
+  v as (select side, x, g, tf * idf as w, sqrt(sum(tf * idf * tf * idf) over (partition by side, x)) as norm from f join i using (g)),
+  s as (select p.x as name, q.x as match, sum(p.w / p.norm * q.w / q.norm) as score from v p join v q on p.g = q.g and p.side = 0 and q.side = 1 group by all)
+  select name, match, round(score, 6) as score from (select *, row_number() over (partition by name order by round(score, 9) desc, match) as r from s where score > 0.3) where r = 1""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts, their last letter missing, against the names themselves; tested on small names."""
+    """Names of parts, their last letter missing, against the names themselves."""
     names = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.expr("substring(p_name, 1, length(p_name) - 1)").alias("name"))
-    return textwork.fuzzy_names(names, table(spark, sf_dir, "part").select(F.col("p_name").alias("known")))
+    return textwork.fuzzy_names(names, table(spark, sf_dir, "part").select(F.col("p_name").alias("known"))).withColumn("score", F.round("score", 6))
 
 
-@BOOK.add()
+@BOOK.add(rf"""with {_LABELLED_SQL}, e as (select sheet, 1 as rank, row, col, 0 as i, value as term from kv union all select sheet, 3, row, col, 0, raw from lb where raw not in ('12', '標準')),
+  f as (select sheet, lower(term) as low, min(rank::bigint * 1000000000 + row * 100 + col) as spot, arg_min(term, rank::bigint * 1000000000 + row * 100 + col) as term from e group by all), r as (select *, row_number() over (partition by sheet order by spot) as n from f)
+  select sheet, string_agg(term, '|' order by spot) as keywords from r where n <= 50 group by sheet""")
 def sheet_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First terms of each brand's parts; tested on a small sheet."""
-    cells = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("row"), F.lit(1).alias("col"), F.col("p_name").alias("raw"))
-    return textwork.sheet_keywords(cells).select("sheet", F.concat_ws(" ", "keywords").alias("keywords"))
+    """First terms of each brand's parts."""
+    return textwork.sheet_keywords(_labelled(spark, sf_dir)).select("sheet", F.concat_ws("|", "keywords").alias("keywords"))

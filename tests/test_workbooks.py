@@ -87,11 +87,11 @@ def test_names_slices_and_terms(spark):
     names = spark.createDataFrame([("supplied wieght",), ("zzz",)], "name string")
     known = spark.createDataFrame([("supplied weight",), ("ring weight",), ("computed height",)], "known string")
     assert [(r["name"], r["match"]) for r in textwork.fuzzy_names(names, known).collect()] == [("supplied wieght", "supplied weight")]
-    c = cells(spark, [["Part:", "AB-123"], ["Weight", "20 kg"], ["x", "y"]])
+    c = cells(spark, [["品名:", "AB-123"], ["Weight", "20 kg"], ["x", "y"]])
     slices = spark.createDataFrame([("s", 2, 99)], "sheet string, first long, last long")
     assert textwork.row_slices(c, slices, strict=True).agg(F.min("row")).first()[0] == 2
     with pytest.raises(ValueError):
         textwork.row_slices(c, spark.createDataFrame([("s", 9, 99)], "sheet string, first long, last long"), strict=True)
-    assert {(r["key"], r["value"]) for r in textwork.key_values(c).collect()} == {("Part", "AB-123"), ("Weight", "20 kg"), ("x", "y")}
+    assert {(r["key"], r["value"]) for r in textwork.key_values(c).collect()} == {("品名", "AB-123")}
     assert {"AB-123", "20 kg", "Weight"} <= set(textwork.sheet_keywords(c).first()["keywords"])
     assert c.withColumn("f", F.lit("f.xlsx")).withColumn("t", F.array("raw")).select(textwork.hierarchy_keys(c, "f", "sheet", "t").alias("k")).first()["k"][0].startswith("f.xlsx::s::")
