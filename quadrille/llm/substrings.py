@@ -6,21 +6,21 @@ runs is its anchor (winnowing), so equal windows have equal anchors.  The window
 one anchor are one stretch of words; its hash is the anchor's span.
 
 A batch of documents becomes an immutable run: (fingerprint, span, n, first), sorted
-and bucketed by fingerprint.  Runs are compacted into one, and a run's buckets are
-merge-joined by fingerprint as they lie.  Spans that occur twice are equal windows all over.
-Where a fingerprint recurs in other surroundings, the windows of each of its spans are
-compared one by one.
+and bucketed by fingerprint.  Each new run is merge-joined with the runs of earlier batches, bucket
+by bucket, which tells the fingerprints that recur; beyond ``RUNS`` runs all are compacted into one.  At the
+end only the rows of recurring fingerprints are taken from the runs and verified: spans that occur twice are equal windows all
+over; where a fingerprint recurs in other surroundings, the windows of each of its spans are compared one by one.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep
-all words; repeated rows lose every word that a window covers; an empty table gives
-an empty result.
+all words; repeated rows lose every word that a window covers; ties of fingerprints are told apart by their windows; very
+long texts are read whole; other columns, whatever their names, are passed by; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import words as W
 from quadrille.llm.arrow import chunks, lists
-from quadrille.llm.storage import materialize, new_path
+from quadrille.llm.storage import materialize, new_path, remove
 
 WIDTH = 35
 GRAM = 10  # words in a fingerprint
-BUCKETS = 64
-RUNS = 4  # runs that are compacted into one
-BATCHES = 2
+BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 4_000_000, 64, 100_000  # buckets follow the anchors of the input
+RUNS = 2  # more runs than these are compacted into one
+BATCHES = 4
 
 
 class Anchors:
@@ -104,63 +104,83 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(s[at]), pa.array(np.diff(np.append(at, len(f)))), pa.array(k[at])], names=["fingerprint", "span", "n", "first"])
 
 
+RUN = "fingerprint long, span long, n long, first long"
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of (fingerprint, span, n, first), all bucketed alike."""
+    """Sorted immutable runs of (fingerprint, span, n, first), all bucketed alike, and the fingerprints that recurred so far.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS) -> None:
+    ``runs`` (table names) and ``touched`` (tables of fingerprints) are all its state: handed to a new index of equal
+    folder and buckets they let it go on where another ended.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = FEWEST_BUCKETS, runs: Sequence[str] = (), touched: Sequence[DataFrame] = ()) -> None:
         self.spark, self.buckets = spark, buckets
         self.folder = folder or new_path(spark, "fingerprints")
-        self.runs: list[str] = []
+        self.runs, self.touched = list(runs), list(touched)
 
-    def _write(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        (rows.write.option("path", f"{self.folder}/{name}").option("compression", "zstd").bucketBy(self.buckets, "fingerprint").sortBy("fingerprint", "span").saveAsTable(name))
-        self.runs.append(name)
-
-    def add(self, posted: DataFrame) -> None:
-        """A new run of a batch's postings; beyond ``RUNS`` all are compacted."""
-        counted = posted.select("k", "fingerprints", "spans").mapInArrow(_counted, "fingerprint long, span long, n long, first long")
-        placed = counted.repartition(self.buckets, "fingerprint")
-        self._write(placed.groupBy("fingerprint", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
+        counted = rows.repartition(self.buckets, "fingerprint").groupBy("fingerprint", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        (counted.write.option("path", f"{self.folder}/{name}").option("compression", "zstd").bucketBy(self.buckets, "fingerprint").sortBy("fingerprint", "span").saveAsTable(name))
+        return name
+
+    def take(self, posted: DataFrame) -> DataFrame:
+        """Adds a batch's postings as a run; (fingerprint) of those that recur in the batch or that earlier runs hold."""
+        new = self._write(posted.select("k", "fingerprints", "spans").mapInArrow(_counted, RUN))
+        found = self.spark.table(new).groupBy("fingerprint").agg(F.sum("n").alias("n")).where("n > 1").select("fingerprint")
+        for old in self.runs:
+            found = found.unionByName(self.spark.table(new).select("fingerprint").join(self.spark.table(old).select("fingerprint").hint("merge"), "fingerprint", "left_semi"))
+        met = materialize(found, "fingerprints-met")
+        self.touched.append(met)
+        self.runs.append(new)
         if len(self.runs) > RUNS:
             self.compact()
-
-    def merged(self) -> DataFrame:
-        """All runs as one; one run is read as it lies."""
-        if not self.runs:
-            return self.spark.createDataFrame([], "fingerprint long, span long, n long, first long")
-        out = self.spark.table(self.runs[0])
-        if len(self.runs) == 1:
-            return out
-        for name in self.runs[1:]:
-            out = out.unionByName(self.spark.table(name))
-        return out.repartition(self.buckets, "fingerprint").groupBy("fingerprint", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        return met.distinct()
 
     def compact(self) -> None:
-        old = list(self.runs)
-        rows = self.merged()
-        self.runs = []
-        self._write(rows)
-        self.drop(old)
-
-    def drop(self, names: list[str] | None = None) -> None:
-        """Forget runs; their files stay in the shared folder."""
-        for name in names if names is not None else self.runs:
+        """All runs as one; the old ones go."""
+        old, rows = self.runs, self.spark.createDataFrame([], RUN)
+        for name in old:
+            rows = rows.unionByName(self.spark.table(name))
+        self.runs = [self._write(rows)]
+        self._remove(old)
+
+    def _remove(self, names: list[str]) -> None:
+        for name in names:
             self.spark.sql(f"drop table if exists {name}")
-
-    def seen(self, posted: DataFrame) -> DataFrame:
-        """(k, span) of a batch's postings whose fingerprint the index holds: what to look at before the batch is added."""
-        pairs = posted.select("k", F.explode(F.arrays_zip("fingerprints", "spans")).alias("x")).select("k", F.col("x.fingerprints").alias("fingerprint"), F.col("x.spans").alias("span"))
-        return pairs.join(self.merged().select("fingerprint").distinct(), "fingerprint", "left_semi").select("k", "span")
+            remove(self.spark, f"{self.folder}/{name}")
+
+    def drop(self) -> None:
+        """Ends the index; its tables and files go."""
+        self._remove(self.runs)
+        self.runs, self.touched = [], []
+
+    def recurring(self) -> DataFrame:
+        """(fingerprint, span, n, first) of all fingerprints that recurred, over all runs."""
+        rows = self.spark.createDataFrame([], RUN)
+        if self.touched:
+            met = self.touched[0]
+            for more in self.touched[1:]:
+                met = met.unionByName(more)
+            met = materialize(met.distinct(), "fingerprints-recurring")
+            for name in self.runs:
+                rows = rows.unionByName(self.spark.table(name).join(met.hint("merge"), "fingerprint", "left_semi"))
+        return rows.groupBy("fingerprint", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
     def repeated(self) -> tuple[DataFrame, DataFrame]:
         """(span) of those that occur twice; (k, span, n) of all whose fingerprint has a span that occurs once, and others."""
-        rows = self.merged()
+        rows = materialize(self.recurring(), "fingerprints-rows")
         twice = rows.where("n > 1").select("span")
         per = rows.groupBy("fingerprint").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select("fingerprint")
         return twice, rows.join(per, "fingerprint", "left_semi").select(F.col("first").alias("k"), "span", "n")
 
 
+def buckets_for(posted: DataFrame) -> int:
+    anchors = posted.agg(F.sum(F.size("fingerprints"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(FEWEST_BUCKETS, -(-anchors // BUCKET_ROWS)))
+
+
 WINDOWS = "h long, k long, n long"
 
 
@@ -180,12 +200,11 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of each row, judged over all rows."""
     spark = docs.sparkSession
     posted = materialize(postings(docs, width, gram), "substrings-postings")
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, buckets=buckets_for(posted))
     for i in range(batches):
-        index.add(posted.where(F.pmod("k", F.lit(batches)) == i))
-    if len(index.runs) > 1:
-        index.compact()
+        index.take(posted.where(F.pmod("k", F.lit(batches)) == i))
     twice, doubtful = index.repeated()
+    index.drop()
 
     pairs = posted.select("k", F.explode(F.array_distinct("spans")).alias("span"))
     resolved = pairs.join(twice, "span", "left_semi").groupBy("k").agg(F.collect_set("span").alias("twice"))

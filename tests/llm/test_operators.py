@@ -63,19 +63,31 @@ def test_substrings_against_brute_force(spark, odd):
     assert substrings.deduplicate(frame(spark, docs).limit(0)).count() == 0
 
 
-def test_index_grows_run_by_run(spark):
+def test_index_grows_run_by_run_and_goes_on(spark):
     rng = random.Random(2)
     text = " ".join(str(rng.random()) for _ in range(60))
     batches = [[(i, text if i in (1, 4) else " ".join(str(rng.random()) for _ in range(60)))] for i in range(7)]
+    posted = [substrings.postings(frame(spark, b)).cache() for b in batches]
     index = substrings.FingerprintIndex(spark, buckets=4)
-    hits = []
-    for b in batches:
-        posted = substrings.postings(frame(spark, b)).cache()
-        hits.append(index.seen(posted).count())
-        index.add(posted)
-    assert len(index.runs) <= substrings.RUNS and [h > 0 for h in hits] == [False, False, False, False, True, False, False]
-    assert index.merged().where("n > 1").count() == hits[4]
-    index.drop()
+    hits = [index.take(p).count() > 0 for p in posted[:3]]
+    later = substrings.FingerprintIndex(spark, index.folder, 4, index.runs, index.touched)  # as after a stop
+    hits += [later.take(p).count() > 0 for p in posted[3:]]
+    assert len(later.runs) <= substrings.RUNS and hits == [False, False, False, False, True, False, False]
+    whole = substrings.FingerprintIndex(spark, buckets=4)
+    whole.take(posted[0].unionByName(posted[1]).unionByName(posted[2]).unionByName(posted[3]).unionByName(posted[4]).unionByName(posted[5]).unionByName(posted[6]))
+    rows = sorted(map(tuple, later.recurring().collect()))
+    assert rows and rows == sorted(map(tuple, whole.recurring().collect())) and all(r[2] == 2 for r in rows)
+    names = [*later.runs, *whole.runs]
+    later.drop()
+    whole.drop()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_substrings_are_the_same_for_any_number_of_batches(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    found = [sorted(map(tuple, substrings.deduplicate(frame(spark, docs), width=9, gram=4, batches=n).collect())) for n in (1, 2, 5)]
+    assert found[0] == found[1] == found[2] and any(r[2] for r in found[0])
 
 
 def test_similarity_against_brute_force(spark, odd):
