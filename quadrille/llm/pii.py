@@ -2,12 +2,14 @@
 
 The field scores whole candidate spans (up to ``LONGEST`` tokens) by features of the
 span, and dynamic programming chooses boundaries and kinds together.  It learns from a
-bounded sample of stretches that the base patterns have labelled.  A candidate must
-hold a digit or an @, so a text falls into stretches around those, and the best
-labelling of a text is that of its stretches.
+bounded sample of stretches that the base patterns have labelled.  A candidate
+holds a digit or an @ and reaches at most ``AROUND`` tokens and ``SCOPE`` characters beyond the first and the last of
+them in its stretch: longer spans aren't candidates.  Stretches of a text don't overlap, so its best labelling is that of its stretches.
 
 Defined results: null is the empty text, which has no spans; without anything to learn
-from nothing is added; spans that touch a base span aren't added.
+from, or in an empty table, nothing is added; spans that touch a base span aren't added; of equally good labellings the first found;
+repeated rows have equal spans; very long texts are read whole (stretches of more than ``LEARNED_LENGTH`` characters are labelled, but not
+learned from); a column named like the output is replaced, whatever its case.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quadrille.llm.spans import Span, apart, ordered, with_spans
+from quadrille.llm.spans import LeastByHash, Span, apart, least_by_hash, ordered, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16  # tokens in a span
 AROUND = 6  # tokens of a stretch before and after what makes it one
 SAMPLE = 240  # stretches that the field learns from
+LEARNED_LENGTH = 600  # characters of a stretch that is learned from, at most
 EPOCHS = 10
 
 #: The base patterns.  An address is looked for from its @, numbers from the start of a run of digits.
@@ -87,11 +89,11 @@ def stretches(text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     parts: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - SCOPE), min(len(text), m.end() + SCOPE)
-        if parts and m.start() <= parts[-1][2] + SCOPE // 2:
-            parts[-1][1], parts[-1][2] = b, m.end()
+        if parts and a <= parts[-1][1]:
+            parts[-1][1] = b
         else:
-            parts.append([max(a, parts[-1][2]) if parts else a, b, m.end()])
-    for a, b, _ in parts:
+            parts.append([a, b])
+    for a, b in parts:
         tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
         hot = [i for i, (x, _) in enumerate(tokens) if TRIGGER.match(text, x)]
         if hot:
@@ -232,18 +234,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from at most ``sample`` stretches, the least by a hash of their text, half of them with base spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: LeastByHash(sample // 2) for k in ("marked", "plain")}
         for b in batches:
-            parts, marked = [], []
             for x in b.column(0).to_pylist():
                 base = base_spans(x)
                 for _, tokens in stretches(x):
                     a, z = tokens[0][0], tokens[-1][1]
-                    parts.append(x[a:z])
-                    marked.append(any(s[1] >= a and s[2] <= z for s in base))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(marked, pa.bool_())], names=["part", "marked"])
+                    if z - a <= LEARNED_LENGTH:
+                        held["marked" if any(s[1] >= a and s[2] <= z for s in base) else "plain"].offer([x[a:z]])
+        rows = [(kind, word) for kind, some in held.items() for word in some.trim()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string()), pa.array([held[k].held[w] for k, w in rows], pa.int64())], names=["kind", "word", "h"])
 
-    parts = docs.select("text").where("text rlike '[0-9@]'").mapInArrow(run, "part string, marked boolean").where("length(part) <= 600").select("part", "marked", F.xxhash64("part").alias("h"))
-    rows = [r["part"] for m in ("marked", "not marked") for r in parts.where(m).orderBy("h", "part").limit(sample // 2).collect()]
+    words = least_by_hash(docs.select("text").where("text rlike '[0-9@]'").mapInArrow(run, "kind string, word string, h long"), sample // 2)
+    rows = [*words.get("marked", []), *words.get("plain", [])]
     both = [x for part in rows for x in labelled(part)]
     field = Field()
     field.learn([x for x, _ in both], [x for _, x in both])

@@ -3,42 +3,45 @@
 A prefix tree of the labelled credentials is folded up: states merge, in the red-blue
 order, if a Hoeffding bound finds their outgoing and ending frequencies alike, and so
 do the states below them.  Letters stand for themselves while a format's constant head
-lasts, then for their class.  Each run of credential letters is a candidate, and is
-a secret if the automaton of some kind finds it far likelier per letter than the model of
+lasts, then for their class.  Each run of credential letters is a candidate, and so are its parts between = / . and :
+where the run itself is none.  It is a secret if the automaton of some kind finds it far likelier per letter than the model of
 ordinary words does, and as likely as the credentials it was made from.
 
 Defined results: null is the empty text, which has no spans; without credentials to
-learn from nothing is added; spans that touch a base span aren't added.
+learn from, or in an empty table, nothing is added; spans that touch a base span aren't added; of equally likely kinds the
+last by name; repeated rows have equal spans; very long texts are read whole (words of more than ``LEARNED_LENGTH`` letters are
+scored, but not learned from); a column named like the output is replaced, whatever its case.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quadrille.llm.spans import Span, apart, ordered, with_spans
+from quadrille.llm.spans import LeastByHash, Span, apart, least_by_hash, ordered, with_spans
 
 KINDS = ("assign", "access", "hex")
 SAMPLE = 600  # credentials of a kind, and ordinary words, that are learned from
 SIGNIFICANCE = 0.02
-ORDINARY_TEXTS = 50  # one text in so many gives ordinary words to that sample
+LEARNED_LENGTH = 200  # letters of what is learned from, at most
 HEAD = 4  # letters that stand for themselves at most
-LEAST = 16  # letters of a candidate
+LEAST = 12  # letters of a candidate, as of the shortest credential
 MARGIN = 0.5  # nats a letter by which a secret is likelier than an ordinary word
 
 #: The base patterns and the least length of what they must hold.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=:-]{12,}")
+PARTS = re.compile(r"[^=/.:]+")
+ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{3,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 WORDS_OF_ASSIGN = ("passw", "secret", "token", "api")
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 
@@ -48,7 +51,7 @@ def _table(letters: str) -> bytes:
 
 
 _HEX_TABLE = _table("0123456789abcdef")
-_CREDENTIAL_TABLE = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+_CREDENTIAL_TABLE = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=:-")
 
 
 def base_matches(text: str) -> list[tuple[str, int, int, str]]:
@@ -216,37 +219,46 @@ class Model:
         return best[1] if best[0] >= 0 else None
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """Runs of credential letters that hold both a digit and a letter."""
+def candidates(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """Runs of credential letters that hold both a digit and a letter: each run, then its parts."""
     if b"x" * LEAST not in text.encode("utf-8", "surrogatepass").translate(_CREDENTIAL_TABLE):
         return
     for m in CANDIDATE.finditer(text):
-        word = m[0].strip(".=-_/+")
-        if len(word) >= LEAST and re.search("[0-9]", word) and re.search("[A-Za-z]", word):
-            at = m.start() + m[0].index(word)
-            yield at, at + len(word), word
+        run = m[0]
+        if not (DIGIT.search(run) and LETTER.search(run)):
+            continue
+        both = [(m.start() + x.start(), x[0]) for x in [re.match(r".*", run), *PARTS.finditer(run)]]
+        out = []
+        for at, word in both:
+            inner = word.strip(".=-_/+:")
+            if len(inner) >= LEAST and DIGIT.search(inner) and LETTER.search(inner):
+                start = at + word.index(inner)
+                if not out or (start, inner) != (out[0][0], out[0][2]):
+                    out.append((start, start + len(inner), inner))
+        if out:
+            yield out
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Automata from at most ``sample`` credentials of each kind and as many ordinary words, the least by a hash."""
+    """Automata from at most ``sample`` credentials of each kind and as many ordinary words of all texts, the least by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: LeastByHash(sample) for k in (*KINDS, "ordinary")}
         for b in batches:
-            kinds, words = [], []
             for x in b.column(0).to_pylist():
-                held = base_matches(x)
-                for kind, _, _, word in held:
-                    kinds.append(kind)
-                    words.append(word)
-                if zlib.crc32(x.encode("utf-8", "surrogatepass")) % ORDINARY_TEXTS == 0:
-                    plain = [w for w in re.findall(r"[A-Za-z0-9+/_.=-]{3,}", x) if not any(w in c for *_, c in held)]
-                    kinds += ["ordinary"] * len(plain)
-                    words += plain
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string())], names=["kind", "word"])
+                found = base_matches(x)
+                for kind, _, _, word in found:
+                    if len(word) <= LEARNED_LENGTH:
+                        held[kind].offer([word])
+                plain = ORDINARY.findall(x)
+                if found:
+                    plain = [w for w in plain if not any(w in c or c in w for *_, c in found)]
+                held["ordinary"].offer(w for w in plain if len(w) <= LEARNED_LENGTH)
+        rows = [(kind, word) for kind, some in held.items() for word in some.trim()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string()), pa.array([held[k].held[w] for k, w in rows], pa.int64())], names=["kind", "word", "h"])
 
-    found = docs.select("text").where("text is not null").mapInArrow(run, "kind string, word string").where("length(word) <= 200").distinct().withColumn("h", F.xxhash64("word"))
-    words = {k: [r["word"] for r in found.where(F.col("kind") == k).orderBy("h", "word").limit(sample).collect()] for k in (*KINDS, "ordinary")}
-    return Model({k: infer(words[k]) for k in KINDS if words[k]}, Ordinary(words["ordinary"]))
+    words = least_by_hash(docs.select("text").where("text is not null").mapInArrow(run, "kind string, word string, h long"), sample)
+    return Model({k: infer(words[k]) for k in KINDS if k in words}, Ordinary(words.get("ordinary", [])))
 
 
 def finder(model: Model):
@@ -254,7 +266,13 @@ def finder(model: Model):
 
     def find(text: str) -> list[Span]:
         base = base_spans(text)
-        added = [(kind, a, b, False) for a, b, word in candidates(text) if apart(a, b, base) and (kind := model.kind_of(word))] if model.automata else []
+        added: list[Span] = []
+        for run in candidates(text) if model.automata else ():
+            for a, b, word in run:
+                if apart(a, b, base) and (kind := model.kind_of(word)):
+                    added.append((kind, a, b, False))
+                    if (a, b, word) == run[0]:
+                        break
         return ordered([*base, *added], KINDS)
 
     return find

@@ -6,10 +6,12 @@ found it.  Spans of a text are ordered by start, then by the scanner's order of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from heapq import nsmallest
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Span = tuple[str, int, int, bool]
@@ -20,7 +22,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def with_spans(docs: DataFrame, find: Callable[[str], list[Span]], column: str = "spans") -> DataFrame:
     """Add the spans of ``text`` (null: empty); a column of that name is replaced."""
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != column))
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()))
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,3 +82,30 @@ def redacted(docs: DataFrame, find: Callable[[str], list[Span]], mark: Callable[
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.mapInArrow(run, fields)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+class LeastByHash:
+    """The ``size`` distinct texts of least hash among those offered: the same whatever the order, and mergeable."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.held = size, {}
+
+    def offer(self, texts: Iterable[str]) -> None:
+        new = [x for x in set(texts) if x not in self.held]
+        self.held.update((x, zlib.crc32(x.encode("utf-8", "surrogatepass"))) for x in new)
+        if len(self.held) > 2 * self.size:
+            self.trim()
+
+    def trim(self) -> list[str]:
+        self.held = dict(nsmallest(self.size, self.held.items(), key=lambda x: (x[1], x[0])))
+        return list(self.held)
+
+
+def least_by_hash(found: DataFrame, sample: int) -> dict[str, list[str]]:
+    """{kind: words} of (kind, word, h) rows: at most ``sample`` distinct words of each kind, those of least hash, in one pass."""
+    once = found.groupBy("kind", "word").agg(F.min("h").alias("h"))
+    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("h", "word"))).where(F.col("r") <= sample)
+    out: dict[str, list[str]] = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r["kind"], r["r"])):
+        out.setdefault(r["kind"], []).append(r["word"])
+    return out

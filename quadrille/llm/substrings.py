@@ -35,8 +35,8 @@ from quadrille.llm.storage import materialize, new_path, remove
 WIDTH = 35
 GRAM = 10  # words in a fingerprint
 BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 4_000_000, 64, 100_000  # buckets follow the anchors of the input
-RUNS = 2  # more runs than these are compacted into one
-BATCHES = 4
+RUNS = 1  # more runs than these are compacted into one
+BATCHES = 2
 
 
 class Anchors:
