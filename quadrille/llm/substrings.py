@@ -34,7 +34,7 @@ from quadrille.llm.storage import materialize, new_path, remove
 
 WIDTH = 35
 GRAM = 10  # words in a fingerprint
-BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 4_000_000, 64, 100_000  # buckets follow the anchors of the input
+BUCKET_ROWS, MOST_BUCKETS = 4_000_000, 100_000  # buckets follow the anchors of the input, and are as many as shuffle partitions at least
 RUNS = 1  # more runs than these are compacted into one
 BATCHES = 2
 
@@ -114,7 +114,7 @@ class FingerprintIndex:
     folder and buckets they let it go on where another ended.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = FEWEST_BUCKETS, runs: Sequence[str] = (), touched: Sequence[DataFrame] = ()) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 64, runs: Sequence[str] = (), touched: Sequence[DataFrame] = ()) -> None:
         self.spark, self.buckets = spark, buckets
         self.folder = folder or new_path(spark, "fingerprints")
         self.runs, self.touched = list(runs), list(touched)
@@ -177,8 +177,9 @@ class FingerprintIndex:
 
 
 def buckets_for(posted: DataFrame) -> int:
+    """A bucket is what one task shuffles and writes as one file."""
     anchors = posted.agg(F.sum(F.size("fingerprints"))).first()[0] or 0
-    return min(MOST_BUCKETS, max(FEWEST_BUCKETS, -(-anchors // BUCKET_ROWS)))
+    return min(MOST_BUCKETS, max(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-anchors // BUCKET_ROWS)))
 
 
 WINDOWS = "h long, k long, n long"
