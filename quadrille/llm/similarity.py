@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import words as W
 from quadrille.llm.arrow import chunks, lists
 from quadrille.llm.components import components
-from quadrille.llm.storage import fresh, materialize
+from quadrille.llm.storage import fresh, materialize, materialize_at, remove
 
 SHINGLE, PERCENT = 5, 80
 FREQUENT = 1 << 18  # most shingles in the table of frequent ones; it orders, so results don't rest on it
@@ -408,15 +408,21 @@ def _linked(placed: DataFrame, whole: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(k, doc_id, n_shingles, component, component_id) of each row; k is a hash of the row's id and text, component of linked sets."""
-    scanned = materialize(scan(docs, frequent_shingles(docs, k), k), "similarity-scan")
+    spark = docs.sparkSession
+    scanned, scan_path = materialize_at(scan(docs, frequent_shingles(docs, k), k), "similarity-scan")
     picked = {"least": F.min("doc_id"), "k": F.first("k"), "n": F.first("n_shingles"), "keys": F.first("keys"), "hot": F.first("hot"), "bits": F.first("bits")}
-    sets = materialize(scanned.where("sid is not null").groupBy("sid").agg(*(c.alias(name) for name, c in picked.items())), "similarity-sets")
+    sets, sets_path = materialize_at(scanned.where("sid is not null").groupBy("sid").agg(*(c.alias(name) for name, c in picked.items())), "similarity-sets")
+    scanned = materialize(scanned.select("k", "doc_id", "sid", "n_shingles"), "similarity-rows")
+    remove(spark, scan_path)  # shingles and bitmaps are in the sets now
     hung = materialize(forest(sets), "similarity-forest")
     hung = hung.join(hung.groupBy("tree").agg(F.sum("n").alias("total")), "tree")
     fit = F.col("total") <= block
     small = hung.where(fit).join(sets.select("sid", "bits").hint("merge"), "sid").select("tree", "sid", "n", "bits").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
     left = materialize(small.unionByName(hung.where(~fit).select("tree", "sid")), "similarity-left")
 
+    sets = materialize(sets.select("sid", "least", "k"), "similarity-names")
+    remove(spark, sets_path)
+
     wanted = left.select("sid").distinct().join(sets.select("sid", "k"), "sid")
     whole = materialize(whole_sets(docs, wanted, k), "similarity-whole")
     held = left.join(whole.select("sid", F.size("tokens").cast("long").alias("n")), "sid")

@@ -33,9 +33,14 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
     Survives the loss of executors, and fixes what a rerun might order differently.
     """
+    return materialize_at(df, name, compression)[0]
+
+
+def materialize_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """The same, and the path, for tables that ``remove`` shall end once what is made of them is written."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
