@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.storage import fresh, materialize
+
 DIMENSIONS = 2048
 UNKNOWN = "und"
 PIECE = 1 << 21  # characters that are counted at once
@@ -29,6 +31,7 @@ BLOCK = 4096  # trigrams whose vectors are held at once
 RARE = 0.01  # share of training texts of a language and length that a floor is set without
 PART = 0.33  # of the cosine that the others reach, the floor
 ENOUGH = 100  # training texts that a floor is set from, at least
+FEW = 1 << 20  # rejected rows that are broadcast by their hashes (8 MB)
 
 
 @lru_cache(maxsize=1)
@@ -171,29 +174,46 @@ def fold(docs: DataFrame, folds: int = 5) -> DataFrame:
     return docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0)
 
 
-def _length(text: str = "text") -> Column:
+def _like(characters: Column) -> Column:
     """Texts of equal number are of like length (within a factor of two)."""
-    return F.length(F.bin(F.length(F.col(text).cast("string")).cast("long")))
+    return F.length(F.bin(characters.cast("long")))
+
 
+def scores(docs: DataFrame, prototypes: dict[str, np.ndarray], key: Column) -> DataFrame:
+    """(k, doc_id, lang, like, lang_pred, score) of each row: what verdicts rest on, without texts."""
+    rows = docs.select(key.alias("k"), "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return identify(rows, prototypes).select("k", "doc_id", "lang", _like(F.length("text")).alias("like"), "lang_pred", "score")
 
-def floors(scored: DataFrame, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+
+def floors(scored: DataFrame) -> DataFrame:
     """(lang, low, high, floor): a part of the cosine that all but few training texts of a language and length reach.
 
-    From rows of ``identify`` with (doc_id, text, lang), but for held-out ones.  Lengths from low
-    to below high have a floor: that of their own texts, or where these are under ``ENOUGH``,
-    that of the next shorter ones.  Texts shorter than all of these have none.
+    From rows of ``scores``, but for held-out ones.  Lengths from low to below high have a
+    floor: that of their own texts, or where these are under ``ENOUGH``, that of the next
+    shorter ones.  Texts shorter than all of these have none.
     """
-    rows = fold(scored.select("doc_id", "text", "lang", F.col(f"`{lang_col}`").alias("found"), F.col(f"`{score_col}`").alias("cosine")))
-    rows = rows.where((F.col("found") != UNKNOWN) & F.col("lang").isNotNull() & ~F.col("held_out"))
-    found = rows.groupBy(F.col("found").alias("lang"), _length().alias("low")).agg(F.count("*").alias("n"), (F.percentile_approx("cosine", RARE) * PART).alias("floor"))
+    rows = fold(scored).where((F.col("lang_pred") != UNKNOWN) & F.col("lang").isNotNull() & ~F.col("held_out"))
+    found = rows.groupBy(F.col("lang_pred").alias("lang"), F.col("like").alias("low")).agg(F.count("*").alias("n"), (F.percentile_approx("score", RARE) * PART).alias("floor"))
     return found.where(F.col("n") >= ENOUGH).select("lang", "low", F.expr("lead(low, 1, 64) over (partition by lang order by low)").alias("high"), "floor")
 
 
-def judged(scored: DataFrame, lang_col: str = "lang_pred", score_col: str = "score", verdict: str = "verdict") -> DataFrame:
-    """Add the verdict to rows of ``identify``: no letter, below floor, or kept."""
-    at = floors(scored, lang_col, score_col).alias("at")
-    rows = scored.alias("rows")
-    lang, score = F.col(f"rows.`{lang_col}`"), F.col(f"rows.`{score_col}`")
-    joined = rows.join(F.broadcast(at), (lang == F.col("at.lang")) & (_length("rows.text") >= F.col("at.low")) & (_length("rows.text") < F.col("at.high")), "left")
-    told = F.when(lang == UNKNOWN, "no letter").when(score < F.col("at.floor"), "below floor").otherwise("kept")
-    return joined.select(*(F.col(f"rows.`{c}`") for c in scored.columns), told.alias(verdict))
+def judged(scored: DataFrame) -> DataFrame:
+    """Add the verdict to rows of ``scores``: no letter, below floor, or kept.  Floors are at most languages x 64 rows."""
+    at = floors(scored).withColumnRenamed("lang", "of")
+    joined = scored.join(F.broadcast(at), (F.col("lang_pred") == F.col("of")) & (F.col("like") >= F.col("low")) & (F.col("like") < F.col("high")), "left")
+    told = F.when(F.col("lang_pred") == UNKNOWN, "no letter").when(F.col("score") < F.col("floor"), "below floor").otherwise("kept")
+    return joined.select(*scored.columns, told.alias("verdict"))
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose verdict is kept.
+
+    Scores are written, texts aren't.  Equal rows have equal verdicts, so rejected rows are known by a hash of id and text;
+    up to ``FEW`` of these are broadcast, more are joined by a shuffle.
+    """
+    key, k = F.xxhash64("doc_id", "text"), fresh(docs, "_k")
+    scored = materialize(scores(docs, prototypes, key), "language-scores")
+    gone = materialize(judged(scored).where("verdict != 'kept'").select(F.col("k").alias(k)).distinct(), "language-rejected")
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    return docs.withColumn(k, key).join(gone, k, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
