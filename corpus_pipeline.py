@@ -20,9 +20,7 @@ from quadrille.llm.storage import fresh, materialize, read_table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letter, no text, or a cosine below the floor of the closest language."""
     prototypes = language.learn(language.fold(docs.select("doc_id", "text", "lang")).where("not held_out"))
-    name, score, verdict = fresh(docs, "_language"), fresh(docs, "_score"), fresh(docs, "_verdict")
-    found = materialize(language.identify(docs, prototypes, name, score), "pipeline-language-scores")
-    return language.judged(found, name, score, verdict).where(F.col(verdict) == "kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return language.accepted(docs, prototypes)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
