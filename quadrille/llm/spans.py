@@ -101,10 +101,22 @@ class LeastByHash:
         return list(self.held)
 
 
+PARTS = 256  # of a kind's words, each cut to the sample before they meet
+
+
 def least_by_hash(found: DataFrame, sample: int) -> dict[str, list[str]]:
-    """{kind: words} of (kind, word, h) rows: at most ``sample`` distinct words of each kind, those of least hash, in one pass."""
-    once = found.groupBy("kind", "word").agg(F.min("h").alias("h"))
-    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("h", "word"))).where(F.col("r") <= sample)
+    """{kind: words} of (kind, word, h) rows: at most ``sample`` distinct words of each kind, those of least hash, in one pass.
+
+    Parts of a kind are cut to the sample first, so the task of a kind gets at most ``PARTS`` times the sample however many
+    tasks the rows come from.
+    """
+
+    def cut(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "word"))).where(F.col("r") <= sample)
+
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS))).repartition("kind", "part")
+    once = dealt.groupBy("kind", "part", "word").agg(F.min("h").alias("h"))
+    ranked = cut(cut(once, "kind", "part").drop("r"), "kind")
     out: dict[str, list[str]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["kind"], r["r"])):
         out.setdefault(r["kind"], []).append(r["word"])

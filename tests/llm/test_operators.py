@@ -401,3 +401,12 @@ def test_redaction(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in spans.redacted(docs, secret_scan.base_spans).collect()}
     assert got == {1: ("x [ACCESS] y", 12), 2: (None, None), 3: ("clean", 5)}
     assert spans.redact_text("abcdef", [("p", 1, 4, True), ("q", 2, 5, True)], str.upper) == "aPf"
+
+
+def test_the_sample_is_the_least_of_each_kind_by_hash(spark):
+    from quadrille.llm.spans import least_by_hash
+
+    rows = [(f"k{i % 3}", f"w{i % 5000}", (i % 5000 * 7919) % 1000) for i in range(20000)]
+    found = spark.createDataFrame(rows, "kind string, word string, h long")
+    want = {kind: [w for _, w in sorted({(h, w) for k, w, h in rows if k == kind})[:40]] for kind in ("k0", "k1", "k2")}
+    assert least_by_hash(found, 40) == want and least_by_hash(found.limit(0), 5) == {}
