@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.operators import cells as C
-from quadrille.operators import regions
+from quadrille.operators import headers, regions
 from quadrille.operators.profile import DATES, NUMERIC
 from quadrille.operators.relations import MIN_RATE, MIN_SUPPORT, TOP, approx_equal
 
 HEADER, TYPE_LEAST, RELATION_LEAST = 0.72, 0.8, 0.85
-MOST_COLUMNS = 80  # wider tables have no relations looked for: the search is cubic in columns
+MOST_COLUMNS = 80  # the usual bound of the search, which is cubic in columns; see too_wide
 
 KEY = ["sheet", "table_id"]
 
@@ -57,15 +57,25 @@ def data_types(inside: DataFrame, found: DataFrame) -> DataFrame:
     return per.select(*KEY, "c", kind.alias("data_type"), sure.alias("confidence"))
 
 
-def relations(inside: DataFrame, axis: str = "column") -> DataFrame:
+def _widths(inside: DataFrame, place: str) -> DataFrame:
+    return inside.where("num is not null").groupBy(*KEY).agg(F.max(place).alias("width"))
+
+
+def too_wide(inside: DataFrame, axis: str = "column", most: int = MOST_COLUMNS) -> DataFrame:
+    """(sheet, table_id, width) of tables that ``relations`` leaves out under that bound."""
+    return _widths(inside, "c" if axis == "column" else "r").where(F.col("width") > most)
+
+
+def relations(inside: DataFrame, axis: str = "column", most: int | None = MOST_COLUMNS) -> DataFrame:
     """(sheet, table_id, a, sign, b, t, valid, support, confidence) over the columns (or rows) of every table.
 
-    Cells of a line meet on (table, line); both tables and lines spread the work.
+    Cells of a line meet on (table, line); both tables and lines spread the work.  Tables of more than ``most`` columns
+    (or rows) are left out and named by ``too_wide``; None leaves none out.
     """
     line, place = ("r", "c") if axis == "column" else ("c", "r")
     numbers = inside.where("num is not null").select(*KEY, F.col(line).alias("line"), F.col(place).alias("p"), "num")
-    narrow = numbers.groupBy(*KEY).agg(F.max("p").alias("w")).where(F.col("w") <= MOST_COLUMNS).select(*KEY)
-    rows = numbers.join(narrow, KEY, "left_semi").groupBy(*KEY, "line").agg(F.array_sort(F.collect_list(F.struct("p", "num"))).alias("v"))
+    kept = numbers if most is None else numbers.join(_widths(inside, place).where(F.col("width") <= most).select(*KEY), KEY, "left_semi")
+    rows = kept.groupBy(*KEY, "line").agg(F.array_sort(F.collect_list(F.struct("p", "num"))).alias("v"))
     a = rows.select(*KEY, "line", "v", F.explode("v").alias("a"))
     ab = a.select("*", F.explode(F.filter("v", lambda x: x["p"] > F.col("a.p"))).alias("b"))
     abt = ab.select("*", F.explode(F.filter("v", lambda x: (x["p"] != F.col("a.p")) & (x["p"] != F.col("b.p")))).alias("t"))
@@ -82,7 +92,8 @@ def inspect(cells: DataFrame, gap: int = 1) -> dict[str, DataFrame]:
     """Everything about a workbook's sheets, as plans over the same cells."""
     inside = placed(cells, gap)
     found = layout(inside)
-    return {"tables": regions.tables(cells, gap), "layout": found, "labels": labels(inside, found), "types": data_types(inside, found), "relations": relations(inside).unionByName(relations(inside, "row"))}
+    boxes = regions.tables(cells, gap)
+    return {"tables": boxes, "layout": found, "header_index": headers.infer(inside, boxes), "labels": labels(inside, found), "types": data_types(inside, found), "relations": relations(inside).unionByName(relations(inside, "row"))}
 
 
 def export_rules(found: dict[str, DataFrame]) -> DataFrame:

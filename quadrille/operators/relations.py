@@ -89,17 +89,3 @@ def coefficient_rule(df: DataFrame, columns: list[str], coefficients: list[float
     weights = F.array(*(F.lit(float(x)) for x in coefficients))
     total = F.abs(F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x))
     return df.withColumn("residual", F.coalesce(total, F.lit(float("inf")))).withColumn("ok", F.coalesce(total < tolerance, F.lit(False)))
-
-
-#: Words that tell what a column holds.
-MEANINGS = {
-    "quantity": ("qty", "quantity", "數量", "count"), "price": ("price", "unit price", "單價"), "amount": ("amount", "total", "金額", "sum"),
-    "start": ("start", "begin", "期初", "opening"), "end": ("end", "期末", "closing"), "in": ("in", "received", "入庫"), "out": ("out", "issued", "出庫"),
-}
-TEMPLATES = (("amount", "quantity", "*", "price"), ("end", "start", "+", "in"), ("end", "start", "-", "out"), ("amount", "price", "*", "quantity"), ("out", "in", "-", "end"))
-
-
-def semantic_candidates(labels: list[str]) -> list[Relation]:
-    """Relations that the names of columns suggest; of several columns that fit a meaning the first counts."""
-    found = {m: next((x for x in labels if any(w in x.lower() for w in words)), None) for m, words in MEANINGS.items()}
-    return [Relation(sign, found[a], found[b], found[t]) for t, a, sign, b in TEMPLATES if found[t] and found[a] and found[b] and len({found[t], found[a], found[b]}) == 3]

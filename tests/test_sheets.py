@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quadrille.functions import a1, coerce
-from quadrille.operators import audit, cells, discover, grouped, numbering, profile, regions, relations, rules, windows
+from quadrille.operators import audit, cells, discover, grouped, inspector, numbering, profile, regions, relations, rules, summaries, windows
 from quadrille.operators.audit import Rule
 
 PLANTED = [(i, float(100 + i), float(90 + i), float(100 + i), 10.0) for i in range(1, 41)]
@@ -129,7 +129,7 @@ def test_relations_and_labels(spark):
     r = got["amount = qty * price"]
     assert (r["support"], r["valid"], r["confidence"]) == (19, 20, 0.9025)
     assert [x["row"] for x in relations.violations(df, relations.Relation("*", "qty", "price", "amount")).collect()] == [7]
-    assert [x.formula for x in relations.semantic_candidates(["Qty", "Unit price", "Total amount"])] == ["Total amount = Qty * Unit price", "Total amount = Unit price * Qty"]
+    assert [(n, x.formula) for n, x in summaries.suggested(["Qty", "Unit price", "Total amount"])] == [("amount_equals_qty_times_price", "Total amount = Qty * Unit price")]
     assert relations.coefficient_rule(df, ["qty"], [1.0, 2.0]).where("ok").count() == 0
 
 
@@ -154,3 +154,12 @@ def test_rule_book_round_trip(spark):
     assert rules.from_book(book).count() == 2 and rules.from_book(book, least=0.8).count() == 1
     both = rules.compare(rows, rows.where("consistency_rate = 1.0"))
     assert {r["equation_key"]: r["status"] for r in both.collect()} == {"$(0,0)=$(1,0)": "both", "$(0,0)+$(1,0)=$(2,0)": "only_a"}
+
+
+def test_tables_too_wide_for_relations_are_reported(spark):
+    """Three columns, the third the sum of the others, and a bound of two: reported, and found without the bound."""
+    rows = [("s", 1, r, c, float(v)) for r in range(1, 21) for c, v in ((1, r), (2, 2 * r + 1), (3, 3 * r + 1))]
+    inside = spark.createDataFrame(rows, "sheet string, table_id int, r int, c int, num double")
+    assert inspector.relations(inside, most=2).count() == 0 and inspector.too_wide(inside, most=2).first()["width"] == 3
+    assert {(x.a, x.sign, x.b, x.t) for x in inspector.relations(inside, most=None).where("sign = '+'").collect()} == {(1, "+", 2, 3)}
+    assert inspector.too_wide(inside).count() == 0
