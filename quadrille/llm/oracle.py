@@ -24,6 +24,21 @@ k as (select w.doc_id, count(*) as n, string_agg(word, ' ' order by w.i) as t fr
 select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join k using (doc_id)
 """
 
+BOTTOMK_DEDUP = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOW}, {_BLANK_WORDS}) as ws from documents),
+s as (select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else array_to_string(list_slice(ws, i, i + 2), ' ') end as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+f as (select g, count(*) as df from s group by g),
+o as (select s.doc_id, g, n, row_number() over (partition by s.doc_id order by df, g) as place from s join f using (g) join n using (doc_id)),
+h as (select doc_id, g from o where 100 * place <= 100 * n - 85 * n + 100),
+c as (select distinct a.doc_id as x, b.doc_id as y from h a join h b on a.g = b.g and a.doc_id < b.doc_id),
+p as (select x, y, count(*) as shared from c join s a on a.doc_id = x join s b on b.doc_id = y and b.g = a.g group by all),
+k as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 85 * (a.n + b.n - shared)),
+l as materialized (select x, y from k union all select y, x from k),
+r as (select x as doc_id, least(x, y) as o from l union select r.doc_id, l.y from r join l on l.x = r.o)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.o), d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(min(r.o), d.doc_id)) as kept from d left join n using (doc_id) left join r using (doc_id) group by d.doc_id, n.n
+"""
+
 BENCHMARK_DECONTAMINATION = f"""
 with d as (select doc_id, regexp_extract_all({_LOW}, {_LETTER_WORDS}) as ws from documents),
 b as (select item_id, regexp_extract_all({_LOW}, {_LETTER_WORDS}) as ws from benchmark),
@@ -35,4 +50,4 @@ t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join n using (doc_id) left join t using (doc_id)
 """
 
-SQL = {"op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_benchmark_decontamination": BENCHMARK_DECONTAMINATION}
+SQL = {"op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_benchmark_decontamination": BENCHMARK_DECONTAMINATION, "op13_bottomk_dedup": BOTTOMK_DEDUP}

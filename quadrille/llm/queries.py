@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontamination, language, media, oracle, packing, pii, secret_scan, similarity, substrings, token_counts, token_files
+from quadrille.llm import bottomk, decontamination, language, media, oracle, packing, pii, secret_scan, similarity, substrings, token_counts, token_files
 from quadrille.llm.spans import digests
 from quadrille.llm.storage import materialize, read_table
 
@@ -55,8 +55,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(read_table(spark, sf_dir, "documents")))
 
 
+def op13_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op8_pii, op9_secret_scans, op10_token_counts)}
+    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op8_pii, op9_secret_scans, op10_token_counts, op13_bottomk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
