@@ -39,6 +39,21 @@ r as (select x as doc_id, least(x, y) as o from l union select r.doc_id, l.y fro
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.o), d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(min(r.o), d.doc_id)) as kept from d left join n using (doc_id) left join r using (doc_id) group by d.doc_id, n.n
 """
 
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
+f as (select part, doc_id, len(ws) < 50 as a, 100 * len(list_distinct(ws)) < 65 * len(ws) as b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by t), false) as e from d),
+m as (select part, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic, a, b, c, d, e from f left join l using (doc_id) group by part, a, b, c, d, e),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select [p.x, q.x, r.x, s.x, t.x] as o from x p, x q, x r, x s, x t where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+s as (select array_to_string(o, '') as filter_order, step, o[step] as mine, list_slice(o, 1, step - 1) as before from o, unnest(range(1, 6)) as u(step)),
+y as (select part, n, good, toxic, concat(case when a then 'A' end, case when b then 'B' end, case when c then 'C' end, case when d then 'D' end, case when e then 'E' end) as failed from m),
+g as (select part, filter_order, step, mine, n, good, toxic, failed, contains(failed, mine) as fails, len(list_intersect(string_split(failed, ''), before)) > 0 as gone from y, s),
+r as (select part, filter_order, step, mine, sum(case when not fails and not gone then n else 0 end) as kept, sum(case when fails and not gone then n else 0 end) as removed, sum(case when fails and gone then n else 0 end) as redundant,
+sum(case when fails and length(failed) = 1 then n else 0 end) as unique_fails, sum(case when fails and not gone then good else 0 end) as good_lost, sum(case when fails and not gone then toxic else 0 end) as toxic_lost from g group by part, filter_order, step, mine)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, mine) as bigint) as shapley from r
+"""
+
 BENCHMARK_DECONTAMINATION = f"""
 with d as (select doc_id, regexp_extract_all({_LOW}, {_LETTER_WORDS}) as ws from documents),
 b as (select item_id, regexp_extract_all({_LOW}, {_LETTER_WORDS}) as ws from benchmark),
@@ -50,4 +65,4 @@ t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join n using (doc_id) left join t using (doc_id)
 """
 
-SQL = {"op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_benchmark_decontamination": BENCHMARK_DECONTAMINATION, "op13_bottomk_dedup": BOTTOMK_DEDUP}
+SQL = {"op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_benchmark_decontamination": BENCHMARK_DECONTAMINATION, "op12_filter_audit": FILTER_AUDIT, "op13_bottomk_dedup": BOTTOMK_DEDUP}
