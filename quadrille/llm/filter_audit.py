@@ -111,10 +111,10 @@ def borders(docs: DataFrame, ranges: int) -> list[bytes]:
     while True:
         start = F.substring("text", 1, depth)
         distinct = rows.select(start.alias("start"), F.xxhash64("text").alias("whole")).distinct()
-        parts = distinct.repartitionByRange(ranges, "start").groupBy(F.spark_partition_id().alias("p")).agg(F.min("start").alias("low"), F.max("start").alias("high"), F.count("*").alias("n")).collect()
-        found.update(r["low"].encode() for r in parts)
-        share = share or max(FEWEST, 2 * sum(r["n"] for r in parts) // ranges)
-        heavy = [r["low"] for r in parts if r["low"] == r["high"] and r["n"] > share]
+        lows = distinct.repartitionByRange(ranges, "start").groupBy(F.spark_partition_id().alias("p")).agg(F.min("start").alias("low"), F.count("*").alias("n")).collect()
+        found.update(r["low"].encode() for r in lows)
+        share = share or max(FEWEST, 2 * sum(r["n"] for r in lows) // ranges)
+        heavy = [r["start"] for r in distinct.groupBy("start").count().where(F.col("count") > share).collect()]  # fewer than ranges
         if not heavy:
             return sorted(found)
         rows, depth = rows.where(start.isin(heavy)), depth * DEEPER
