@@ -39,6 +39,22 @@ r as (select x as doc_id, least(x, y) as o from l union select r.doc_id, l.y fro
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.o), d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(min(r.o), d.doc_id)) as kept from d left join n using (doc_id) left join r using (doc_id) group by d.doc_id, n.n
 """
 
+LEXICAL_SEARCH = rf"""
+with d as (select doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+i as (select item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from benchmark),
+iw as (select item_id, unnest(ws) as term from i),
+q as (select item_id, term, count(*) as qn from iw group by all),
+g as (select count(*) as n_docs, sum(len(ws)) as l from d where len(ws) > 0),
+w as (select doc_id, len(ws) as n, unnest(ws) as term from d),
+tf as (select doc_id, n, term, count(*) as tf from w where term in (select term from q) group by all),
+df as (select term, count(*) as df from tf group by term),
+t as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as weight from df, g),
+x as (select doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * cast(75 + (25 * n * n_docs) // l as bigint)) as x from tf, g),
+s as (select item_id, doc_id, cast(sum(qn * weight * x) as bigint) as score from q join t using (term) join x using (term) group by all),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 20
+"""
+
 FILTER_AUDIT = r"""
 with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
@@ -65,4 +81,4 @@ t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join n using (doc_id) left join t using (doc_id)
 """
 
-SQL = {"op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_benchmark_decontamination": BENCHMARK_DECONTAMINATION, "op12_filter_audit": FILTER_AUDIT, "op13_bottomk_dedup": BOTTOMK_DEDUP}
+SQL = {"op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_benchmark_decontamination": BENCHMARK_DECONTAMINATION, "op11_lexical_search": LEXICAL_SEARCH, "op12_filter_audit": FILTER_AUDIT, "op13_bottomk_dedup": BOTTOMK_DEDUP}

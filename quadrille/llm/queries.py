@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import bottomk, decontamination, filter_audit, language, media, oracle, packing, pii, secret_scan, similarity, substrings, token_counts, token_files
+from quadrille.llm import balltree, bottomk, decontamination, filter_audit, language, media, oracle, packing, pii, secret_scan, similarity, substrings, token_counts, token_files
 from quadrille.llm.spans import digests
 from quadrille.llm.storage import materialize, read_table
 
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(read_table(spark, sf_dir, "documents")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -64,7 +68,7 @@ def op13_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op8_pii, op9_secret_scans, op10_token_counts, op12_filter_audit, op13_bottomk_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_best_fit_packing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_id_files, op7_benchmark_decontamination, op8_pii, op9_secret_scans, op10_token_counts, op11_lexical_search, op12_filter_audit, op13_bottomk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
