@@ -303,7 +303,7 @@ def _search_block(docs: DataFrame, rows: list, best: int, tree: int) -> DataFram
     places = [np.searchsorted(vocabulary, np.array(r["terms"], np.int64).view(np.uint64)) for r in rows]
     block = Items([r["ik"] for r in rows], places, [np.array(r["n"], np.int64) for r in rows], term_weight(n_docs, df))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // (4 * tree))
-    dealt = found.where("lead >= 0").repartitionByRange(tasks, "lead", "n").sortWithinPartitions("lead", "n")
+    dealt = found.where("lead >= 0").repartitionByRange(tasks, "lead", "n", "doc_id").sortWithinPartitions("lead", "n")
     trees = materialize(grow(dealt, block, n_docs, total, tree), "balltree-trees")
     remove(spark, vectors_path)
     by_score = Window.partitionBy("ik").orderBy(F.desc("score"))
