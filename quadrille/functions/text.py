@@ -102,6 +102,11 @@ def _marker(kind: Column, line: Column, group: int) -> Column:
     return found
 
 
+def heading_marker(kind: Column, line: Column) -> Column:
+    """What numbers or marks a heading of this form."""
+    return _marker(kind, line, 1)
+
+
 def heading_level(kind: Column, line: Column, following: Column) -> Column:
     marker = _marker(kind, line, 1)
     of_chapter = F.element_at(F.create_map(*(F.lit(x) for pair in (("章", 1), ("節", 2), ("條", 3), ("款", 4), ("項", 5)) for x in pair)), marker.substr(F.length(marker), F.lit(1)))

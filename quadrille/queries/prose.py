@@ -100,18 +100,20 @@ _HEADING_SQL = """x as (select doc_id, unnest(string_split(text, chr(10))) as ra
   m as (select *, ['# ', '## ', '2.1 ', '一、', '3) ', '[4] ', '1-2 ', 'iv. ', 'b) ', '第二節 ', '【5】', '===', '12 '][(line_no // 4) % 13 + 1] as mark from x),
   y as (select doc_id, line_no, case when line_no % 4 = 0 then case when mark = '===' then mark else mark || substring(raw, 1, 30) end else raw end as line from m)"""
 
-_HEADINGS_SQL = rf"""{_HEADING_SQL}, s as (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as t, lead(regexp_replace(line, '^\s+|\s+$', '', 'g')) over (partition by doc_id order by line_no) as nxt,
+#: What follows lines y (doc_id, line_no, line).
+HEADINGS_OF_LINES_SQL = r"""s as (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as t, lead(regexp_replace(line, '^\s+|\s+$', '', 'g')) over (partition by doc_id order by line_no) as nxt,
     sum(regexp_matches(line, '^\s*(```|~~~)')::int) over (partition by doc_id order by line_no) % 2 = 1 or regexp_matches(line, '^\s*(```|~~~)') as fenced from y),
-  f as (select *, case when regexp_matches(t, '^(={{3,}}|-{{3,}})$') then null when regexp_matches(t, '^#{{1,6}}\s+.+$') then 'markdown' when regexp_matches(t, '^第[一二三四五六七八九十百千0-9]+[章節條款項]') then 'cn_chapter' when regexp_matches(t, '^[一二三四五六七八九十百千]+[、．.)]') then 'cn_numeral'
+  f as (select *, case when regexp_matches(t, '^(={3,}|-{3,})$') then null when regexp_matches(t, '^#{1,6}\s+.+$') then 'markdown' when regexp_matches(t, '^第[一二三四五六七八九十百千0-9]+[章節條款項]') then 'cn_chapter' when regexp_matches(t, '^[一二三四五六七八九十百千]+[、．.)]') then 'cn_numeral'
     when regexp_matches(t, '^\d+(\.\d+)+') then 'decimal' when regexp_matches(t, '^\d+[、.)．]') then 'decimal_simple' when regexp_matches(line, '^\[\d+([.-]\d+)*\]') then 'bracket_num' when regexp_matches(line, '^【\d+([.-]\d+)*】') then 'bracket_num_fw'
-    when regexp_matches(t, '^\d+(-\d+)+') then 'hyphen' when regexp_matches(t, '^(?i:[IVXLCDM]+)[.)]') then 'roman' when regexp_matches(t, '^[A-Za-z][.)]') then 'alpha' when t <> '' and regexp_matches(nxt, '^(={{3,}}|-{{3,}})$') then 'setext' end as kind from s),
+    when regexp_matches(t, '^\d+(-\d+)+') then 'hyphen' when regexp_matches(t, '^(?i:[IVXLCDM]+)[.)]') then 'roman' when regexp_matches(t, '^[A-Za-z][.)]') then 'alpha' when t <> '' and regexp_matches(nxt, '^(={3,}|-{3,})$') then 'setext' end as kind from s),
   g as (select * from f where kind is not null and not fenced
-    and not (regexp_matches(t, '^\|?[\s:]*-{{3,}}[\s:|-]*\|[\s:|-]*$') or (length(t) - length(replace(t, '|', '')) >= 2 and len(list_filter(string_split(t, '|'), lambda x: trim(x) <> '')) >= 2))
-    and not (kind in ('cn_chapter', 'bracket_num', 'bracket_num_fw', 'setext') and regexp_matches(t, '^(```|~~~)|^(//|/\*|\*|#[^\s])|^#$|\b(def|class|return|import|from|const|let|var|public|private|if|for|while|switch|case)\b|[{{}};]|->|=>'))),
+    and not (regexp_matches(t, '^\|?[\s:]*-{3,}[\s:|-]*\|[\s:|-]*$') or (length(t) - length(replace(t, '|', '')) >= 2 and len(list_filter(string_split(t, '|'), lambda x: trim(x) <> '')) >= 2))
+    and not (kind in ('cn_chapter', 'bracket_num', 'bracket_num_fw', 'setext') and regexp_matches(t, '^(```|~~~)|^(//|/\*|\*|#[^\s])|^#$|\b(def|class|return|import|from|const|let|var|public|private|if|for|while|switch|case)\b|[{};]|->|=>'))),
   hd as (select doc_id, line_no, kind, case kind when 'markdown' then length(regexp_extract(t, '^(#+)', 1)) when 'cn_chapter' then position(regexp_extract(t, '^第[一二三四五六七八九十百千0-9]+([章節條款項])', 1) in '章節條款項') when 'decimal' then len(regexp_extract_all(regexp_extract(t, '^\d+(\.\d+)+'), '\.')) + 1
       when 'hyphen' then len(regexp_extract_all(regexp_extract(t, '^\d+(-\d+)+'), '-')) + 1 when 'setext' then case when nxt like '=%' then 1 else 2 end else 1 end as level,
     regexp_replace(case kind when 'setext' then t when 'markdown' then regexp_replace(t, '^#+\s+', '') when 'cn_chapter' then regexp_replace(t, '^第[一二三四五六七八九十百千0-9]+[章節條款項]', '') when 'cn_numeral' then regexp_replace(t, '^[一二三四五六七八九十百千]+[、．.)]', '') when 'decimal' then regexp_replace(t, '^\d+(\.\d+)+', '')
       when 'decimal_simple' then regexp_replace(t, '^\d+[、.)．]', '') when 'bracket_num' then regexp_replace(t, '^\[[^\]]*\]', '') when 'bracket_num_fw' then regexp_replace(t, '^【[^】]*】', '') when 'hyphen' then regexp_replace(t, '^\d+(-\d+)+', '') else regexp_replace(t, '^[A-Za-z]+[.)]', '') end, '^\s+|\s+$', '', 'g') as heading from g)"""
+_HEADINGS_SQL = f"{_HEADING_SQL}, {HEADINGS_OF_LINES_SQL}"
 
 
 @BOOK.add(f"with {_HEADINGS_SQL} select doc_id, line_no, kind, cast(level as int) as level, heading from hd")
