@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quadrille.queries import layouts, outlines, prose, ruletables, rulework, sheets, verdicts
+from quadrille.queries import choices, layouts, outlines, prose, ruletables, rulework, sheets, verdicts
 from quadrille.queries.base import Query
 
-BOOKS = (sheets.BOOK, layouts.BOOK, rulework.BOOK, verdicts.BOOK, ruletables.BOOK, prose.BOOK, outlines.BOOK)
+BOOKS = (sheets.BOOK, layouts.BOOK, rulework.BOOK, verdicts.BOOK, ruletables.BOOK, prose.BOOK, outlines.BOOK, choices.BOOK)
 
 
 def queries() -> dict[str, Query]:
