@@ -6,9 +6,10 @@ by a join, and no Python runs on rows.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import a1
@@ -25,8 +26,14 @@ class Rule:
         return E.normalize(self.equation)
 
 
-def checks(windows: DataFrame, rules: list[Rule], height: int, width: int, tolerance: float = E.TOLERANCE, strict: bool = False, only_row: str | None = None) -> DataFrame:
-    """A row for each window and rule that concerns it: left and right sides, difference, ok.
+def _operands(equation: str) -> Column:
+    """All cells of a known equation, repeats kept, as a literal."""
+    found = re.findall(r"\$\((-?[0-9]+),(-?[0-9]+)\)", E.normalize(equation))
+    return F.array(*(F.struct(F.lit(int(r)).alias("r"), F.lit(int(c)).alias("c")) for r, c in found)).cast("array<struct<r:int,c:int>>").alias("cells")
+
+
+def checks(windows: DataFrame, rules: list[Rule], height: int, width: int, tolerance: float = E.TOLERANCE, strict: bool = False, only_row: str | None = None, named: bool = False) -> DataFrame:
+    """A row for each window and rule that concerns it: left and right sides, difference, ok; if ``named`` also the cells that it names.
 
     Rules without a row name concern all windows.  A window that no rule names is checked by
     all of them, unless ``strict``.  ``only_row`` takes that row's windows and all rules.
@@ -34,17 +41,17 @@ def checks(windows: DataFrame, rules: list[Rule], height: int, width: int, toler
     if only_row is not None:
         windows = windows.where(F.col("row_name").eqNullSafe(F.lit(only_row)))
     cell = E.in_window(F.col("values"), height, width)
-    named = sorted({r.row_name for r in rules if r.row_name})
+    names = sorted({r.row_name for r in rules if r.row_name})
     everywhere = any(not r.row_name for r in rules)
-    orphan = F.lit(False) if strict or everywhere else ~F.coalesce(F.col("row_name").isin(named), F.lit(False)) if named else F.lit(True)
+    orphan = F.lit(False) if strict or everywhere else ~F.coalesce(F.col("row_name").isin(names), F.lit(False)) if names else F.lit(True)
     made = []
     for i, r in enumerate(rules):
         both = E.sides(r.equation)
         c = E.compile_sides(*both, cell, tolerance) if both else E.compile_sides("", "", cell)
         wanted = F.lit(True) if only_row is not None or not r.row_name else (F.coalesce(F.col("row_name") == r.row_name, F.lit(False)) | orphan)
-        made.append(F.when(wanted, F.struct(F.lit(i).alias("rule_id"), F.lit(r.key).alias("equation"), c.left.alias("lhs"), c.right.alias("rhs"), c.difference.alias("difference"), c.ok.alias("ok"))))
+        made.append(F.when(wanted, F.struct(F.lit(i).alias("rule_id"), F.lit(r.key).alias("equation"), c.left.alias("lhs"), c.right.alias("rhs"), c.difference.alias("difference"), c.ok.alias("ok"), *([_operands(r.equation)] if named else []))))
     if not made:
-        return windows.select("start_row", "start_col", "row_name", F.explode(F.array().cast("array<struct<rule_id:int,equation:string,lhs:double,rhs:double,difference:double,ok:boolean>>")).alias("x")).select("start_row", "start_col", "row_name", "x.*")
+        return windows.select("start_row", "start_col", "row_name", F.explode(F.array().cast("array<struct<rule_id:int,equation:string,lhs:double,rhs:double,difference:double,ok:boolean" + (",cells:array<struct<r:int,c:int>>" if named else "") + ">>")).alias("x")).select("start_row", "start_col", "row_name", "x.*")
     each = windows.select("start_row", "start_col", "row_name", F.explode(F.array_compact(F.array(*made))).alias("x"))
     return each.select("start_row", "start_col", "row_name", "x.*")
 
@@ -74,7 +81,8 @@ def suspect_cells(checked: DataFrame, top: int = 1, left: int = 1, top_k: int =
     ``top`` and ``left`` place the sheet's first value; with ``width`` cells outside a window are left out; ``top_k``
     of 0 or less returns all.
     """
-    failed = checked.where("not ok").withColumn("cell", F.explode(E.operands(F.col("equation"))))
+    cells = F.col("cells") if "cells" in checked.columns else E.operands(F.col("equation"))
+    failed = checked.where("not ok").withColumn("cell", F.explode(cells))
     if width is not None:
         failed = failed.where(F.col("cell.c") < width)
     placed = failed.select((F.col("start_row") + F.col("cell.r") + top).alias("row"), (F.col("start_col") + F.col("cell.c") + left).cast("long").alias("col"), "start_row", "start_col", "equation")

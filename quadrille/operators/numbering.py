@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCHES = 64
+from quadrille.session import cut
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row", first: int = 1, stretches: int = STRETCHES) -> DataFrame:
-    """Add consecutive numbers in the order of ``order``, whose first column must be numeric, a date or a time.
+def number_rows(df: DataFrame, order: list[str], name: str = "row", first: int = 1, stretches: int | None = None) -> DataFrame:
+    """Add consecutive numbers in the order of ``order``; null comes first, equal rows stand in any order.
 
-    The first column is cut at approximate quantiles; stretches are numbered apart and shifted by the counts before
-    them, so only ``stretches`` counts are ordered in one task.  Null comes first.
+    Rows are dealt by ranges of all these columns, as many as Spark shuffles or ``stretches``, sorted there and written once;
+    each is numbered by its place in its range and shifted by what stands before, so only counts of ranges are ordered in one task.
     """
-    lead = F.col(order[0])
-    kind = dict(df.dtypes)[order[0]]
-    key = lead.cast("timestamp").cast("double") if kind in ("date", "timestamp") else lead.cast("double")
-    cuts = df.agg(F.percentile_approx(key, F.array(*(F.lit(i / stretches) for i in range(1, stretches))), 1000)).first()[0] or []
-    stretch = F.lit(0)
-    for c in sorted(set(cuts)):
-        stretch = stretch + F.coalesce((key > F.lit(c)).cast("int"), F.lit(0))
-    cut = df.withColumn("_stretch", stretch)
-    sizes = cut.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    columns = [F.col(c) for c in order]
+    dealt = df.repartitionByRange(stretches, *columns) if stretches else df.repartitionByRange(*columns)
+    placed = cut(dealt.sortWithinPartitions(*columns)).withColumn("_id", F.monotonically_increasing_id())
+    at = placed.withColumn("_stretch", F.shiftright("_id", 33).cast("int")).withColumn("_within", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = at.groupBy("_stretch").agg(F.count("*").alias("_n"))
     before = sizes.select("_stretch", F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_stretch").orderBy(*order))
-    return cut.withColumn("_within", within).join(F.broadcast(before), "_stretch").withColumn(name, (F.col("_before") + F.col("_within") + (first - 1)).cast("long")).drop("_stretch", "_within", "_before")
+    return at.join(F.broadcast(before), "_stretch").withColumn(name, (F.col("_before") + F.col("_within") + first).cast("long")).drop("_id", "_stretch", "_within", "_before")

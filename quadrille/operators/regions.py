@@ -1,8 +1,7 @@
 """Table regions: connected groups of filled cells.
 
-Labels start as places and shrink along runs: each pass takes the least label of a row's run and then
-of a column's run, so a label crosses a run in one step.  Passes are joins and windows on
-(sheet, row) or (sheet, col), and end when nothing changes.  A sheet is never held in one task.
+Cells are gathered in runs by window functions on (sheet, row) and (sheet, col), and runs that share a cell are linked; components
+of those links are found by stars, in few rounds however a region winds.  A sheet is never held in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.coerce import is_blank
+from quadrille.operators.components import connected
+from quadrille.session import cut
 
 
 def filled_mask(cells: DataFrame) -> DataFrame:
@@ -27,28 +28,28 @@ def bridge_gaps(mask: DataFrame, gap: int = 1) -> DataFrame:
     return mask.unionByName(along("col", "row")).unionByName(along("row", "col")).distinct()
 
 
-def _runs(labels: DataFrame, axis: str, other: str) -> DataFrame:
-    """Give each cell the least label of its unbroken run along an axis."""
-    w = Window.partitionBy("sheet", other).orderBy(axis)
-    keyed = labels.withColumn("run", F.col(axis) - F.row_number().over(w))
-    return keyed.withColumn("label", F.min("label").over(Window.partitionBy("sheet", other, "run"))).drop("run")
-
-
-def components(mask: DataFrame, diagonal: bool = False, passes: int = 60) -> DataFrame:
-    """(sheet, row, col, label): the label is the least place, in reading order, of the component."""
-    now = mask.withColumn("label", F.struct("row", "col")).checkpoint() if mask.sparkSession.sparkContext.getCheckpointDir() else mask.withColumn("label", F.struct("row", "col")).persist()
-    for _ in range(passes):
-        new = _runs(_runs(now, "col", "row"), "row", "col")
-        if diagonal:
-            steps = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
-            spread = new.select("sheet", "label", "row", "col", steps.alias("s")).select("sheet", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "label")
-            new = spread.groupBy("sheet", "row", "col").agg(F.min("label").alias("label")).join(mask, ["sheet", "row", "col"], "left_semi")
-        new = new.checkpoint() if mask.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        changed = new.join(now.withColumnRenamed("label", "old"), ["sheet", "row", "col"]).where("label != old").limit(1).count()
-        now = new
-        if not changed:
-            return now
-    raise RuntimeError(f"labels still change after {passes} passes")
+def _first_of_run(mask: DataFrame, axis: str, other: str, name: str) -> DataFrame:
+    """Give each cell the place where its unbroken run along an axis begins."""
+    keyed = mask.withColumn("_run", F.col(axis) - F.row_number().over(Window.partitionBy("sheet", other).orderBy(axis)))
+    start = F.min(axis).over(Window.partitionBy("sheet", other, "_run"))
+    place = {axis: start, other: F.col(other)}
+    return keyed.withColumn(name, F.struct("sheet", place["row"].alias("row"), place["col"].alias("col"))).drop("_run")
+
+
+def components(mask: DataFrame, diagonal: bool = False) -> DataFrame:
+    """(sheet, row, col, label): the label is the least place, in reading order, of the component.
+
+    Runs of rows are linked with the runs of columns that cross them, and with runs of rows at a corner where corners touch.  A run
+    goes by its first cell, which all runs that begin there share and belong to.
+    """
+    runs = cut(_first_of_run(_first_of_run(mask, "col", "row", "across"), "row", "col", "down"))
+    links = runs.select(F.col("across").alias("a"), F.col("down").alias("b")).distinct()
+    if diagonal:
+        steps = F.explode(F.array(F.lit(-1), F.lit(1))).alias("s")
+        corner = runs.select("sheet", F.col("across").alias("a"), "row", "col", steps).select("sheet", "a", (F.col("row") + 1).alias("row"), (F.col("col") + F.col("s")).alias("col"))
+        links = links.unionByName(corner.join(runs.select("sheet", "row", "col", F.col("across").alias("b")), ["sheet", "row", "col"]).select("a", "b").distinct())
+    found = connected(links).select(F.col("id").alias("across"), F.struct("component.row", "component.col").alias("label"))
+    return runs.join(found, "across").select("sheet", "row", "col", "label")
 
 
 def tables(cells: DataFrame, gap: int = 1, least: int = 4, density: float = 0.12, diagonal: bool = False) -> DataFrame:

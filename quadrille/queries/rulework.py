@@ -33,9 +33,9 @@ def _checks_sql() -> str:
     return f"{LINES_SQL}, w as (select row - 1 as r, l_returnflag as name, l_quantity as a, l_discount as b, l_tax as c, lead(l_quantity) over (order by row) as d, lead(l_discount) over (order by row) as e, lead(l_tax) over (order by row) as f, lead(row) over (order by row) as last from li), k as ({' union all '.join(parts)})"
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _checked(spark: SparkSession, sf_dir: str, named: bool = False) -> DataFrame:
     found = windows.valid(windows.scan(line_sheet(spark, sf_dir), COLUMNS, 2, 3, name="l_returnflag"), 2, 3)
-    return audit.checks(found, RULES, 2, 3)
+    return audit.checks(found, RULES, 2, 3, named=named)
 
 
 @BOOK.add(f"with {_checks_sql()} select start_row, start_col, row_name, rule_id, equation, round(lhs, 6) as lhs, round(rhs, 6) as rhs, ok from k")
@@ -73,12 +73,12 @@ def _suspects_sql(top_k: int) -> str:
 
 @BOOK.add(_suspects_sql(0))
 def suspect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.suspect_cells(_checked(spark, sf_dir))
+    return audit.suspect_cells(_checked(spark, sf_dir, named=True))
 
 
 @BOOK.add(_suspects_sql(25))
 def suspect_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.suspect_cells(_checked(spark, sf_dir), top_k=25)
+    return audit.suspect_cells(_checked(spark, sf_dir, named=True), top_k=25)
 
 
 STRICT = [Rule("$(0,0) = $(1,0)", "R"), Rule("$(0,1) = $(1,1)", "A")]

@@ -214,9 +214,10 @@ def bbox_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRICED_SQL = "q as (select *, l_quantity as qty, l_extendedprice / l_quantity as price, l_extendedprice as amount, l_extendedprice * l_discount as cut, l_extendedprice - l_extendedprice * l_discount as net from li)"
 
 
-def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _priced(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     q, p, d = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
-    return line_sheet(spark, sf_dir).select("row", q.alias("qty"), (p / q).alias("price"), p.alias("amount"), (p * d).alias("cut"), (p - p * d).alias("net"), d.alias("rate"))
+    lines = line_sheet(spark, sf_dir) if numbered else table(spark, sf_dir, "lineitem")
+    return lines.select(*(["row"] if numbered else []), q.alias("qty"), (p / q).alias("price"), p.alias("amount"), (p * d).alias("cut"), (p - p * d).alias("net"), d.alias("rate"))
 
 
 def _relations_sql(columns: list[str], lag: int | None = None) -> str:
@@ -230,12 +231,12 @@ def _relations_sql(columns: list[str], lag: int | None = None) -> str:
 
 @BOOK.add(_relations_sql(["qty", "price", "amount", "cut", "net"]))
 def relations_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.detect(_priced(spark, sf_dir), ["qty", "price", "amount", "cut", "net"], top=None).drop("sign")
+    return relations.detect(_priced(spark, sf_dir, numbered=False), ["qty", "price", "amount", "cut", "net"], top=None).drop("sign")
 
 
 @BOOK.add(_relations_sql(["qty", "price", "amount", "cut", "net"], 1))
 def relation_lag_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.detect(_priced(spark, sf_dir), ["qty", "price", "amount", "cut", "net"], lag=1, top=None).drop("sign")
+    return relations.detect(_priced(spark, sf_dir, numbered=False), ["qty", "price", "amount", "cut", "net"], lag=1, top=None).drop("sign")
 
 
 @BOOK.add(f"with {LINES_SQL}, {_PRICED_SQL} select row, round(qty * rate, 6) as expected, round(cut, 6) as actual, round(cut - qty * rate, 6) as difference from (select *, l_discount as rate from q) where abs(cut - qty * rate) > greatest(1e-6, abs(qty * rate) * 1e-4)")

@@ -1,8 +1,10 @@
-"""Sessions for tests and scripts; a cluster brings its own."""
+"""Sessions for tests and scripts (a cluster brings its own), and where plans are cut in two."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "4g", **more: str) -> SparkSession:
@@ -11,3 +13,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         "spark.sql.session.timeZone": "UTC", "spark.driver.memory": memory,
     } | more
     return SparkSession.builder.master(f"local[{cores}]").appName("quadrille").config(map=conf).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions from files that all executors share, so that lost ones cost nothing and reruns agree.
+
+    They lie in ``spark.checkpoint.dir``; a temporary folder is set in local mode alone, where none is.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quadrille-"))
+    return df.checkpoint()
