@@ -15,13 +15,14 @@ learned from); a column named like the output is replaced, whatever its case.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadrille.llm.spans import LeastByHash, Span, apart, least_by_hash, ordered, with_spans
+from quadrille.llm.spans import LeastByHash, Span, least_by_hash, ordered, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16  # tokens in a span
@@ -29,6 +30,8 @@ AROUND = 6  # tokens of a stretch before and after what makes it one
 SAMPLE = 240  # stretches that the field learns from
 LEARNED_LENGTH = 600  # characters of a stretch that is learned from, at most
 EPOCHS = 10
+FRAME = 4096  # tokens whose candidates are held at once
+KIND = np.arange(len(KINDS))
 
 #: The base patterns.  An address is looked for from its @, numbers from the start of a run of digits.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -81,11 +84,12 @@ def base_spans(text: str) -> list[Span]:
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.DOTALL)
 TRIGGER = re.compile(r"[0-9]+|@")
+TRIGGERS = frozenset("0123456789@")
 SCOPE = 160  # characters beside a trigger that tokens are taken from
 
 
-def stretches(text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(place in the text, tokens as places within) of each part around digits and @."""
+def stretches(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in the text, tokens as rows of start and end) of each part around digits and @."""
     parts: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - SCOPE), min(len(text), m.end() + SCOPE)
@@ -94,10 +98,10 @@ def stretches(text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         else:
             parts.append([a, b])
     for a, b in parts:
-        tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
-        hot = [i for i, (x, _) in enumerate(tokens) if TRIGGER.match(text, x)]
-        if hot:
-            low, high = max(0, hot[0] - AROUND), min(len(tokens), hot[-1] + AROUND + 1)
+        tokens = np.fromiter((x for m in TOKEN.finditer(text, a, b) for x in m.span()), np.int64).reshape(-1, 2)
+        hot = np.flatnonzero([text[x] in TRIGGERS for x in tokens[:, 0].tolist()])
+        if len(hot):
+            low, high = max(0, int(hot[0]) - AROUND), min(len(tokens), int(hot[-1]) + AROUND + 1)
             yield a, tokens[low:high]
 
 
@@ -108,38 +112,87 @@ FEATURES = (
 )
 
 
-def features(text: str, start: int, end: int) -> np.ndarray:
-    """What a whole span looks like."""
-    s, d = text[start:end], digits_of(text[start:end])
-    n, dots, groups = len(d), s.count("."), len(re.findall("[0-9]+", s))
-    before, after = text[start - 1 : start], text[end : end + 1]
-    letters = any(c.isalpha() for c in s)
-    quads = s.split(".")
-    told = (
-        True, s.count("@") == 1 and s[0] != "@" and s[-1] != "@", dots == 1, dots == 2, dots == 3, dots > 3, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n > 19,
-        groups == 1, groups == 2, groups == 3, groups == 4, groups > 4, s[0] == "+", s[0] == "(", s[0].isdigit(), s[0].isalpha(), s[-1].isdigit(), s[-1].isalpha(),
-        " " in s, "-" in s, letters, 14 <= n <= 19 and not letters and luhn(d), len(quads) == 4 and all(x.isdigit() and len(x) < 4 and int(x) < 256 for x in quads), before.isalnum() or before in ("@", ".", "+"), after.isalnum() or after == "@", any(c in "\n\t,;:!?\"'/" for c in s), len(s) > 8, bool(re.search(r"@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+\Z", s)), "_" in s,
-    )
-    return np.array(told, np.float64)
+DOMAIN_AT_END = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+\Z")
+
+
+def _doubled(d: np.ndarray) -> np.ndarray:
+    return np.where(d < 5, 2 * d, 2 * d - 9)
 
 
 class Lattice:
-    """The candidate spans of a stretch and their features."""
-
-    def __init__(self, text: str, tokens: list[tuple[int, int]]) -> None:
-        self.n = len(tokens)
-        self.tokens = tokens
-        spaces = [text[a] in " \t\r\n" for a, _ in tokens]
-        hot = np.append(0, np.cumsum([TRIGGER.match(text, a) is not None for a, _ in tokens]))
-        line = np.append(0, np.cumsum([text[a] == "\n" for a, _ in tokens]))
-        edge = [sp or text[a] in ",;:!?\"'" for sp, (a, _) in zip(spaces, tokens, strict=True)]
-        self.spans = [(i, j) for j in range(1, self.n + 1) for i in range(max(0, j - LONGEST), j) if not edge[i] and not edge[j - 1] and hot[j] > hot[i] and line[j] == line[i]]
-        self.x = np.stack([features(text, tokens[i][0], tokens[j - 1][1]) for i, j in self.spans]) if self.spans else np.zeros((0, len(FEATURES)))
-        start = np.array([i for i, _ in self.spans], np.int64)
-        end = np.array([j for _, j in self.spans], np.int64)
-        self.ending = [np.flatnonzero(end == j) for j in range(self.n + 1)]
-        self.starting = [np.flatnonzero(start == i) for i in range(self.n + 1)]
-        self.start, self.end = start, end
+    """The candidate spans of a stretch that end behind token ``low``, by where they end, and their features.
+
+    Features are differences of running sums over tokens, so that a span costs the same however long it is.
+    """
+
+    def __init__(self, text: str, tokens: np.ndarray, low: int = 0) -> None:
+        self.text, self.n, self.tokens = text, len(tokens), np.asarray(tokens, np.int64).reshape(-1, 2)
+        tokens = self.tokens
+        start, end = tokens[:, 0], tokens[:, 1]
+        words = [text[a:b] for a, b in tokens.tolist()]
+        lead, last = [w[0] for w in words], [w[-1] for w in words]
+
+        def marks(of, some: list[str] = lead) -> np.ndarray:
+            return np.fromiter((of(x) for x in some), bool, self.n)
+
+        def summed(marks: np.ndarray) -> np.ndarray:
+            return np.append(0, np.cumsum(marks, dtype=np.int64))
+
+        digit = marks(lambda c: "0" <= c <= "9")
+        newline = summed(marks("\n".__eq__))
+        edge = marks(frozenset(" \t\r\n,;:!?\"'").__contains__)
+        hot = summed(digit | marks("@".__eq__))
+        j = np.repeat(np.arange(low + 1, self.n + 1), LONGEST)
+        i = j - np.tile(np.arange(LONGEST, 0, -1), self.n - low)
+        ok = i >= 0
+        i, j = i[ok], j[ok]
+        ok = ~edge[i] & ~edge[j - 1] & (hot[j] > hot[i]) & (newline[j] == newline[i])
+        i, j = i[ok], j[ok]
+        self.start, self.end = i, j
+        self.at = np.searchsorted(j, np.arange(self.n + 2))
+        by_start = np.argsort(i, kind="stable")
+        first = np.searchsorted(i[by_start], np.arange(self.n + 1))
+        self._starting = by_start, first
+
+        count = lambda sums: sums[j] - sums[i]
+        signs = {c: summed(marks(c.__eq__)) for c in "@. -_"}
+        size = end - start
+        digits = np.append(0, np.cumsum(np.where(digit, size, 0)))
+        n, dots, groups, at_signs = count(digits), count(signs["."]), count(summed(digit)), count(signs["@"])
+        letters = count(summed(marks(lambda w: any(c.isalpha() for c in w), words))) > 0
+        each = np.frombuffer("".join(w for w, d in zip(words, digit.tolist(), strict=True) if d).encode(), np.uint8).astype(np.int64) - 48
+        turn = np.arange(len(each)) & 1
+        sums = [np.append(0, np.cumsum(np.where(turn == k, each, _doubled(each)))) for k in (0, 1)]
+        p, q = digits[i], digits[j]
+        odd = (q - 1) & 1
+        luhn_ok = np.where(odd == 1, sums[1][q] - sums[1][p], sums[0][q] - sums[0][p]) % 10 == 0
+        small = digit & (size < 4) & np.fromiter((len(w) < 4 and d and int(w) < 256 for w, d in zip(words, digit.tolist(), strict=True)), bool, self.n)
+        bytes_ = (j - i == 7) & (dots == 3) & (groups == 4) & digit[i] & (count(summed(small)) == 4)
+        before = np.fromiter((a > 0 and (text[a - 1].isalnum() or text[a - 1] in "@.+") for a in start.tolist()), bool, self.n)
+        after = np.fromiter((b < len(text) and (text[b].isalnum() or text[b] == "@") for b in end.tolist()), bool, self.n)
+        other = count(summed(marks(frozenset("\n\t,;:!?\"'/").__contains__))) > 0
+        domain = np.zeros(len(i), bool)
+        for k in np.flatnonzero((at_signs > 0) & (dots > 0)).tolist():
+            domain[k] = DOMAIN_AT_END.search(text, int(start[i[k]]), int(end[j[k] - 1])) is not None
+        of_lead = lambda of: marks(of)[i]
+        of_last = lambda of: marks(of, last)[j - 1]
+        told = (
+            np.ones(len(i), bool), (at_signs == 1) & ~of_lead("@".__eq__) & ~of_last("@".__eq__), dots == 1, dots == 2, dots == 3, dots > 3, (n >= 1) & (n <= 3), (n >= 4) & (n <= 6), (n >= 7) & (n <= 9), (n >= 10) & (n <= 13), (n >= 14) & (n <= 19), n > 19,
+            groups == 1, groups == 2, groups == 3, groups == 4, groups > 4, of_lead("+".__eq__), of_lead("(".__eq__), of_lead(str.isdigit), of_lead(str.isalpha), of_last(str.isdigit), of_last(str.isalpha),
+            count(signs[" "]) > 0, count(signs["-"]) > 0, letters, (n >= 14) & (n <= 19) & ~letters & luhn_ok, bytes_, before[i], after[j - 1], other, end[j - 1] - start[i] > 8, domain, count(signs["_"]) > 0,
+        )
+        self.x = np.stack(told, 1).astype(np.float64)
+
+    @property
+    def spans(self) -> list[tuple[int, int]]:
+        return list(zip(self.start.tolist(), self.end.tolist(), strict=True))
+
+    def ending(self, j: int) -> np.ndarray:
+        return np.arange(self.at[j], self.at[j + 1])
+
+    def starting(self, i: int) -> np.ndarray:
+        by_start, first = self._starting
+        return by_start[first[i] : first[i + 1] if i < self.n else len(by_start)]
 
 
 def _sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -154,30 +207,26 @@ class Field:
         self.weights = np.zeros((len(FEATURES), len(KINDS)))
         self.follows = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def forward(self, lattice: Lattice, score: np.ndarray, best: bool) -> tuple[np.ndarray, list]:
-        k = len(KINDS) + 1
-        alpha, back = np.full((lattice.n + 1, k), -1e30), [[None] * k for _ in range(lattice.n + 1)]
+    def forward(self, lattice: Lattice, score: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place the sum (or the best) of all ways there by kind, and of those on into each kind."""
+        over = np.max if best else _sum
+        alpha, reach = np.full((lattice.n + 1, len(KINDS) + 1), -1e30), np.zeros((lattice.n + 1, len(KINDS)))
         alpha[0, 0] = 0.0
-        for j in range(1, lattice.n + 1):
-            into = alpha[j - 1] + self.follows[:, 0]
-            alpha[j, 0] = into.max() if best else _sum(into, 0)
-            back[j][0] = (j - 1, int(into.argmax()), -1)
-            at = lattice.ending[j]
-            if len(at):
-                reach = alpha[lattice.start[at]][:, :, None] + self.follows[None, :, 1:]
-                total = (reach.max(1) if best else _sum(reach, 1)) + score[at]
-                alpha[j, 1:] = total.max(0) if best else _sum(total, 0)
-                if best:
-                    for y, which in enumerate(total.argmax(0).tolist()):
-                        back[j][y + 1] = (int(lattice.start[at[which]]), int(reach[which, :, y].argmax()), int(at[which]))
-        return alpha, back
+        for j in range(lattice.n + 1):
+            if j:
+                alpha[j, 0] = over(alpha[j - 1] + self.follows[:, 0], 0)
+                at = lattice.ending(j)
+                if len(at):
+                    alpha[j, 1:] = over(reach[lattice.start[at]] + score[at], 0)
+            reach[j] = over(alpha[j][:, None] + self.follows[:, 1:], 0)
+        return alpha, reach
 
     def backward(self, lattice: Lattice, score: np.ndarray) -> np.ndarray:
         beta = np.full((lattice.n + 1, len(KINDS) + 1), -1e30)
         beta[lattice.n] = 0.0
         for i in range(lattice.n - 1, -1, -1):
             ways = [(self.follows[:, 0] + beta[i + 1, 0])[:, None]]
-            at = lattice.starting[i]
+            at = lattice.starting(i)
             if len(at):
                 inside = _sum(score[at] + beta[lattice.end[at], 1:], 0)
                 ways.append(self.follows[:, 1:] + inside[None, :])
@@ -189,13 +238,12 @@ class Field:
         seen = np.full(self.weights.shape, 1e-6)
         for _ in range(epochs):
             for lattice, right in zip(lattices, gold, strict=True):
-                if not lattice.spans:
+                if not len(lattice.x):
                     continue
                 score = lattice.x @ self.weights
-                alpha, beta = self.forward(lattice, score, False)[0], self.backward(lattice, score)
+                (alpha, reach), beta = self.forward(lattice, score), self.backward(lattice, score)
                 whole = _sum(alpha[lattice.n], 0)
-                reach = _sum(alpha[lattice.start][:, :, None] + self.follows[None, :, 1:], 1)
-                p = np.exp(np.minimum(reach + score + beta[lattice.end, 1:] - whole, 0.0))
+                p = np.exp(np.minimum(reach[lattice.start] + score + beta[lattice.end, 1:] - whole, 0.0))
                 for span, kind in right.items():
                     p[span, kind] -= 1.0
                 slope = -(lattice.x.T @ p) - shrink * self.weights
@@ -203,16 +251,48 @@ class Field:
                 self.weights += rate * slope / np.sqrt(seen)
 
     def decode(self, lattice: Lattice) -> list[tuple[int, int, int]]:
-        """(first token, token after the last, kind) of the best labelling."""
-        if not lattice.spans:
-            return []
-        alpha, back = self.forward(lattice, lattice.x @ self.weights, True)
-        j, y, found = lattice.n, int(alpha[lattice.n].argmax()), []
+        return self.label(lattice.text, lattice.tokens)
+
+    def label(self, text: str, tokens: np.ndarray, frame: int = FRAME) -> list[tuple[int, int, int]]:
+        """(first token, token after the last, kind) of the best labelling.
+
+        Candidates are scored for ``frame`` tokens at a time; what stays of a token is how each kind that ends there came about.
+        """
+        n, k = len(tokens), len(KINDS) + 1
+        alpha = np.full((LONGEST, k), -1e30)  # of the last tokens
+        alpha[-1, 0] = 0.0
+        came = np.zeros((n + 1, k, 2), np.int8)  # tokens of the span, and the kind before
+        for low in range(0, n, frame):
+            begin = max(0, low - LONGEST)
+            lattice = Lattice(text, tokens[begin : low + frame], low - begin)
+            score, first = lattice.x @ self.weights, lattice.start + (LONGEST - (low - begin))
+            size = lattice.n - (low - begin)
+            alpha = np.concatenate([alpha[-LONGEST:], np.full((size, k), -1e30)])  # row r is token low - LONGEST + r
+            ways = alpha[:LONGEST, :, None] + self.follows[None, :, 1:]
+            reach, via = np.concatenate([ways.max(1), np.zeros((size, k - 1))]), np.concatenate([ways.argmax(1), np.zeros((size, k - 1), np.int64)])
+            borders = lattice.at.tolist()
+            for r in range(LONGEST, LONGEST + size):
+                j = r - LONGEST + low - begin + 1  # place behind the token, in the lattice
+                into, here = alpha[r - 1] + self.follows[:, 0], came[low + r - LONGEST + 1]
+                best = int(into.argmax())
+                alpha[r, 0], here[0] = into[best], (1, best)
+                x, y = borders[j], borders[j + 1]
+                if x < y:
+                    at = first[x:y] - 1
+                    total = reach[at] + score[x:y]
+                    which = total.argmax(0)
+                    alpha[r, 1:] = total[which, KIND]
+                    here[1:, 0] = r - at[which]
+                    here[1:, 1] = via[at[which], KIND]
+                ways = alpha[r][:, None] + self.follows[:, 1:]
+                via[r] = ways.argmax(0)
+                reach[r] = ways[via[r], KIND]
+        j, y, found = n, int(alpha[-1].argmax()), []
         while j:
-            i, before, span = back[j][y]
-            if span >= 0:
-                found.append((i, j, y - 1))
-            j, y = i, before
+            size, before = came[j, y].tolist()
+            if y:
+                found.append((j - size, j, y - 1))
+            j, y = j - size, before
         return found[::-1]
 
 
@@ -221,7 +301,7 @@ def labelled(text: str) -> list[tuple[Lattice, dict[int, int]]]:
     base, out = base_spans(text), []
     for _, tokens in stretches(text):
         lattice = Lattice(text, tokens)
-        place = {(tokens[i][0], tokens[j - 1][1]): k for k, (i, j) in enumerate(lattice.spans)}
+        place = {(int(tokens[i, 0]), int(tokens[j - 1, 1])): k for k, (i, j) in enumerate(lattice.spans)}
         right, end = {}, 0
         for kind, a, b, _ in base:
             if (a, b) in place and a >= end:
@@ -239,7 +319,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
             for x in b.column(0).to_pylist():
                 base = base_spans(x)
                 for _, tokens in stretches(x):
-                    a, z = tokens[0][0], tokens[-1][1]
+                    a, z = int(tokens[0, 0]), int(tokens[-1, 1])
                     if z - a <= LEARNED_LENGTH:
                         held["marked" if any(s[1] >= a and s[2] <= z for s in base) else "plain"].offer([x[a:z]])
         rows = [(kind, word) for kind, some in held.items() for word in some.trim()]
@@ -253,6 +333,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     return field
 
 
+def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans, in order of start, cover together."""
+    starts, ends = [], []
+    for _, a, z, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+    return starts, ends
+
+
 def finder(field: Field):
     """All spans of a text: the base ones, and what the field adds."""
 
@@ -261,10 +353,12 @@ def finder(field: Field):
         if not field.weights.any() or not TRIGGER.search(text):
             return base
         added: list[Span] = []
+        starts, ends = merged(base)
         for _, tokens in stretches(text):
-            for i, j, kind in field.decode(Lattice(text, tokens)):
-                a, z = tokens[i][0], tokens[j - 1][1]
-                if apart(a, z, base):
+            for i, j, kind in field.label(text, tokens):
+                a, z = int(tokens[i, 0]), int(tokens[j - 1, 1])
+                k = bisect_right(ends, a)
+                if k == len(starts) or z <= starts[k]:
                     added.append((KINDS[kind], a, z, False))
         return ordered([*base, *added], KINDS)
 

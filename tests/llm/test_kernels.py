@@ -221,3 +221,46 @@ def test_decoding_is_the_best_of_all_labellings():
     assert np.isclose(pii._sum(alpha[lattice.n], 0), total) and np.isclose(beta[0, 0], total)
 
 
+
+
+def test_labelling_does_not_rest_on_frames():
+    rng = random.Random(8)
+    field = pii.Field()
+    rows = np.random.default_rng(1)
+    field.weights, field.follows = rows.normal(size=field.weights.shape), rows.normal(size=field.follows.shape)
+    for _ in range(40):
+        text = "".join(rng.choice(["1", "22", "@", ".", "-", " ", "a", "é", "\n", ",", "+1 "]) for _ in range(rng.randint(5, 150)))
+        for _, tokens in pii.stretches(text):
+            whole = field.label(text, tokens)
+            assert whole == field.label(text, tokens, frame=1) == field.label(text, tokens, frame=23)
+            lattice = pii.Lattice(text, tokens)
+            low = min(9, lattice.n)
+            part = pii.Lattice(text, tokens, low)
+            kept = lattice.end > low
+            assert part.spans == [s for s, k in zip(lattice.spans, kept.tolist(), strict=True) if k] and (part.x == lattice.x[kept]).all()
+            alpha, _ = field.forward(lattice, lattice.x @ field.weights, True)
+            total, at = 0.0, {(i, j): s for (i, j), s in zip(lattice.spans, lattice.x @ field.weights, strict=True)}
+            ends, before, j = {b: (a, y) for a, b, y in whole}, 0, lattice.n
+            path = []
+            while j:
+                a, y = ends.get(j, (j - 1, -1))
+                path.append((a, j, y))
+                j = a
+            for a, b, y in reversed(path):
+                total, before = total + field.follows[before, y + 1] + (at[a, b][y] if y >= 0 else 0.0), y + 1
+            assert np.isclose(total, alpha[-1].max())
+
+
+def test_a_text_of_numbers_takes_linear_time():
+    import time
+
+    rng = random.Random(9)
+    field = pii.Field()
+    field.weights[2, 1] = 1.0
+    took = []
+    for n in (4000, 32_000):
+        text = " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+        began = time.process_time()
+        pii.finder(field)(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 1
