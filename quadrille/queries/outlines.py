@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.operators import documents, outline
+from quadrille.operators import documents, outline, placeholders
 from quadrille.queries.base import Book, table
 from quadrille.queries.prose import HEADINGS_OF_LINES_SQL
 
@@ -86,3 +86,27 @@ def segment_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks_by_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = outline.chunks_by_tree(outline.segments(_docs(spark, sf_dir)), 600)
     return found.select("doc_id", "chunk", "first_line", "n_segments", "level", F.array_join("struc_tags", " / ").alias("tags"), "content", "by_length")
+
+
+def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with placeholders between their sentences, some side by side, some twice."""
+    mark = lambda n: F.concat(F.lit("[IMAGE_PLACEHOLDER_"), n.cast("string"), F.lit("]"))
+    k = F.col("doc_id")
+    pieces = F.transform(F.split("text", r"\. "), lambda x, i: F.concat(x, F.when(i % 3 == 1, mark((k + i) % 130)).otherwise(""), F.when(i % 5 == 1, F.concat(mark(k % 130), mark((k * 7 + i) % 130))).otherwise("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(pieces, ". ").alias("text"))
+
+
+def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What suppliers' names say of pictures of their numbers."""
+    k = F.col("s_suppkey")
+    summary = F.when(k % 9 == 0, "").when(k % 9 == 1, placeholders.FAILURE).otherwise(F.concat(F.lit(" "), "s_name", F.lit("\n")))
+    return table(spark, sf_dir, "supplier").select(k.alias("image_id"), summary.alias("summary"), F.when(k % 2 == 0, F.sha2("s_name", 256).substr(1, 16)).alias("image_hash"), F.when(k % 4 == 0, "supplemental_object").alias("annotation_type"), F.when(k % 11 == 0, "timeout").alias("error"))
+
+
+@BOOK.add("""with a as (select s_suppkey as id, case when s_suppkey % 9 = 1 then '[圖像說明失敗]' else '[' || case when s_suppkey % 4 = 0 then '補充物件內容' else '圖像說明' end || '|id=' || s_suppkey || case when s_suppkey % 2 = 0 then '|hash=' || sha256(s_name)[1:16] else '' end || '] ' || s_name || chr(10) end as line from supplier where s_suppkey % 9 <> 0 and s_suppkey % 11 <> 0),
+  p as (select doc_id, string_split(text, '. ') as ls from documents), q as (select doc_id, unnest(ls) as x, unnest(range(len(ls))) as i from p),
+  m as (select doc_id, i, x, case when i % 3 = 1 then (doc_id + i) % 130 end as u, case when i % 5 = 1 then doc_id % 130 end as v, case when i % 5 = 1 then (doc_id * 7 + i) % 130 end as w from q),
+  r as (select doc_id, i, x || case when u is null then '' else coalesce(a.line, '[IMAGE_PLACEHOLDER_' || u || ']') end || case when v is null then '' else coalesce(b.line, '[IMAGE_PLACEHOLDER_' || v || ']') || coalesce(c.line, '[IMAGE_PLACEHOLDER_' || w || ']') end as t from m left join a on a.id = u left join a b on b.id = v left join a c on c.id = w)
+  select doc_id, string_agg(t, '. ' order by i) as text from r group by doc_id""")
+def placeholder_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placeholders.spliced(_pictured(spark, sf_dir), _analyses(spark, sf_dir)).select("doc_id", "text")
