@@ -5,8 +5,10 @@ frame of 64 bytes per sample.  ``track_features`` walks the nested boxes of any
 such file and decodes its sample tables; payload bytes are never looked at.
 
 Defined results: a null text is an empty one; an empty payload is one frame of
-zeros; a null or malformed container gives no tracks and a message in ``error``;
-repeated rows give repeated results.
+zeros; a null or malformed container gives no tracks and a message in ``error``, as do boxes that
+nest more than ``DEEPEST`` deep, tables that promise more than the file holds, and fragments; the digests of a
+null container are null; very long texts are whole; repeated rows and equal ids give repeated results;
+columns named like the output, whatever their case, are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FRAME = 64
+DEEPEST = 32  # boxes in boxes
 GROUP = 16  # frames from one keyframe to the next
 CHUNK = 32  # frames in a chunk
 TIMESCALE = 25
@@ -107,13 +110,22 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start = stop
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """All boxes, parents first, with the path of types that leads to each."""
-    for kind, body, stop in boxes(data, start, end):
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """All boxes, parents first, with the path of types that leads to each; boxes nest at most ``DEEPEST`` deep."""
+    open_boxes = [((), boxes(data, start, end))]
+    while open_boxes:
+        path, inside = open_boxes[-1]
+        found = next(inside, None)
+        if found is None:
+            open_boxes.pop()
+            continue
+        kind, body, stop = found
         here = (*path, kind)
         yield here, body, stop
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, here)
+            if len(here) > DEEPEST:
+                raise MalformedMedia("boxes nest too deep")
+            open_boxes.append((here, boxes(data, body, stop)))
 
 
 def _ints(data: memoryview, at: int, n: int, kind: str, end: int) -> np.ndarray:
@@ -148,6 +160,8 @@ class Track:
             self.runs = _ints(data, at + 8, 3 * self._count(data, at, end), ">u4", end).reshape(-1, 3)
         elif kind == b"stsz":
             same, n = struct.unpack_from(">2I", data, at + 4)
+            if same * n > len(data):
+                raise MalformedMedia("samples that the file can't hold")
             self.sizes = np.full(n, same, np.int64) if same else _ints(data, at + 12, n, ">u4", end)
         elif kind == b"stz2":
             bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
@@ -172,10 +186,11 @@ class Track:
             return np.empty(0, np.int64)
         if not m or not len(self.runs) or self.runs[0, 0] != 1:
             raise MalformedMedia("samples without chunks")
-        per = np.repeat(self.runs[:, 1], np.diff(np.append(self.runs[:, 0] - 1, m)).clip(0))
+        per = np.repeat(self.runs[:, 1], np.diff(np.append(np.minimum(self.runs[:, 0] - 1, m), m)).clip(0))
         if per.sum() < n:
             raise MalformedMedia("more samples than the chunks hold")
-        chunk = np.repeat(np.arange(len(per)), per)[:n]
+        per = np.diff(np.append(0, np.minimum(np.cumsum(per), n)))  # of the last chunks no more than there are samples
+        chunk = np.repeat(np.arange(len(per)), per)
         before = np.cumsum(self.sizes) - self.sizes
         first = np.searchsorted(chunk, chunk)
         return self.chunks[chunk] + before - before[first]
@@ -195,6 +210,8 @@ def tracks(media: bytes) -> list[Track]:
     data = memoryview(media)
     try:
         for path, at, end in walk(data, 0, len(data)):
+            if path[-1] == b"moof":
+                raise MalformedMedia("samples in fragments are not read")
             if path[-1] == b"trak":
                 found.append(Track())
             elif found and b"trak" in path:
@@ -232,7 +249,7 @@ def _described(media: bytes | None) -> dict:
 
 def track_features(df: DataFrame, media: str = "media") -> DataFrame:
     """Replace column ``media`` by ``tracks`` and ``error``; other columns stay (but for ones of those names)."""
-    rest = [c for c in df.columns if c not in (media, "tracks", "error")]
+    rest = [c for c in df.columns if c.lower() not in (media.lower(), "tracks", "error")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,7 +286,9 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def stored_digests(media: DataFrame) -> DataFrame:
     """Digests of a table (doc_id, n_bytes, media), all from the stored bytes."""
 
-    def one(raw: bytes) -> tuple:
+    def one(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * 6
         (t,) = tracks(raw)
         payload = stored_payload(raw, t)
         at, sizes = t.keyframes()

@@ -264,3 +264,33 @@ def test_a_text_of_numbers_takes_linear_time():
         pii.finder(field)(text)
         took.append(time.process_time() - began)
     assert took[1] < 20 * took[0] + 1
+
+
+def test_media_that_promises_too_much():
+    import struct
+
+    from quadrille.llm import media
+
+    deep = b""
+    for _ in range(1500):
+        deep = struct.pack(">I4s", len(deep) + 8, b"moov") + deep
+    assert media._described(deep)["error"] == "boxes nest too deep"
+    assert "fragments" in media._described(struct.pack(">I4s", 8, b"moof"))["error"]
+    good = media.encode(bytes(range(64)) * 40)
+    assert media._described(good)["error"] is None
+    at = good.index(b"stsz") + 8
+    assert "can't hold" in media._described(good[:at] + struct.pack(">2I", 1, 50_000_000) + good[at + 8 :])["error"]
+    runs = good.index(b"stsc") + 12
+    huge = good[:runs] + struct.pack(">3I", 1, 0xFFFFFFFF, 1) + good[runs + 12 :]
+    assert media._described(huge)["tracks"][0]["n_samples"] == 40
+    late = good[: runs + 12] + struct.pack(">3I", 0xFFFFFFFF, 8, 1) + good[runs + 24 :]
+    assert media._described(late)["error"] is None or "chunks" in media._described(late)["error"]
+
+
+def test_digests_of_null_media_and_clashing_names(spark):
+    from quadrille.llm import media
+
+    df = spark.createDataFrame([(1, 0, None, "x"), (2, 64, bytearray(media.encode(bytes(64))), "y")], "doc_id long, n_bytes long, media binary, Tracks string")
+    got = {r["doc_id"]: r for r in media.stored_digests(df).collect()}
+    assert got[1]["payload_sha256"] is None and got[2]["payload_bytes"] == 64
+    assert [r["error"] for r in media.track_features(df).orderBy("doc_id").collect()] == ["null", None]
