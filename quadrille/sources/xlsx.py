@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx): a reader to cells, and a plain writer.
+"""Workbooks (.xlsx, .xlsm): a reader to cells, and a plain writer.
 
 The reader takes files as Spark lists them; each is opened in a task, and sheets'
 XML is parsed as a stream.
@@ -14,16 +14,24 @@ from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.functions.a1 import number_of
 
 CELLS = "path string, sheet string, row long, col int, raw string, formula boolean"
+BOOKS = "*.{xlsx,xlsm}"
 #: Namespaces of the format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+def arrow_schema(fields: str) -> pa.Schema:
+    """The Arrow schema of plain fields, as ``path string, row long``."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
 def _strings(z: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in z.namelist():
         return []
@@ -66,7 +74,7 @@ def read_cells(content: bytes) -> Iterator[tuple[str, int, int, str, bool]]:
                     c.clear()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Cells of all workbooks under a path."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in CELLS.split(", ")]
@@ -75,7 +83,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(p, *x) for x in read_cells(bytes(content))]
                 yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(run, CELLS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", BOOKS).load(path).select("path", "content").mapInPandas(run, CELLS)
 
 
 def workbook(sheets_of: dict[str, list[list[object]]], marked: set[tuple[str, int, int]] = frozenset()) -> bytes:
