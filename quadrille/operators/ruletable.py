@@ -44,8 +44,8 @@ def _packed(rules: DataFrame, *by: str, n: Column) -> DataFrame:
     return dealt.groupBy(*by, "block").agg(F.collect_list(F.struct("rule_id", "equation", "left", "right")).alias("rules"))
 
 
-def _everywhere(windows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Windows with each pack of the rules."""
+def everywhere(windows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Windows with each pack of the rules (rule_id, equation, left, right), as ``read`` gives them."""
     n = rules.count()
     if not n:
         return windows.withColumn("rules", F.array().cast(f"array<struct<rule_id:{rules.schema['rule_id'].dataType.simpleString()},equation:string,left:array<{P.TOKEN}>,right:array<{P.TOKEN}>>>")).where(F.lit(False))
@@ -62,14 +62,14 @@ def checks(windows: DataFrame, rules: DataFrame, height: int, width: int, tolera
     rules = read(rules)
     windows = windows.select("start_row", "start_col", "row_name", "values")
     if only_row is not None:
-        met = _everywhere(windows.where(F.col("row_name").eqNullSafe(F.lit(only_row))), rules)
+        met = everywhere(windows.where(F.col("row_name").eqNullSafe(F.lit(only_row))), rules)
     else:
         named, free = rules.where("row_name is not null"), rules.where("row_name is null")
         size = F.count("*").over(Window.partitionBy("row_name"))
         met = windows.join(_packed(named.withColumn("n", size), "row_name", "n", n=F.col("n")).drop("n", "block"), "row_name")
-        rest = _everywhere(windows, free)
+        rest = everywhere(windows, free)
         if not strict and free.isEmpty():
-            rest = _everywhere(windows.join(named.select("row_name").distinct(), "row_name", "left_anti"), named)
+            rest = everywhere(windows.join(named.select("row_name").distinct(), "row_name", "left_anti"), named)
         met = met.unionByName(rest)
     cell = P.in_window(F.col("values"), height, width)
     each = met.select("start_row", "start_col", "row_name", "values", F.explode("rules").alias("r"))

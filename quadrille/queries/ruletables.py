@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.operators import ruletable
+from quadrille.operators import retrospective, ruletable
 from quadrille.queries.base import Book, table
 
 BOOK = Book()
@@ -63,3 +63,32 @@ def rule_table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ruletable.validation(ruletable.checks(_windows(spark, sf_dir), _rules(spark, sf_dir), 1, 4))
     return found.select("start_row", "total_rules", "valid_rules", F.round("success_rate", 6).alias("success_rate"))
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as windows, grouped by flag, status and number, and the rules that some of them name, with spaces of many kinds."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("row_name", F.concat_ws("-", "l_returnflag", "l_linestatus", "l_linenumber"))
+    windows = lines.select("row_name", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("values"))
+    n = F.col("l_linenumber")
+    texts = F.array(
+        F.concat(F.lit("$(0,0) =  "), (n * 5).cast("string")), F.concat(F.lit(" $(0,2) + $(0,3) = 0.0"), (n % 4).cast("string")),
+        F.when(n % 2 == 0, "$(0,0) * $(0,2) = $(0,0) * $(0,3)").otherwise("$(0,0)\t= $(0,0) +  $(9,9)"), F.when(n == 3, "$(0,1) > 5").otherwise(" "))
+    return windows, lines.select("row_name", F.explode(texts).alias("equation"))
+
+
+_MATRIX_SQL = """with w as (select l_returnflag || '-' || l_linestatus || '-' || l_linenumber as g, l_linenumber as n, l_quantity as q, l_discount as d, l_tax as t from lineitem),
+  r as (select distinct g, case k when 0 then '$(0,0) = ' || n * 5 when 1 then '$(0,2) + $(0,3) = 0.0' || n % 4 when 2 then case when n % 2 = 0 then '$(0,0) * $(0,2) = $(0,0) * $(0,3)' else '$(0,0) = $(0,0) + $(9,9)' end when 3 then '$(0,1) > 5' end as equation, k, n from w, (select unnest(range(4)) as k) where k < 3 or n = 3),
+  e as (select distinct equation, k, case k when 0 then n * 5 when 1 then n % 4 end as m, k = 2 and n % 2 = 0 as even from r),
+  c as (select g, equation, count(*) filter (case k when 0 then abs(q - m) <= 0.01 when 1 then abs(d + t - m / 100) <= 0.01 when 2 then even and abs(q * d - q * t) <= 0.01 else false end) as v from w, e group by all),
+  s as (select g, count(*) as total from w group by g)"""
+
+
+@BOOK.add(f"""{_MATRIX_SQL}, x as (select r.g as rule_group, c.g as window_group, r.g = c.g as own, equation, v as valid_windows, total - v as invalid_windows, total as total_windows, round(v / total, 6) as consistency_rate from r join c using (equation) join s on s.g = c.g where v > 0 or r.g = c.g) select * from x""")
+def retrospective_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrospective.matrix(*_grouped(spark, sf_dir), 1, 4).withColumn("consistency_rate", F.round("consistency_rate", 6))
+
+
+@BOOK.add(f"""{_MATRIX_SQL}, f as (select r.g, equation, bool_or(c.g <> r.g and v > 0) as far, max(v) filter (c.g = r.g) / max(total) as rate, max(total) as total from r join c using (equation) join s on s.g = r.g group by all)
+  select g as row_name, total as window_count, count(*) as total_rules, round(avg(rate), 6) as mean_rate, count(*) filter (far) as carried from f group by all""")
+def retrospective_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrospective.by_group(retrospective.matrix(*_grouped(spark, sf_dir), 1, 4)).withColumn("mean_rate", F.round("mean_rate", 6))
