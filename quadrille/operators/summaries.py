@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators import degeneracy
 from quadrille.operators.relations import Relation
 from quadrille.plans import equation as E
 
@@ -31,10 +32,11 @@ def _written(found: DataFrame) -> DataFrame:
 def group_summary(rates: DataFrame, least: float = LEAST) -> DataFrame:
     """(row_name, window_count, rules_found, rules_passed, passed_rate, is_valid) of (row_name, equation, total_windows, consistency_rate).
 
-    Rules that can't fail by their form don't pass.
+    Rules whose form says nothing don't pass, nor those with a ``reason``, if ``degeneracy.rejections`` has given them that column.
     """
-    two = F.split("equation", "=")
-    passed = (F.col("consistency_rate") >= least) & ~((F.size(two) == 2) & (F.trim(two[0]) == F.trim(two[1])))
+    passed = (F.col("consistency_rate") >= least) & degeneracy.structural(F.col("equation")).isNull()
+    if "reason" in rates.columns:
+        passed = passed & F.col("reason").isNull()
     out = rates.groupBy("row_name").agg(F.max("total_windows").alias("window_count"), F.count("*").alias("rules_found"), F.count_if(passed).alias("rules_passed"))
     return out.select("*", (F.col("rules_passed") / F.col("rules_found")).alias("passed_rate"), (F.col("rules_passed") > 0).alias("is_valid"))
 
@@ -44,14 +46,15 @@ def overall(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), F.count_if("is_valid").alias("valid_groups"), F.coalesce(F.avg(F.col("is_valid").cast("int")), F.lit(0.0)).alias("success_rate"))
 
 
-def rule_statistics(found: DataFrame, least: float = LEAST) -> DataFrame:
+def rule_statistics(found: DataFrame, least: float = LEAST, windows: DataFrame | None = None) -> DataFrame:
     """(equation, validations, valid_count, valid_ratio, consistency_rate, passes): rules of all windows.
 
     The rate is the mean, over groups of two windows or more, of the share of windows that name the rule; ``found`` has a
-    row for each window and rule it names.  Sorted by the ratio, greatest first, ties by equation.
+    row for each window and rule it names.  ``windows`` (row_name, start_row, start_col) are all that were looked at, also those that name
+    no rule; without it those of ``found`` are.  Sorted by the ratio, greatest first, ties by equation.
     """
     written = _written(found)
-    windows = found.groupBy("row_name").agg(F.countDistinct(*WINDOW).alias("windows")).where(F.col("windows") >= 2)
+    windows = (found if windows is None else windows).groupBy("row_name").agg(F.countDistinct(*WINDOW).alias("windows")).where(F.col("windows") >= 2)
     named = written.groupBy("row_name", "equation").agg(F.count("*").alias("n"), F.count_if("ok").alias("p"), F.countDistinct(*WINDOW).alias("in_windows"))
     joined = named.join(windows.withColumnRenamed("row_name", "_name"), F.col("row_name").eqNullSafe(F.col("_name")), "left")
     sums = joined.groupBy("equation").agg(F.sum("n").alias("validations"), F.sum("p").alias("valid_count"), F.sum(F.try_divide("in_windows", "windows")).alias("shares"))
@@ -75,14 +78,15 @@ def example_windows(found: DataFrame, k: int = 3) -> DataFrame:
     return _written(found).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("equation", "place", *WINDOW, "row_name", "ok")
 
 
-def agreed_rules(found: DataFrame) -> DataFrame:
+def agreed_rules(found: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """(row_name, start_row, start_col, equation, description): of each window the first rule that its group agrees on.
 
     ``found`` has description and ``order``, the rule's place in its window.  A group agrees on a rule that half of its windows, and two
     at least, name; the description is the group's most frequent one for it (of equals the first by window).  A group of one window keeps all its rules.
+    ``windows`` (row_name, start_row, start_col) are all that were looked at; without it those of ``found`` are.
     """
     written = _written(found)
-    sizes = found.groupBy(F.col("row_name").alias("_name")).agg(F.countDistinct(*WINDOW).alias("windows"))
+    sizes = (found if windows is None else windows).groupBy(F.col("row_name").alias("_name")).agg(F.countDistinct(*WINDOW).alias("windows"))
     said = written.groupBy("row_name", "equation", "description").agg(F.count("*").alias("n"), F.min(F.struct(*WINDOW)).alias("first"))
     most = F.max_by("description", F.struct(F.col("n"), (-F.col("first.start_row")).alias("r"), (-F.col("first.start_col")).alias("c")))
     rules = said.groupBy("row_name", "equation").agg(F.sum("n").alias("n"), most.alias("said"))
@@ -173,22 +177,30 @@ def best_of_formula(relations: DataFrame, order: str) -> DataFrame:
 MEANINGS = {
     "qty": ("數量", "qty", "quantity"), "price": ("單價", "價格", "price", "unitprice"), "amount": ("金額", "amount", "total", "小計"),
     "input": ("投入", "input", "進料"), "good": ("良品", "good", "ok"), "bad": ("不良", "ng", "defect"), "rate": ("良率", "yield"), "defect_rate": ("不良率", "defectrate", "ngrate"),
+    "balance": ("結存", "庫存", "餘額", "balance", "stock"), "inbound": ("入庫", "收入", "增加", "inbound", "in"), "outbound": ("出庫", "支出", "減少", "outbound", "out"),
 }
 SUGGESTED = (
     ("amount_equals_qty_times_price", "amount", "qty", "*", "price"), ("input_equals_good_plus_bad", "input", "good", "+", "bad"),
     ("yield_equals_good_div_input", "rate", "good", "/", "input"), ("defect_rate_equals_bad_div_input", "defect_rate", "bad", "/", "input"),
 )
+#: What is proposed, but not tested, where columns of a balance, of what comes in and of what goes out are named.
+CONTINUITY = ("balance", "inbound", "outbound"), "balance_continuity", "本期結存 = 前期結存 + 入庫 - 出庫"
+
+
+def _named(labels: list[str]) -> dict[str, str | None]:
+    """The first label with each meaning, blanks and case aside."""
+    plain = {"".join(x.lower().split()): x for x in labels if x}
+    return {m: next((raw for k, raw in plain.items() if any(w in k for w in words)), None) for m, words in MEANINGS.items()}
 
 
 def suggested(labels: list[str]) -> list[tuple[str, Relation]]:
     """(rule name, relation) that labels suggest; of several labels with a meaning the first counts, blanks and case aside."""
-    plain = {"".join(x.lower().split()): x for x in labels if x}
-    named = {m: next((raw for k, raw in plain.items() if any(w in k for w in words)), None) for m, words in MEANINGS.items()}
+    named = _named(labels)
     return [(rule, Relation(sign, named[a], named[b], named[t])) for rule, t, a, sign, b in SUGGESTED if named[t] and named[a] and named[b]]
 
 
 def confirmed(labels: list[str], relations: DataFrame) -> DataFrame:
-    """(rule_name, expected_formula, tested, support_rate, status) of what the labels suggest, met with the column relations that were found.
+    """(rule_name, expected_formula, tested, support_rate, status) of what the labels suggest, met with the column relations that were found; a running balance is a candidate only.
 
     Labels are as many as a table has columns, so the suggestions are few and are broadcast.
     """
@@ -199,7 +211,11 @@ def confirmed(labels: list[str], relations: DataFrame) -> DataFrame:
     found = relations.where("axis = 'column'").groupBy(key(F.col("formula")).alias("_key")).agg(F.max("support_rate").alias("support_rate"))
     joined = found.join(F.broadcast(wanted.withColumn("_key", key(F.col("expected_formula")))), "_key", "right")
     tested = F.col("support_rate").isNotNull()
-    return joined.select("rule_name", "expected_formula", tested.alias("tested"), "support_rate", F.when(tested, "passed").otherwise("not_confirmed").alias("status"))
+    told = joined.select("rule_name", "expected_formula", tested.alias("tested"), "support_rate", F.when(tested, "passed").otherwise("not_confirmed").alias("status"))
+    needed, name, formula = CONTINUITY
+    if not all(map(_named(labels).get, needed)):
+        return told
+    return told.unionByName(spark.createDataFrame([(name, formula, False, None, "candidate_only")], "rule_name string, expected_formula string, tested boolean, support_rate double, status string"))
 
 
 def preview(df: DataFrame, order: list[str], limit: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.operators import audit, grouped, relations, summaries
+from quadrille.operators import audit, degeneracy, grouped, relations, summaries
 from quadrille.queries.base import Book, table
 from quadrille.queries.rulework import _checked, _checks_sql
 from quadrille.queries.sheets import _priced, _relations_sql
@@ -59,6 +59,52 @@ def agreed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.agreed_rules(held)
 
 
+_AGREED_SQL = f"""{_checks_sql()}, h as (select *, 'seen ' || start_row % 3 as description from k where ok), z as (select row_name, count(distinct start_row) as windows from k group by 1), d as (select row_name, equation, description, count(*) as n, min(start_row) as f from h group by all),
+  s as (select row_name, equation, sum(n) as n from d group by all), m as (select * from (select *, row_number() over (partition by row_name, equation order by n desc, f) as i from d) where i = 1),
+  a as (select h.*, m.description as said, row_number() over (partition by h.row_name, h.start_row order by rule_id) as i from h join s on s.row_name = h.row_name and s.equation = h.equation join z on z.row_name = h.row_name join m on m.row_name = h.row_name and m.equation = h.equation where windows >= 2 and s.n >= greatest(2, windows // 2))"""
+
+
+@BOOK.add(f"with {_AGREED_SQL} select row_name, start_row, start_col, equation, said as description from a where i = 1 union all select h.row_name, start_row, start_col, equation, description from h join z using (row_name) where windows < 2")
+def agreed_rules_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As agreed_rules, but windows in which nothing holds count as well."""
+    checked = _checked(spark, sf_dir)
+    held = checked.where("ok").select("*", F.concat(F.lit("seen "), F.col("start_row") % 3).alias("description"), F.col("rule_id").alias("order"))
+    return summaries.agreed_rules(held, checked.select("row_name", "start_row", "start_col"))
+
+
+#: Rules of each group of lines: eight forms, some of which say nothing; the cell (1,1) has no number, zeros, one value or many, by the line's number.
+_SAID = ("$(0,0) + $(0,2) = $(0,2)", "$(0,2)+$(0,0) = $(0,2)", "$(0,2) - $(0,1) = $(0,2)", "$(0,1) = `$(0,1)`", "1 + 1 = 2", "$(0,0) * $(0,2) = $(0,1)", "$(0,1) / $(1,1) = $(0,0)", "$(0,0) = $(5,0)")
+
+
+def _said(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").withColumn("row_name", F.concat_ws("-", "l_returnflag", "l_linestatus", "l_linenumber"))
+    last = F.when(n == 1, None).when(n == 2, 0.0).when(n == 3, 7.0).otherwise(F.col("l_tax"))
+    windows = lines.select("row_name", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax", last.cast("double"), "l_quantity").alias("values"))
+    rates = lines.select("row_name").distinct().select("row_name", F.explode(F.array(*map(F.lit, _SAID))).alias("equation"), F.lit(10).alias("total_windows"), F.lit(0.9).alias("consistency_rate"))
+    return rates, windows
+
+
+_REASONS_SQL = """with g as (select l_returnflag || '-' || l_linestatus || '-' || l_linenumber as row_name, l_linenumber as n, count(distinct case when abs(l_tax) > 1e-12 then round(l_tax, 12) end) as dt, count(distinct case when abs(l_discount) > 1e-12 then round(l_discount, 12) end) as dd, count(distinct round(l_quantity, 12)) as dq, count(distinct round(l_extendedprice, 12)) as de, count(*) filter (abs(l_tax) > 1e-12) as nt, count(*) filter (abs(l_discount) > 1e-12) as nd from lineitem group by all),
+  o as (select row_name, n, case when dq < 3 then 'operand_distinct_insufficient:$(0,0)' end as q, case when de < 3 then 'operand_distinct_insufficient:$(0,1)' end as e,
+    case when nd < 1 then 'operand_nonzero_insufficient:$(0,2)' when dd < 3 then 'operand_distinct_insufficient:$(0,2)' end as d, case when nt < 1 then 'operand_nonzero_insufficient:$(1,0)' when dt < 3 then 'operand_distinct_insufficient:$(1,0)' end as t from g),
+  r as (select row_name, k, case k when 0 then '$(0,0) + $(0,2) = $(0,2)' when 1 then '$(0,2)+$(0,0) = $(0,2)' when 2 then '$(0,2) - $(0,1) = $(0,2)' when 3 then '$(0,1) = `$(0,1)`' when 4 then '1 + 1 = 2' when 5 then '$(0,0) * $(0,2) = $(0,1)' when 6 then '$(0,1) / $(1,1) = $(0,0)' else '$(0,0) = $(5,0)' end as equation,
+    case k when 0 then 'add_forced_zero_trailing' when 1 then 'add_forced_zero_leading' when 2 then 'sub_minuend_eq_rhs_forces_subtrahend_zero' when 3 then 'identity_equation' when 4 then 'no_operands' when 5 then coalesce(q, d, e)
+      when 6 then coalesce(e, case n when 1 then 'operand_no_numeric:$(1,1)' when 2 then 'operand_nonzero_insufficient:$(1,1)' when 3 then 'operand_distinct_insufficient:$(1,1)' else replace(t, '(1,0)', '(1,1)') end, q) else coalesce(q, 'operand_no_numeric:$(5,0)') end as reason from o, (select unnest(range(8)) as k))"""
+
+
+@BOOK.add(f"{_REASONS_SQL} select row_name, equation, reason from r")
+def rule_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates, windows = _said(spark, sf_dir)
+    return degeneracy.rejections(rates, windows, 3, least_distinct=3).select("row_name", "equation", "reason")
+
+
+@BOOK.add(f"{_REASONS_SQL} select row_name, 10 as window_count, count(*) as rules_found, count(*) filter (reason is null) as rules_passed, round(count(*) filter (reason is null) / count(*), 6) as passed_rate, count(*) filter (reason is null) > 0 as is_valid from r group by row_name")
+def group_summary_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates, windows = _said(spark, sf_dir)
+    return _rounded(summaries.group_summary(degeneracy.rejections(rates, windows, 3, least_distinct=3)), "passed_rate")
+
+
 @BOOK.add(f"with {_checks_sql()} select start_row, equation, case when start_row % 5 = 0 then start_row % 2 = 0 else ok end as valid, case when start_row % 5 = 0 then 'existing_' else 'revalidated_' end || case when case when start_row % 5 = 0 then start_row % 2 = 0 else ok end then 'valid' else 'invalid' end as status from k")
 def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of the windows has stored verdicts, written with other spaces."""
