@@ -38,6 +38,14 @@ def layout(inside: DataFrame) -> DataFrame:
     return top.join(steady, KEY, "left").select(*KEY, score.alias("score"), (score >= HEADER).alias("has_header"))
 
 
+def header_rows(found: DataFrame, inferred: DataFrame | None = None) -> DataFrame:
+    """A layout with header_rows: the first row or none, or those inferred."""
+    first = F.col("has_header").cast("int")
+    if inferred is None:
+        return found.withColumn("header_rows", first)
+    return found.join(inferred.select(*KEY, F.col("header_rows").alias("_rows")), KEY, "left").withColumn("header_rows", F.coalesce("_rows", first)).drop("_rows")
+
+
 def labels(inside: DataFrame, found: DataFrame) -> DataFrame:
     """(sheet, table_id, c, label): the header's text, else column_<c>."""
     first = inside.where("r = 1").select(*KEY, "c", "raw")
@@ -45,8 +53,8 @@ def labels(inside: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def data_types(inside: DataFrame, found: DataFrame) -> DataFrame:
-    """(sheet, table_id, c, data_type, confidence) of the rows below the header."""
-    body = inside.join(found.select(*KEY, "has_header"), KEY).where((F.col("r") > 1) | ~F.col("has_header")).where("ctype != 'empty'")
+    """(sheet, table_id, c, data_type, confidence) of the rows below the header rows."""
+    body = inside.join(found.select(*KEY, "header_rows"), KEY).where(F.col("r") > F.col("header_rows")).where("ctype != 'empty'")
     kinds = body.groupBy(*KEY, "c", "ctype").agg(F.count("*").alias("n"))
     of = lambda names: F.coalesce(F.sum(F.when(F.col("ctype").isin(*names), F.col("n"))), F.lit(0)) / F.sum("n")
     most = F.min(F.struct((-F.col("n")).alias("n"), "ctype")).alias("most")
@@ -88,12 +96,28 @@ def relations(inside: DataFrame, axis: str = "column", most: int | None = MOST_C
     return good.select(*KEY, F.lit(axis).alias("axis"), F.when(F.col("swap"), F.col("j")).otherwise(F.col("i")).alias("a"), "sign", F.when(F.col("swap"), F.col("i")).otherwise(F.col("j")).alias("b"), "t", "valid", "support", F.round(F.least(F.lit(0.99), rate * F.least(F.lit(1.0), F.col("support") / 20)), 4).alias("confidence"))
 
 
-def inspect(cells: DataFrame, gap: int = 1) -> dict[str, DataFrame]:
-    """Everything about a workbook's sheets, as plans over the same cells."""
+def inspect(cells: DataFrame, gap: int = 1, most: int | None = MOST_COLUMNS, full_headers: bool = False) -> dict[str, DataFrame]:
+    """Everything about a workbook's sheets, as plans over the same cells.
+
+    ``most`` bounds the search of relations; tables (and axes) that it leaves out are in ``too_wide``, and None leaves none out.
+    With ``full_headers`` labels, types and exported rules go by all inferred header rows (one to three, always one at least), texts of a
+    column joined by " / "; without it by the first row, if it names the columns.
+    """
     inside = placed(cells, gap)
-    found = layout(inside)
     boxes = regions.tables(cells, gap)
-    return {"tables": boxes, "layout": found, "header_index": headers.infer(inside, boxes), "labels": labels(inside, found), "types": data_types(inside, found), "relations": relations(inside).unionByName(relations(inside, "row"))}
+    inferred = headers.infer(inside, boxes)
+    found = header_rows(layout(inside), inferred if full_headers else None)
+    both = ("column", "row")
+    wide = [too_wide(inside, x, 2**31 - 1 if most is None else most).select(*KEY, F.lit(x).alias("axis"), "width") for x in both]
+    return {
+        "tables": boxes, "layout": found, "header_index": inferred, "labels": headers.labels(inside, boxes, found.select(*KEY, "header_rows", F.lit(0).alias("index_cols"))) if full_headers else labels(inside, found), "types": data_types(inside, found),
+        "relations": relations(inside, most=most).unionByName(relations(inside, "row", most)), "too_wide": wide[0].unionByName(wide[1])}
+
+
+def totals(cells: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """One row (sheets, tables, relations): what was found in all sheets of ``cells``; zeros where there are none."""
+    counts = [df.agg(n.alias(name)) for name, df, n in (("sheets", cells, F.countDistinct("sheet")), ("tables", found["tables"], F.count("*")), ("relations", found["relations"], F.count("*")))]
+    return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))
 
 
 def export_rules(found: dict[str, DataFrame]) -> DataFrame:
@@ -105,7 +129,7 @@ def export_rules(found: dict[str, DataFrame]) -> DataFrame:
         sure = sure.join(names.select(*KEY, F.col("c").alias(x), F.col("label").alias(f"label_{x}")), [*KEY, x], "left")
     parts = [
         found["tables"].select(*KEY, F.lit("1 region").alias("kind"), F.format_string("rows %d to %d, columns %d to %d", F.col("top").cast("long"), F.col("bottom").cast("long"), F.col("left").cast("long"), F.col("right").cast("long")).alias("text"), "confidence"),
-        found["layout"].where("has_header").select(*KEY, F.lit("2 header").alias("kind"), F.lit("the first row names the columns").alias("text"), F.col("score").alias("confidence")),
+        found["layout"].where("header_rows > 0").select(*KEY, F.lit("2 header").alias("kind"), F.when(F.col("header_rows") == 1, "the first row names the columns").otherwise(F.format_string("the first %d rows name the columns", "header_rows")).alias("text"), F.col("score").alias("confidence")),
         typed.select(*KEY, F.lit("3 type").alias("kind"), F.concat_ws(" is ", "label", "data_type").alias("text"), "confidence"),
         sure.select(*KEY, F.lit("4 relation").alias("kind"), F.format_string("%s = %s %s %s", "label_t", "label_a", "sign", "label_b").alias("text"), "confidence"),
     ]

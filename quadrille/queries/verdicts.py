@@ -59,17 +59,17 @@ def agreed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.agreed_rules(held)
 
 
-_AGREED_SQL = f"""{_checks_sql()}, h as (select *, 'seen ' || start_row % 3 as description from k where ok), z as (select row_name, count(distinct start_row) as windows from k group by 1), d as (select row_name, equation, description, count(*) as n, min(start_row) as f from h group by all),
+_AGREED_SQL = f"""{_checks_sql()}, h as (select *, 'seen ' || start_row % 3 as description from k where lhs <= rhs), z as (select row_name, count(distinct start_row) as windows from k group by 1), d as (select row_name, equation, description, count(*) as n, min(start_row) as f from h group by all),
   s as (select row_name, equation, sum(n) as n from d group by all), m as (select * from (select *, row_number() over (partition by row_name, equation order by n desc, f) as i from d) where i = 1),
   a as (select h.*, m.description as said, row_number() over (partition by h.row_name, h.start_row order by rule_id) as i from h join s on s.row_name = h.row_name and s.equation = h.equation join z on z.row_name = h.row_name join m on m.row_name = h.row_name and m.equation = h.equation where windows >= 2 and s.n >= greatest(2, windows // 2))"""
 
 
 @BOOK.add(f"with {_AGREED_SQL} select row_name, start_row, start_col, equation, said as description from a where i = 1 union all select h.row_name, start_row, start_col, equation, description from h join z using (row_name) where windows < 2")
 def agreed_rules_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As agreed_rules, but windows in which nothing holds count as well."""
+    """A window names the rules whose left side isn't greater; windows that name none count as well."""
     checked = _checked(spark, sf_dir)
-    held = checked.where("ok").select("*", F.concat(F.lit("seen "), F.col("start_row") % 3).alias("description"), F.col("rule_id").alias("order"))
-    return summaries.agreed_rules(held, checked.select("row_name", "start_row", "start_col"))
+    named = checked.where("lhs <= rhs").select("*", F.concat(F.lit("seen "), F.col("start_row") % 3).alias("description"), F.col("rule_id").alias("order"))
+    return summaries.agreed_rules(named, checked.select("row_name", "start_row", "start_col"))
 
 
 #: Rules of each group of lines: eight forms, some of which say nothing; the cell (1,1) has no number, zeros, one value or many, by the line's number.

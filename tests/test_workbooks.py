@@ -58,7 +58,20 @@ def test_inspector_finds_header_types_and_relation(spark):
     assert best[1, "*", 2, 3] == (20, 19, 0.9025)
     rules = [(r["rule_id"], r["kind"], r["text"]) for r in inspector.export_rules(found).orderBy("rule_id").collect()]
     assert rules[0] == ("R0001", "region", "rows 1 to 21, columns 1 to 4") and ("relation", "amount = qty * price") in {x[1:] for x in rules}
-    assert inspector.inspect(cells(spark, rows).limit(0))["relations"].count() == 0
+    assert found["too_wide"].count() == 0 and inspector.totals(cells(spark, rows), found).first()["tables"] == 1
+    narrow = inspector.inspect(cells(spark, rows), most=2)
+    assert {(r["axis"], r["width"]) for r in narrow["too_wide"].collect()} == {("column", 3), ("row", 21)} and narrow["relations"].count() == 0
+    nothing = cells(spark, rows).limit(0)
+    assert inspector.inspect(nothing)["relations"].count() == 0 and tuple(inspector.totals(nothing, inspector.inspect(nothing)).first()) == (0, 0, 0)
+
+
+def test_inspector_takes_all_header_rows(spark):
+    rows = [["item", "first half", "second half"], ["name", "January", "February"]] + [[str(i)] * 3 for i in range(1, 21)]
+    found = inspector.inspect(cells(spark, rows), full_headers=True)
+    assert found["layout"].first()["header_rows"] == 2
+    assert {r["c"]: r["label"] for r in found["labels"].collect()} == {1: "item / name", 2: "first half / January", 3: "second half / February"}
+    assert {r["c"]: (r["data_type"], r["confidence"]) for r in found["types"].collect()} == {1: ("number", 1.0), 2: ("number", 1.0), 3: ("number", 1.0)}
+    assert ("header", "the first 2 rows name the columns") in {(r["kind"], r["text"]) for r in inspector.export_rules(found).collect()}
 
 
 def test_split_text_keeps_every_part(spark):
