@@ -11,7 +11,7 @@ Retained values are posted in inverted lists.  A value that stands in one list a
 estimate from the union's sketch comes first, and the exact similarity of whole sets decides; sets that are linked by then are not
 compared, so a group of copies costs about one comparison for each.
 
-Values that thousands of sets hold have their lists counted by partial sums; their rows don't meet for it.  Sets under one least
+Values that thousands of sets hold come last, in order of a count by partial sums; their rows don't meet for it.  Sets under one least
 set that don't fit a task are cut in blocks: each block by itself, then pairs of blocks that aren't linked throughout.
 
 Defined results: equal sets are one set; null and empty texts have no set, no links and n_shingles 0; a text with
@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.components import components
-from quadrille.llm.similarity import _groups, _identities, _listed, shingle_sets, whole_sets
+from quadrille.llm.similarity import _groups, _identities, _listed, perhaps, shingle_sets, whole_sets
 from quadrille.llm.storage import materialize, materialize_at, remove
 
 SHINGLE, PERCENT = 3, 85
@@ -64,7 +64,7 @@ def scan(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def hot_values(sets: DataFrame, often: int = OFTEN, most: int = HOT) -> DataFrame:
-    """Values that recur ``often`` within batches of sketches: ``most`` at most, the most frequent powers of two of them."""
+    """(value, level): values that recur ``often`` within batches of sketches, ``most`` at most, the most frequent powers of two of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,7 +79,7 @@ def hot_values(sets: DataFrame, often: int = OFTEN, most: int = HOT) -> DataFram
         if total > most:
             break
         least = r["level"]
-    return counted.where(F.col("level") >= least).select("value")
+    return counted.where(F.col("level") >= least)
 
 
 def lists(sets: DataFrame, often: int = OFTEN) -> DataFrame:
@@ -88,12 +88,11 @@ def lists(sets: DataFrame, often: int = OFTEN) -> DataFrame:
     A set is in the range of its size and in the next, so that sets close enough to be linked share one.
     """
     posted = sets.select("sid", F.explode("sketch").alias("value"))
-    known = hot_values(sets, often)
-    rare = posted.join(F.broadcast(known), "value", "left_anti").repartition("value")
-    rare = rare.join(rare.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "value").select("sid", F.struct(F.lit(0).alias("hot"), "df", "value").alias("at"))
-    hot = posted.join(F.broadcast(known), "value")
-    hot = hot.join(F.broadcast(hot.groupBy("value").agg(F.count("*").alias("df"))), "value").select("sid", F.struct(F.lit(1).alias("hot"), "df", "value").alias("at"))
-    recurring = rare.unionByName(hot).groupBy("sid").agg(F.sort_array(F.collect_list("at")).alias("at"))  # at most SKETCH a set
+    known = F.broadcast(hot_values(sets, often))
+    marked = posted.join(known, "value", "left").withColumn("own", F.when(F.col("level").isNotNull(), F.col("sid")))  # rows of hot values don't meet
+    told = marked.withColumn("df", F.count("*").over(Window.partitionBy("value", "own"))).where("level is not null or df > 1")
+    order = F.struct(F.coalesce(F.col("level") + 1, F.lit(0)).alias("level"), "df", "value")  # one for all sets; hot values last
+    recurring = told.groupBy("sid").agg(F.sort_array(F.collect_list(order)).alias("at"))  # at most SKETCH a set
     spare = F.size("at") - needed(F.col("n")) + 1
     size = F.floor(F.log(F.col("n")) / F.lit(1.000001 * math.log(100 / PERCENT))).cast("int")
     looked = recurring.join(sets.select("sid", "n"), "sid").where(spare > 0).select("sid", "n", F.explode(F.slice("at", 1, spare)).alias("at"))
@@ -197,19 +196,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK, often
     scanned = materialize(scanned.select("doc_id", "sid", "n"), "bottomk-rows")
     remove(spark, scan_path)
     hung = materialize(lists(sets, often), "bottomk-hung")
+    sketched = perhaps(sets.select("sid", "sketch"), hung)
     hung = hung.join(hung.groupBy("tree").agg(F.sum("n").alias("total")), "tree")
-    fit = F.col("total") <= block
-    small = hung.where(fit).join(sets.select("sid", "sketch"), "sid").select("tree", "sid", "n", "sketch").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
-    left = materialize(small.unionByName(hung.where(~fit).select("tree", "sid")), "bottomk-left")
+    fit, blocks = F.col("total") <= block, F.ceil(F.col("total") / block).cast("int").alias("blocks")
+    small = hung.where(fit).join(sketched, "sid").select("tree", "sid", "n", "sketch").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
+    left = materialize(small.withColumn("blocks", F.lit(1)).unionByName(hung.where(~fit).select("tree", "sid", blocks)), "bottomk-left")
     sets = materialize(sets.select("sid", "least", "k"), "bottomk-names")
     remove(spark, sets_path)  # sketches are no longer needed
 
-    whole = materialize(whole_sets(docs, left.select("sid").distinct().join(sets.select("sid", "k"), "sid"), k), "bottomk-whole")
-    held = left.join(whole.select("sid", F.size("tokens").cast("long").alias("n")), "sid")
-    counts = held.groupBy("tree").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    placed = materialize(left.join(counts, "tree").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")), "bottomk-placed")
+    def whole(of: DataFrame) -> DataFrame:
+        return whole_sets(docs, of.select("sid").distinct().join(sets.select("sid", "k"), "sid"), k)
+
+    placed = left.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
     alone = placed.select("tree", F.col("block").alias("i"), F.col("block").alias("j"), "block", "sid", F.col("sid").alias("label"))
-    links = materialize(_links(alone, whole), "bottomk-links")
+    links = materialize(_links(alone, whole(alone)), "bottomk-links")
     parts = components(links)
 
     several = placed.where("blocks > 1")
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK, often
         p, q = (range_of.select("tree", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
         mixed = p.join(q, "tree").where("i < j").where(F.least("low_i", "low_j") != F.greatest("high_i", "high_j"))
         sides = mixed.select("tree", "i", "j", F.explode(F.array("i", "j")).alias("block"))
-        later = _links(sides.join(known, ["tree", "block"]).select("tree", "i", "j", "block", "sid", "label"), whole)
+        later = _links(sides.join(known, ["tree", "block"]).select("tree", "i", "j", "block", "sid", "label"), whole(known))
         parts = components(links.unionByName(materialize(later, "bottomk-links")))
 
     joined = sets.join(parts.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))

@@ -184,6 +184,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFram
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
+def perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose sid is wanted, and of the others those that a table of 2**SIEVE bits can't tell from them; the table is broadcast."""
+    word, bit = F.expr(f"shiftrightunsigned(sid, {64 - SIEVE + 6})"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sid, {64 - SIEVE}) & 63 as int))")
+    table = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(table), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sets of sizes a and b that share so many are linked."""
     return 100 * shared >= PERCENT * (a + b - shared)
