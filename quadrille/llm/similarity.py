@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import words as W
 from quadrille.llm.arrow import chunks, lists
 from quadrille.llm.components import components
-from quadrille.llm.storage import fresh, materialize, materialize_at, remove
+from quadrille.llm.storage import few_files, fresh, materialize, materialize_at, remove
 
 SHINGLE, PERCENT = 5, 80
 FREQUENT = 1 << 18  # most shingles in the table of frequent ones; it orders, so results don't rest on it
@@ -419,24 +419,24 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) ->
     scanned, scan_path = materialize_at(scan(docs, frequent_shingles(docs, k), k), "similarity-scan")
     picked = {"least": F.min("doc_id"), "k": F.first("k"), "n": F.first("n_shingles"), "keys": F.first("keys"), "hot": F.first("hot"), "bits": F.first("bits")}
     sets, sets_path = materialize_at(scanned.where("sid is not null").groupBy("sid").agg(*(c.alias(name) for name, c in picked.items())), "similarity-sets")
-    scanned = materialize(scanned.select("k", "doc_id", "sid", "n_shingles"), "similarity-rows")
+    rows = scanned.count()
+    scanned = materialize(few_files(scanned.select("k", "doc_id", "sid", "n_shingles"), rows), "similarity-rows")
     remove(spark, scan_path)  # shingles and bitmaps are in the sets now
     hung = materialize(forest(sets), "similarity-forest")
     hung = hung.join(hung.groupBy("tree").agg(F.sum("n").alias("total")), "tree")
-    fit = F.col("total") <= block
+    fit, blocks = F.col("total") <= block, F.ceil(F.col("total") / block).cast("int").alias("blocks")
     small = hung.where(fit).join(sets.select("sid", "bits").hint("merge"), "sid").select("tree", "sid", "n", "bits").repartition("tree").sortWithinPartitions("tree").mapInArrow(_mark, "tree long, sid long")
-    left = materialize(small.unionByName(hung.where(~fit).select("tree", "sid")), "similarity-left")
+    left = materialize(small.withColumn("blocks", F.lit(1)).unionByName(hung.where(~fit).select("tree", "sid", blocks)), "similarity-left")
 
-    sets = materialize(sets.select("sid", "least", "k"), "similarity-names")
+    sets = materialize(few_files(sets.select("sid", "least", "k"), rows), "similarity-names")
     remove(spark, sets_path)
 
-    wanted = left.select("sid").distinct().join(sets.select("sid", "k"), "sid")
-    whole = materialize(whole_sets(docs, wanted, k), "similarity-whole")
-    held = left.join(whole.select("sid", F.size("tokens").cast("long").alias("n")), "sid")
-    counts = held.groupBy("tree").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    placed = materialize(left.join(counts, "tree").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")), "similarity-placed")
+    def whole(of: DataFrame) -> DataFrame:
+        return whole_sets(docs, of.select("sid").distinct().join(sets.select("sid", "k"), "sid"), k)
+
+    placed = left.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
     alone = placed.select("tree", F.col("block").alias("i"), F.col("block").alias("j"), "block", "sid", F.col("sid").alias("label"))
-    links = materialize(_linked(alone, whole), "similarity-links")
+    links = materialize(few_files(_linked(alone, whole(alone)), rows), "similarity-links")
     parts = components(links)
 
     several = placed.where("blocks > 1")
@@ -447,7 +447,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) ->
         p, q = (range_of.select("tree", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
         mixed = p.join(q, "tree").where("i < j").where(F.least("low_i", "low_j") != F.greatest("high_i", "high_j"))
         sides = mixed.select("tree", "i", "j", F.explode(F.array("i", "j")).alias("block"))
-        later = _linked(sides.join(known, ["tree", "block"]).select("tree", "i", "j", "block", "sid", "label"), whole)
+        later = _linked(sides.join(known, ["tree", "block"]).select("tree", "i", "j", "block", "sid", "label"), whole(known))
         parts = components(links.unionByName(materialize(later, "similarity-links")))
 
     joined = sets.select("sid", "least").join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 1 << 14  # of a few longs each, in a file
+
 _local_folders: dict[str, str] = {}
 
 
@@ -43,6 +45,15 @@ def materialize_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has short rows and about so many of them, in at most one partition for each ``ROWS`` of them.
+
+    As many files as the session has shuffle partitions, with a few rows in each, cost more calls of the file system than anything else;
+    on a local disk without Hadoop's native library each file takes several processes, spawned from the executor.
+    """
+    return df.coalesce(1 + rows // ROWS)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete what an operator wrote itself and needs no more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
