@@ -1,8 +1,10 @@
-"""Arrow string columns as flat byte arrays."""
+"""Arrow string columns as flat byte arrays, and what workers on Arrow batches keep of memory."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -41,3 +43,33 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... for each start, as many as its size."""
     before = np.cumsum(sizes) - sizes
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim; other libraries have none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return to the system what Arrow's and C's allocators hold free."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose worker holds no more than it needs once the task is over.
+
+    Workers wait for the next task, also while the JVM beside them joins and sorts; what their allocators hold free then counts for the
+    executor all the same (in one worker on 18 MB of text, 200 MB after a scan for shingles, 76 when given back).
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task

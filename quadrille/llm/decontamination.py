@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import words as W
-from quadrille.llm.arrow import chunks, lists
+from quadrille.llm.arrow import chunks, giving_back, lists
 from quadrille.llm.storage import materialize
 
 WINDOW, GRAM = 10, 5
@@ -50,6 +50,7 @@ def fingerprints(words: W.Words, window: int, gram: int) -> tuple[np.ndarray, np
 def benchmark_fingerprints(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(ik, m, f): of each item its fingerprints; m is its number of words if less than a window, else 0."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in chunks(b.column(1)):
@@ -88,6 +89,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         place = f >> np.uint64(64 - BITS)
         return (table.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in chunks(b.column(2)):
@@ -125,6 +127,7 @@ def hit_words(doc: np.ndarray, item: np.ndarray, window: int) -> np.ndarray:
 
 
 def _judge(window: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.arrow import giving_back
 from quadrille.llm.storage import fresh, materialize
 
 DIMENSIONS = 2048
 UNKNOWN = "und"
 PIECE = 1 << 21  # characters that are counted at once
-CELLS = 1 << 23  # counts (texts x trigrams) that are held at once; texts of many scripts are counted in smaller runs
-BLOCK = 4096  # trigrams whose vectors are held at once
+CELLS = 1 << 22  # counts (texts x trigrams) that are held at once; texts of many scripts are counted in smaller runs
+BLOCK = 1024  # trigrams whose vectors are held at once
 RARE = 0.01  # share of training texts of a language and length that a floor is set without
 PART = 0.33  # of the cosine that the others reach, the floor
 ENOUGH = 100  # training texts that a floor is set from, at least
@@ -54,9 +55,11 @@ def letter_vector(code: int, d: int) -> np.ndarray:
     return np.random.default_rng([code, d, 7]).integers(0, 2, d, dtype=np.int8) * 2 - 1
 
 
-@lru_cache(maxsize=20_000)
-def gram_vector(a: int, b: int, c: int, d: int) -> np.ndarray:
-    return np.roll(letter_vector(a, d), 2) * np.roll(letter_vector(b, d), 1) * letter_vector(c, d)
+def gram_vectors(grams: np.ndarray, d: int) -> np.ndarray:
+    """A row for each trigram, made anew each time: held ones would stay with a worker through all later stages (2 kB each)."""
+    letters, at = np.unique(grams, return_inverse=True)
+    table, at = np.stack([letter_vector(c, d) for c in letters.tolist()]), at.reshape(grams.shape)
+    return np.roll(table, 2, 1)[at[:, 0]] * np.roll(table, 1, 1)[at[:, 1]] * table[at[:, 2]]
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -95,7 +98,7 @@ def bundled(counts: np.ndarray, grams: np.ndarray, d: int) -> np.ndarray:
     """Sums of trigrams' vectors, each as often as counted."""
     out = np.zeros((len(counts), d), counts.dtype)
     for k in range(0, len(grams), BLOCK):
-        out += counts[:, k : k + BLOCK] @ np.stack([gram_vector(*g, d) for g in grams[k : k + BLOCK].tolist()]).astype(counts.dtype)
+        out += counts[:, k : k + BLOCK] @ gram_vectors(grams[k : k + BLOCK], d).astype(counts.dtype)
     return out
 
 
@@ -127,6 +130,7 @@ def held_out(doc_id: int | None, folds: int = 5) -> bool:
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototypes from (text, lang), all rows.  To the driver come languages x dimensions numbers."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
@@ -153,6 +157,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str =
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (lang_col, score_col)))
     at = kept.columns.index("text")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()

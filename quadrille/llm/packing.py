@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quadrille.llm.arrow import ranges
+from quadrille.llm.arrow import giving_back, ranges
 from quadrille.llm.storage import materialize
 from quadrille.llm.tokens import encoder, tokenizer_path, with_end
 
@@ -59,6 +59,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
     """Pieces of each document's ids (end id included); ``spread`` is an even number to deal them out by."""
     path = tokenizer or tokenizer_path()
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         count = (context.partitionId() if context else 0) * 0x9E3779B1
@@ -313,6 +314,7 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str | None = None,
     """(sequence_id, ids): the packed sequences themselves.  Needs doc_id to be unique in ``docs``."""
     path = tokenizer or tokenizer_path()
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, ids, at in encoder(path).encode(b.column(0)):

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quadrille.llm.arrow import giving_back
 from quadrille.llm.spans import LeastByHash, Span, apart, least_by_hash, ordered, with_spans
 
 KINDS = ("assign", "access", "hex")
@@ -242,6 +243,7 @@ def candidates(text: str) -> Iterator[list[tuple[int, int, str]]]:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Automata from at most ``sample`` credentials of each kind and as many ordinary words of all texts, the least by a hash."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: LeastByHash(sample) for k in (*KINDS, "ordinary")}
         for b in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import words as W
-from quadrille.llm.arrow import chunks, lists
+from quadrille.llm.arrow import chunks, giving_back, lists
 from quadrille.llm.components import components
 from quadrille.llm.storage import few_files, fresh, materialize, materialize_at, remove
 
@@ -61,6 +61,7 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -
     All documents are counted; a shingle that a run holds once isn't, so that what is counted stays small.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, sets, _ in shingle_sets(b.column(0), k):
@@ -142,6 +143,7 @@ def scan(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int = SHIN
     """Of each row the set's identity, size, first shingles and bitmap."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, sets, at in shingle_sets(b.column(2), k):
@@ -172,6 +174,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFram
     """(sid, tokens) of the wanted sets (sid, k), each once: of equal sets one row's text is read again."""
     table = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             place = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE)
@@ -359,6 +362,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+@giving_back
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tree, sid, n, bits): (tree, sid) of those that may have a partner in the tree."""
     for rows in _groups(batches, 1):
@@ -370,6 +374,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kept.to_batches()
 
 
+@giving_back
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tree, i, j, block, sid, label, tokens): links (a, b)."""
     for rows in _groups(batches, 3):

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.arrow import giving_back
+
 Span = tuple[str, int, int, bool]
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -25,6 +27,7 @@ def with_spans(docs: DataFrame, find: Callable[[str], list[Span]], column: str =
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()))
     at = kept.columns.index("text")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in find(x or "")] for x in b.column(at).to_pylist()]
@@ -72,6 +75,7 @@ def redacted(docs: DataFrame, find: Callable[[str], list[Span]], mark: Callable[
     """The same rows with spans of ``text`` replaced, ``n_chars`` (if there) brought in line; null stays null."""
     at = docs.columns.index("text")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x and redact_text(x, find(x), mark) for x in b.column(at).to_pylist()]

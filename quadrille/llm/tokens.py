@@ -27,7 +27,7 @@ from quadrille.llm.arrow import chunks, flat, ranges
 
 END_ID = 2
 CACHED_WORDS = 3_000_000
-ENCODED_AT_ONCE = 8 << 20
+ENCODED_AT_ONCE = 2 << 20
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Code points of Unicode's White_Space below U+2100.
