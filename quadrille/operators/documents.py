@@ -13,8 +13,8 @@ from quadrille.functions import text as T
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 0, line): every line of each text."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """(doc_id, line_no from 0, line): every line of each text; an empty text is one line, a null text none."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def paragraphs(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
