@@ -18,7 +18,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
-    """(doc_id, order, paragraph): trimmed parts that aren't empty; the whole text if there is none."""
+    """(doc_id, order, paragraph): trimmed parts that aren't empty; none of a blank text."""
     parts = T.parts(F.coalesce("text", F.lit("")), separator)
     return docs.select("doc_id", F.posexplode(parts).alias("order", "paragraph"))
 
