@@ -22,7 +22,7 @@ DENIED = ("版本號", "節點代碼", "不是章節標題", "非章節標題",
 FALSE_FORMS = (
     ("cn_chapter", r"^第[一二三四五六七八九十百千0-9]+[章節條款項]為"),
     ("hyphen", r"[0-9]+(?:-[0-9]+)+-[A-Za-z0-9]"),
-    ("alpha", r"^[A-Za-z]\.\s+[A-Za-z]\.\s+[A-Za-z]\."),
+    ("alpha", rf"^[A-Za-z]\.{T.S}+[A-Za-z]\.{T.S}+[A-Za-z]\."),
     ("cn_numeral", r"^[一二三四五六七八九十]、[一二三四五六七八九十]、[一二三四五六七八九十]"),
 )
 NUMBERED = ("decimal", "decimal_simple", "hyphen")
