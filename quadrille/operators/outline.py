@@ -111,14 +111,14 @@ def _before(order: Window, of: str, value: Column) -> list[Column]:
     return [F.last(F.when(F.col(of) == k, value), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)) for k in range(DEEPEST + 1)]
 
 
-def tagged(found: DataFrame, path: str | None = None) -> DataFrame:
+def tagged(found: DataFrame, path: str | None = None, as_paths: bool = True) -> DataFrame:
     """Segments with ancestors (headings from the top down), os_tags, struc_tags, contextual_tags and content_tags.
 
     struc_tags go from near to far: for each higher level the last heading of it above, or else that of the closest level above
-    which isn't named yet; then the segment's own.  os_tags come from column ``path``: two folders, or the file's name.
+    which isn't named yet; then the segment's own; ``as_paths`` leaves headings out that are folders' or temporary files' names.  os_tags come from column ``path``: two folders, or the file's name.
     """
     order = Window.partitionBy("doc_id").orderBy("segment")
-    said = found.withColumns({"_last": F.array(*_before(order, "level", F.nullif(F.trim("heading"), F.lit("")))), "_at": F.array(*_before(order, "level", F.struct("segment", "heading")))})
+    said = found.withColumns({"_last": F.array(*_before(order, "level", F.nullif(T.trimmed(F.col("heading")), F.lit("")))), "_at": F.array(*_before(order, "level", F.struct("segment", "heading")))})
     last, level = F.col("_last"), F.col("level")
 
     def step(tags: Column, k: Column) -> Column:
@@ -128,11 +128,12 @@ def tagged(found: DataFrame, path: str | None = None) -> DataFrame:
 
     none = F.array().cast("array<string>")
     above = F.when(level > 0, F.aggregate(F.sequence(level - 1, F.lit(0), F.lit(-1)), none, step)).otherwise(none)
-    struc = T.tags_kept(F.concat(above, F.when(F.trim("heading") != "", F.array(F.trim("heading"))).otherwise(none)))
+    own = T.trimmed(F.col("heading"))
+    struc = T.tags_kept(F.concat(above, F.when(own != "", F.array(own)).otherwise(none)), of_paths=as_paths)
     open_ = F.filter(F.slice("_at", F.lit(1), F.greatest(level, F.lit(0))), lambda x, k: x.isNotNull() & x["heading"].isNotNull() & ~F.exists(F.slice("_at", F.lit(1), k), lambda y: F.coalesce(y["segment"] > x["segment"], F.lit(False))))
     words = T.words(F.col("content"))
     first = F.lower(F.get(words, F.lit(0)))
-    content = F.when(F.length(F.trim("content")) >= 10, F.concat(F.slice(words, 1, 1), F.slice(F.filter(words, lambda w: F.lower(w) != first), 1, 1))).otherwise(none)
+    content = F.when(F.length(T.trimmed(F.col("content"))) >= 10, F.concat(F.slice(words, 1, 1), F.slice(F.filter(words, lambda w: F.lower(w) != first), 1, 1))).otherwise(none)
     out = said.withColumns({"ancestors": F.transform(open_, lambda x: x["heading"]), "os_tags": path_tags(F.col(path)) if path else none, "struc_tags": struc, "content_tags": content})
     return out.withColumn("contextual_tags", F.concat("os_tags", "struc_tags")).drop("_last", "_at")
 

@@ -25,7 +25,7 @@ def odd(tmp_path_factory):
     return d, con
 
 
-@pytest.mark.parametrize("name", ["heading_lines", "asof_heading", "split_paragraph", "merge_by_length", "merge_fixed_groups", "heading_filtered", "heading_fallback", "chunks_by_tree"])
+@pytest.mark.parametrize("name", ["heading_lines", "asof_heading", "split_paragraph", "merge_by_length", "merge_fixed_groups", "heading_filtered", "heading_fallback", "segment_tags", "chunks_by_tree"])
 def test_odd_texts(spark, odd, name):
     df = registry.queries()[name](spark, odd[0])
     found = odd[1].execute(registry.oracle_sql()[name])
