@@ -66,7 +66,8 @@ def checks(windows: DataFrame, rules: DataFrame, height: int, width: int, tolera
     else:
         named, free = rules.where("row_name is not null"), rules.where("row_name is null")
         size = F.count("*").over(Window.partitionBy("row_name"))
-        met = windows.join(_packed(named.withColumn("n", size), "row_name", "n", n=F.col("n")).drop("n", "block"), "row_name")
+        packed = _packed(named.withColumn("n", size), "row_name", "n", n=F.col("n")).drop("n", "block")
+        met = windows.join(packed.hint("merge"), "row_name")  # Spark takes the packs for small, as it doesn't know that each rule becomes tokens; they would pass through the driver
         rest = everywhere(windows, free)
         if not strict and free.isEmpty():
             rest = everywhere(windows.join(named.select("row_name").distinct(), "row_name", "left_anti"), named)

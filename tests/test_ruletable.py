@@ -113,3 +113,12 @@ def test_no_rules_and_null_equations(spark):
     told = ruletable.validation(found).first()
     assert (told["total_rules"], told["valid_rules"], told["success_rate"]) == (1, 0, 0.0)
     assert ruletable.by_rule(found).first()["checks"] == 40
+
+
+def test_packed_rules_never_pass_through_the_driver(spark, capsys):
+    windows = spark.createDataFrame([(0, 0, "a", [1.0, 2.0])], "start_row long, start_col int, row_name string, values array<double>")
+    rules = spark.range(50).select(F.col("id").alias("rule_id"), F.concat(F.lit("$(0,0) = "), F.col("id").cast("string")).alias("equation"), F.substring(F.concat(F.lit("a"), "id"), 1, 1).alias("row_name"))
+    checked = ruletable.checks(windows, rules, 1, 2, strict=True)
+    checked.explain()
+    assert "SortMergeJoin [row_name" in (plan := capsys.readouterr().out) and "BroadcastHashJoin [row_name" not in plan
+    assert checked.count() == 50 and checked.where("ok").count() == 1
