@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import a1
+from quadrille.operators.windows import BLOCK
 from quadrille.plans import equation as E
 
 
@@ -26,14 +27,34 @@ class Rule:
         return E.normalize(self.equation)
 
 
-def _operands(equation: str) -> Column:
-    """All cells of a known equation, repeats kept, as a literal."""
-    found = re.findall(r"\$\((-?[0-9]+),(-?[0-9]+)\)", E.normalize(equation))
-    return F.array(*(F.struct(F.lit(int(r)).alias("r"), F.lit(int(c)).alias("c")) for r, c in found)).cast("array<struct<r:int,c:int>>").alias("cells")
+BITS = 63  # of a number that tells rules, or cells, apart
+NAMED = "array<struct<r:int,c:int,bit:bigint>>"
+
+
+def _cells(equation: str) -> list[tuple[int, int]]:
+    """All cells of a known equation, repeats kept."""
+    return [(int(r), int(c)) for r, c in re.findall(r"\$\((-?[0-9]+),(-?[0-9]+)\)", E.normalize(equation))]
+
+
+def reach(rules: list[Rule]) -> tuple[int, int] | None:
+    """How many rows above and below a cell the windows start that name it: ``around`` of ``windows.scan``; null beyond a block."""
+    rows = [r for x in rules for r, _ in _cells(x.equation)]
+    before, after = max([0, *rows]), max([0, *(-r for r in rows)])
+    return (before, after) if before + after <= BLOCK else None
+
+
+def _named(rules: list[Rule]) -> list[list[Column]]:
+    """For each rule the literals cells and, unless there are more rules or places of cells than bits, rule_bit."""
+    keys, places = ({x: i for i, x in enumerate(dict.fromkeys(xs))} for xs in ([r.key for r in rules], [c for r in rules for c in _cells(r.equation)]))
+    few = max(len(keys), len(places)) <= BITS
+    bit = lambda i: F.lit(1 << i if few else None).cast("bigint")
+    cell = lambda c: F.struct(F.lit(c[0]).alias("r"), F.lit(c[1]).alias("c"), bit(places[c]).alias("bit"))
+    return [[F.array(*map(cell, _cells(r.equation))).cast(NAMED).alias("cells"), *([bit(keys[r.key]).alias("rule_bit")] if few else [])] for r in rules]
 
 
 def checks(windows: DataFrame, rules: list[Rule], height: int, width: int, tolerance: float = E.TOLERANCE, strict: bool = False, only_row: str | None = None, named: bool = False) -> DataFrame:
-    """A row for each window and rule that concerns it: left and right sides, difference, ok; if ``named`` also the cells that it names.
+    """A row for each window and rule that concerns it: left and right sides, difference, ok; if ``named`` also the cells that it names,
+    with bits that tell cells and equations apart.  A column block of the windows is kept.
 
     Rules without a row name concern all windows.  A window that no rule names is checked by
     all of them, unless ``strict``.  ``only_row`` takes that row's windows and all rules.
@@ -44,16 +65,17 @@ def checks(windows: DataFrame, rules: list[Rule], height: int, width: int, toler
     names = sorted({r.row_name for r in rules if r.row_name})
     everywhere = any(not r.row_name for r in rules)
     orphan = F.lit(False) if strict or everywhere else ~F.coalesce(F.col("row_name").isin(names), F.lit(False)) if names else F.lit(True)
-    made = []
+    made, more = [], _named(rules) if named else [[]] * len(rules)
+    place = ["start_row", "start_col", "row_name", *(c for c in windows.columns if c == "block")]
     for i, r in enumerate(rules):
         both = E.sides(r.equation)
         c = E.compile_sides(*both, cell, tolerance) if both else E.compile_sides("", "", cell)
         wanted = F.lit(True) if only_row is not None or not r.row_name else (F.coalesce(F.col("row_name") == r.row_name, F.lit(False)) | orphan)
-        made.append(F.when(wanted, F.struct(F.lit(i).alias("rule_id"), F.lit(r.key).alias("equation"), c.left.alias("lhs"), c.right.alias("rhs"), c.difference.alias("difference"), c.ok.alias("ok"), *([_operands(r.equation)] if named else []))))
+        made.append(F.when(wanted, F.struct(F.lit(i).alias("rule_id"), F.lit(r.key).alias("equation"), c.left.alias("lhs"), c.right.alias("rhs"), c.difference.alias("difference"), c.ok.alias("ok"), *more[i])))
     if not made:
-        return windows.select("start_row", "start_col", "row_name", F.explode(F.array().cast("array<struct<rule_id:int,equation:string,lhs:double,rhs:double,difference:double,ok:boolean" + (",cells:array<struct<r:int,c:int>>" if named else "") + ">>")).alias("x")).select("start_row", "start_col", "row_name", "x.*")
-    each = windows.select("start_row", "start_col", "row_name", F.explode(F.array_compact(F.array(*made))).alias("x"))
-    return each.select("start_row", "start_col", "row_name", "x.*")
+        return windows.select(*place, F.explode(F.array().cast("array<struct<rule_id:int,equation:string,lhs:double,rhs:double,difference:double,ok:boolean" + (f",cells:{NAMED},rule_bit:bigint" if named else "") + ">>")).alias("x")).select(*place, "x.*")
+    each = windows.select(*place, F.explode(F.array_compact(F.array(*made))).alias("x"))
+    return each.select(*place, "x.*")
 
 
 def metrics(checked: DataFrame) -> DataFrame:
@@ -75,19 +97,27 @@ def failed_windows(checked: DataFrame) -> DataFrame:
     return checked.where("not ok").groupBy("start_row", "start_col", "row_name").agg(F.count("*").alias("failed_rules"), F.array_sort(F.collect_set("equation")).alias("equations"))
 
 
-def suspect_cells(checked: DataFrame, top: int = 1, left: int = 1, top_k: int = 0, width: int | None = None) -> DataFrame:
+def suspect_cells(checked: DataFrame, top: int = 1, left: int = 1, top_k: int = 0, width: int | None = None, block: int = BLOCK) -> DataFrame:
     """Cells of failed rules: how often named (repeats count), in how many windows and by how many rules.
 
     ``top`` and ``left`` place the sheet's first value; with ``width`` cells outside a window are left out; ``top_k``
-    of 0 or less returns all.
+    of 0 or less returns all.  Where windows came with their blocks (of ``block`` rows, with those around that reach them), each block
+    counts its own cells and nothing is shuffled.  Windows of a cell are told apart by its place in them, equations by their bits.
     """
     cells = F.col("cells") if "cells" in checked.columns else E.operands(F.col("equation"))
     failed = checked.where("not ok").withColumn("cell", F.explode(cells))
     if width is not None:
         failed = failed.where(F.col("cell.c") < width)
-    placed = failed.select((F.col("start_row") + F.col("cell.r") + top).alias("row"), (F.col("start_col") + F.col("cell.c") + left).cast("long").alias("col"), "start_row", "start_col", "equation")
-    per = placed.groupBy("row", "col", "start_row", "start_col", "equation").agg(F.count("*").alias("n"))
-    out = per.groupBy("row", "col").agg(F.sum("n").alias("occurrences"), F.countDistinct("start_row", "start_col").alias("windows"), F.countDistinct("equation").alias("rules"))
+    by = ["block"] if "block" in checked.columns else []
+    if by:
+        failed = failed.where(F.floor((F.col("start_row") + F.col("cell.r")) / block) == F.col("block"))
+    at = [(F.col("start_row") + F.col("cell.r") + top).alias("row"), (F.col("start_col") + F.col("cell.c") + left).cast("long").alias("col")]
+    if "rule_bit" in checked.columns:
+        placed = failed.select(*by, *at, F.col("cell.bit").alias("bit"), "rule_bit")
+        out = placed.groupBy(*by, "row", "col").agg(F.count("*").alias("occurrences"), F.bit_count(F.bit_or("bit")).cast("long").alias("windows"), F.bit_count(F.bit_or("rule_bit")).cast("long").alias("rules")).drop(*by)
+    else:
+        per = failed.select(*by, *at, "start_row", "start_col", "equation").groupBy(*by, "row", "col", "start_row", "start_col", "equation").agg(F.count("*").alias("n"))
+        out = per.groupBy(*by, "row", "col").agg(F.sum("n").alias("occurrences"), F.countDistinct("start_row", "start_col").alias("windows"), F.countDistinct("equation").alias("rules")).drop(*by)
     out = out.withColumn("address", a1.cell(F.col("row"), F.col("col")))
     return out.orderBy(F.desc("occurrences"), F.desc("windows"), "row", "col").limit(top_k) if top_k > 0 else out
 

@@ -12,24 +12,28 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def scan(df: DataFrame, columns: list[str], height: int, width: int, step_rows: int = 1, step_cols: int = 1, row: str = "row", name: str | None = None, block: int = BLOCK) -> DataFrame:
+def scan(df: DataFrame, columns: list[str], height: int, width: int, step_rows: int = 1, step_cols: int = 1, row: str = "row", name: str | None = None, block: int = BLOCK, around: tuple[int, int] | None = None) -> DataFrame:
     """(start_row, start_col, row_name, values, filled, numbers): all windows in range, values row by row, places 0-based.
 
+    With ``around`` each block of rows also has the windows that start so many rows before and after it, and a column block tells
+    them apart: what concerns a block's own rows is then found without a shuffle.
     A width of -1 takes all columns; sizes beyond the sheet's are cut to it (height by whoever knows it).
     """
     width = len(columns) if width == -1 else min(width, len(columns))
     cells = F.array(*(F.col(c).cast("double") for c in columns))
     at = F.col(row) - 1
     base = df.select(at.alias("r"), cells.alias("v"), (F.col(name).cast("string") if name else F.lit(None).cast("string")).alias("row_name"))
-    homes = F.array_distinct(F.array(F.floor(F.col("r") / block), F.floor((F.col("r") - (height - 1)) / block)))
-    spread = base.withColumn("b", F.explode(homes)).where("b >= 0")
+    before, after = around or (0, 0)
+    homes = F.sequence(F.floor((F.col("r") - (height - 1) - after) / block), F.floor((F.col("r") + before) / block))
+    spread = base.withColumn("b", F.explode(homes))
     order = Window.partitionBy("b").orderBy("r")
     rows = spread.withColumn("rows", F.collect_list("v").over(order.rowsBetween(0, height - 1)))
-    whole = rows.where((F.floor(F.col("r") / block) == F.col("b")) & (F.size("rows") == height) & (F.col("r") % step_rows == 0))
+    own = (F.col("r") >= F.col("b") * block - before) & (F.col("r") < (F.col("b") + 1) * block + after)
+    whole = rows.where(own & (F.size("rows") == height) & (F.col("r") % step_rows == 0))
     starts = F.array(*(F.lit(c) for c in range(0, len(columns) - width + 1, step_cols)))
     each = whole.withColumn("c", F.explode(starts))
     values = F.flatten(F.transform("rows", lambda x: F.slice(x, F.col("c") + 1, width)))
-    out = each.select(F.col("r").cast("long").alias("start_row"), F.col("c").cast("int").alias("start_col"), "row_name", values.alias("values"))
+    out = each.select(F.col("r").cast("long").alias("start_row"), F.col("c").cast("int").alias("start_col"), "row_name", values.alias("values"), *([F.col("b").alias("block")] if around else []))
     filled = F.size(F.filter("values", lambda x: x.isNotNull()))
     return out.withColumn("filled", filled.cast("long"))
 

@@ -41,8 +41,8 @@ LINES_SQL = f"li as (select *, row_number() over (order by {', '.join(LINE_ORDER
 EVENTS_SQL = "ev as (select *, row_number() over (order by event_id) as row from events)"
 
 
-def line_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_rows(table(spark, sf_dir, "lineitem"), LINE_ORDER)
+def line_sheet(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    return number_rows(table(spark, sf_dir, "lineitem"), LINE_ORDER, keep=keep)
 
 
 def event_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:

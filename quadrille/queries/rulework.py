@@ -34,7 +34,8 @@ def _checks_sql() -> str:
 
 
 def _checked(spark: SparkSession, sf_dir: str, named: bool = False) -> DataFrame:
-    found = windows.valid(windows.scan(line_sheet(spark, sf_dir), COLUMNS, 2, 3, name="l_returnflag"), 2, 3)
+    sheet = line_sheet(spark, sf_dir, [*COLUMNS, "l_returnflag"] if named else None)
+    found = windows.valid(windows.scan(sheet, COLUMNS, 2, 3, name="l_returnflag", around=audit.reach(RULES) if named else None), 2, 3)
     return audit.checks(found, RULES, 2, 3, named=named)
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quadrille.operators import audit, components, discover, numbering, regions
+from quadrille.operators import audit, components, discover, numbering, regions, windows
 
 
 def spiral(n):
@@ -77,3 +77,25 @@ def test_named_cells_are_those_of_the_text(spark):
     both = [sorted(map(repr, audit.suspect_cells(audit.checks(windows, rules, 2, 2, named=n)).collect())) for n in (False, True)]
     assert both[0] == both[1] and both[0]
     assert audit.checks(windows, [], 2, 2, named=True).count() == 0
+
+
+def test_suspects_are_counted_within_blocks(spark, capsys):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i + 1, *(rng.choice([1.0, 2.0, 3.0, None]) for _ in range(3))) for i in range(50)], "row long, a double, b double, c double")
+    rules = [audit.Rule(e) for e in ("$(0,0) = $(1,1)", "$(2,0) + $(0,0) = $(5,1)", "$(-3,0) = $(0,1) * $(0,1)", "$(0,0) = $(1,1)", "(1,0) - $(2,1) = $(1,1)")]
+    many = [*rules, *(audit.Rule(f"$(0,0) = $(1,1) + {i}") for i in range(70))]
+    assert audit.reach(rules) == (5, 3) and audit.reach([audit.Rule("$(9999,0) = 1")]) is None
+    for some in (many, rules):
+        plain = audit.checks(windows.scan(df, ["a", "b", "c"], 3, 2, block=4), some, 3, 2)
+        found = audit.checks(windows.scan(df, ["a", "b", "c"], 3, 2, block=8, around=(5, 3)), some, 3, 2, named=True)
+        assert sorted(map(repr, audit.suspect_cells(found, block=8).collect())) == sorted(map(repr, audit.suspect_cells(plain).collect()))
+    capsys.readouterr()
+    audit.suspect_cells(found, block=8).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1  # the rows by their blocks
+
+
+def test_numbered_rows_keep_what_is_wanted(spark):
+    df = spark.range(500).select(((F.col("id") * 79) % 500).alias("x"), (F.col("id") % 3).alias("y"))
+    got = numbering.number_rows(df, ["x"], stretches=16, keep=["y"])
+    assert got.columns == ["y", "row"]
+    assert sorted((r["row"], r["y"]) for r in got.collect()) == [(r["x"] + 1, r["y"]) for r in df.orderBy("x").collect()]
