@@ -89,6 +89,8 @@ def test_suspects_are_counted_within_blocks(spark, capsys):
         plain = audit.checks(windows.scan(df, ["a", "b", "c"], 3, 2, block=4), some, 3, 2)
         found = audit.checks(windows.scan(df, ["a", "b", "c"], 3, 2, block=8, around=(5, 3)), some, 3, 2, named=True)
         assert sorted(map(repr, audit.suspect_cells(found, block=8).collect())) == sorted(map(repr, audit.suspect_cells(plain).collect()))
+        tops = [audit.suspect_cells(x, top_k=7, block=8) for x in (found, plain)]
+        assert [list(x.collect()) for x in tops][0] == tops[1].collect()
     capsys.readouterr()
     audit.suspect_cells(found, block=8).explain()
     assert capsys.readouterr().out.count("Exchange") == 1  # the rows by their blocks
