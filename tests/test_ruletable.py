@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quadrille.operators import audit, ruletable
 from quadrille.plans import equation as E
 from quadrille.plans import postfix as P
+from quadrille.queries import registry
 
 
 def expression(rng, depth, cells=True):
@@ -122,3 +123,9 @@ def test_packed_rules_never_pass_through_the_driver(spark, capsys):
     checked.explain()
     assert "SortMergeJoin [row_name" in (plan := capsys.readouterr().out) and "BroadcastHashJoin [row_name" not in plan
     assert checked.count() == 50 and checked.where("ok").count() == 1
+
+
+def test_validation_has_no_packs_in_the_driver(spark, sf, capsys):
+    registry.queries()["rule_validation"](spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [row_name" in plan and "BroadcastHashJoin [row_name" not in plan
